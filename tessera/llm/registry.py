@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
 from .quality_rules import op7_quality_rules
+from .sharding import op4_sharding
 from .simhash import op6_simhash
 from .token_counts import op9_token_counts
 
 QUERIES = {
+    "op4_sharding": op4_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
