@@ -73,3 +73,56 @@ def _byte_alphabet() -> dict[str, int]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
+
+
+class WordIds:
+    """Ids of a word-level BPE (lower case, white space dropped) as little-endian bytes.
+
+    Words are independent in this vocabulary, so a text's ids are those of its words, joined. That holds as the pattern
+    below states it for texts up to U+024F without control characters that libraries class differently and without
+    special tokens; any other text goes to the library whole.
+    """
+
+    #: Letters, single digits and runs of other signs, as the vocabulary's own pre-tokenizer cuts lower-cased text below U+0250.
+    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+")
+    OTHER = re.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ]|İ")
+
+    def __init__(self, path: str):
+        self.library = tokenizer(path)
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.known: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        import numpy as np
+
+        return np.array(ids, self.kind).tobytes()
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(texts)
+        whole, split = [], []
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known = self.known
+        missing: set[str] = set()
+        for k, t in enumerate(texts):
+            t = t or ""
+            if self.OTHER.search(t) or (self.special and self.special.search(t)):
+                whole.append((k, t))
+            else:
+                found = self.WORDS.findall(t.lower())
+                missing.update(found)
+                split.append((k, found))
+        missing.difference_update(known)
+        rest = list(missing)
+        for i in range(0, len(rest), 10_000):
+            part = rest[i : i + 10_000]
+            known.update(zip(part, [self._bytes(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        for k, found in split:
+            out[k] = b"".join(map(known.__getitem__, found))
+        for i in range(0, len(whole), 100):
+            part = whole[i : i + 100]
+            for (k, _), e in zip(part, self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
+                out[k] = self._bytes(e.ids)
+        return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
+from .packing import op10_packing
 from .quality_rules import op7_quality_rules
 from .sharding import op4_sharding
 from .simhash import op6_simhash
@@ -14,5 +15,6 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}
