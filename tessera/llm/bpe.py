@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
+import numpy as np
 import public_tokenizers
 import regex
 from tokenizers import Tokenizer
 
-#: Distinct pre-tokens that a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 150_000
+#: Distinct pre-tokens that a worker remembers from task to task; beyond it the memory starts anew.
+REMEMBERED = 400_000
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -93,12 +95,26 @@ class WordIds:
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        vocabulary = self.library.get_vocab()
+        #: Whether an id ends a word.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _bytes(self, ids: list[int]) -> bytes:
-        import numpy as np
-
         return np.array(ids, self.kind).tobytes()
 
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one encoding of all: the last id of a word, and no other, has the end-of-word mark."""
+        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        if len(ends) != len(words):
+            return [self._bytes(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        flat, out, a = ids.tobytes(), [], 0
+        for b in ends.tolist():
+            out.append(flat[a:b])
+            a = b
+        return out
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes | None] = [None] * len(texts)
         whole, split = [], []
@@ -116,9 +132,9 @@ class WordIds:
                 split.append((k, found))
         missing.difference_update(known)
         rest = list(missing)
-        for i in range(0, len(rest), 10_000):
-            part = rest[i : i + 10_000]
-            known.update(zip(part, [self._bytes(e.ids) for e in self.library.encode_batch_fast(part, add_special_tokens=False)], strict=True))
+        for i in range(0, len(rest), 5_000):
+            part = rest[i : i + 5_000]
+            known.update(zip(part, self._each(part), strict=True))
         for k, found in split:
             out[k] = b"".join(map(known.__getitem__, found))
         for i in range(0, len(whole), 100):
@@ -126,3 +142,15 @@ class WordIds:
             for (k, _), e in zip(part, self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
                 out[k] = self._bytes(e.ids)
         return out
+
+
+@functools.cache
+def whole_token_counter(path: str) -> WholeTokenCounter:
+    """One a worker process, so that tasks share what it remembers."""
+    return WholeTokenCounter(path)
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One a worker process, so that tasks share what it remembers."""
+    return WordIds(path)

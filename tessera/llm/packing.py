@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import WordIds
+from .bpe import word_ids
 from .common import table
 
 WINDOW, END = 2048, 1
@@ -125,7 +125,7 @@ def tokenized(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
     schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField("_ids", T.BinaryType())])
 
     def run(batches):
-        ids = WordIds(vocabulary)
+        ids = word_ids(vocabulary)
         end = np.array([END], ids.kind).tobytes()
         for batch in batches:
             found: list[bytes] = []
@@ -152,7 +152,7 @@ def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window
     mark alone. Repeated rows are packed each; other columns are not returned; an empty table gives an empty result.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    kind = "<u2" if WordIds(path).kind == "<u2" else "<u4"
+    kind = "<u2" if word_ids(path).kind == "<u2" else "<u4"
     size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 4 * F.count("*")).first()[0]
     shards = max(1, -(-size // shard_bytes))
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import WholeTokenCounter
+from .bpe import whole_token_counter
 from .common import table
 
 LIMIT = 1024
@@ -27,7 +27,7 @@ def token_counts(df: DataFrame, text: str = "text", into: str = "n_tokens", voca
     schema = T.StructType([f for f in df.schema if f.name != into] + [T.StructField(into, T.LongType())])
 
     def run(batches):
-        counter = WholeTokenCounter(path)
+        counter = whole_token_counter(path)
         for batch in batches:
             counts: list[int] = []
             group: list[str | None] = []
