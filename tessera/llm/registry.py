@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from .decontaminate import op5_decontaminate
+from .language import op1_language
 from .packing import op10_packing
 from .quality_rules import op7_quality_rules
 from .sharding import op4_sharding
 from .simhash import op6_simhash
 from .token_counts import op9_token_counts
+from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
