@@ -139,8 +139,8 @@ def _masks(bits: list[int], radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(bits, r)], np.uint64)
 
 
-def listed(prints: DataFrame, groups: list[list[int]], thresholds: list[int], side: str) -> DataFrame:
-    """(part, key, print): the keys of each fingerprint for one side of the meeting; ``side`` is 'small' or 'large'."""
+def listed(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], side: str) -> DataFrame:
+    """(part, key, print, part_of): the keys of each fingerprint of nodes(print long, part_of long) for one side of the meeting; ``side`` is 'small' or 'large'."""
     plan = []
     for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
         if t >= 0:
@@ -148,42 +148,75 @@ def listed(prints: DataFrame, groups: list[list[int]], thresholds: list[int], si
 
     def run(batches):
         for batch in batches:
-            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            x, owner = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("print", "part_of"))
+            x = x.view(np.uint64)
             for i in range(0, len(x), 2048):
-                y = x[i : i + 2048]
+                y, o = x[i : i + 2048], owner[i : i + 2048]
                 for part, mask, around in plan:
                     keys = ((y & mask)[:, None] ^ around[None, :]).ravel().view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"part": np.full(len(keys), part, np.int32), "key": keys, "print": np.repeat(y.view(np.int64), len(around))})
+                    yield pa.RecordBatch.from_pydict({"part": np.full(len(keys), part, np.int32), "key": keys, "print": np.repeat(y.view(np.int64), len(around)), "part_of": np.repeat(o, len(around))})
+
+    return nodes.select("print", "part_of").mapInArrow(run, "part int, key long, print long, part_of long")
+
 
-    return prints.mapInArrow(run, "part int, key long, print long")
+def close_links(prints: DataFrame) -> DataFrame:
+    """(a, b): links that join all fingerprints within two bits of each other, without listing pairs.
 
+    Each fingerprint is listed under the 65 values within one bit of it. Those listed under one value are within two
+    bits of each other and at most 65, and two within two bits share a value; so each list becomes a star.
+    """
+    around = _masks(list(range(BITS)), 1)
 
-def links(prints: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
-    """(a, b), a < b: every pair of the distinct fingerprints prints(print long) within ``distance`` bits, once."""
-    n, both = bit_statistics(prints)
+    def run(batches):
+        for batch in batches:
+            x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for i in range(0, len(x), 2048):
+                y = x[i : i + 2048]
+                yield pa.RecordBatch.from_pydict({"key": (y[:, None] ^ around[None, :]).ravel().view(np.int64), "print": np.repeat(y.view(np.int64), len(around))})
+
+    lists = prints.mapInArrow(run, "key long, print long").groupBy("key").agg(F.min("print").alias("a"), F.collect_list("print").alias("near"))
+    return lists.filter(F.size("near") > 1).select("a", F.explode("near").alias("b")).filter("a < b").distinct()
+
+
+def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
+    """(a, b), a < b: the parts that a pair of fingerprints within ``distance`` bits joins, for nodes(print long, part_of long).
+
+    Only keys that more than one part lists are probed, and only fingerprints of different parts are paired, so what a
+    dense group already holds together makes no rows.
+    """
+    n, both = bit_statistics(nodes.select("print"))
     groups = group_bits(n, both, parts)
     thresholds = allocate(n, both, groups, distance)
-    small = listed(prints, groups, thresholds, "small").withColumnRenamed("print", "a")
-    large = listed(prints, groups, thresholds, "large").withColumnRenamed("print", "b")
-    met = small.join(large, ["part", "key"]).filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance))
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    small, large = (listed(nodes, groups, thresholds, side) for side in ("small", "large"))
+    keys = small.union(large).groupBy("part", "key").agg(F.min("part_of").alias("low"), F.max("part_of").alias("high")).filter("low < high").select("part", "key")
+    keys = stored(keys, "simhash-keys")
+    small, large = (stored(x.join(keys, ["part", "key"], "left_semi"), "simhash-listed") for x in (small, large))
+    met = small.select("part", "key", F.col("print").alias("x"), F.col("part_of").alias("p")).join(large.select("part", "key", F.col("print").alias("y"), F.col("part_of").alias("q")), ["part", "key"])
+    met = met.filter((F.col("p") != F.col("q")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance))
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
     """(id, fingerprint long, component_id): one row per row of df, the component being its smallest id.
 
     Rows of equal fingerprints, also the many without words, are one node of the graph, so exact copies cost one row
-    each. Null ids take part in links but are never a component's name unless it has no other. Repeated rows are
-    returned as often as they occur; other columns are not returned; an empty table gives an empty result.
+    each. Nodes within two bits are joined first, without pairs; the probe then links the parts so found. Null ids
+    take part in links but are never a component's name unless it has no other. Repeated rows are returned as often as
+    they occur; other columns are not returned; an empty table gives an empty result.
     """
     prints = stored(fingerprints(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "print").select("id", "print"), "simhash")
     nodes = stored(prints.groupBy("print").agg(F.min("id").alias("id")), "simhash-nodes")
-    found = stored(links(nodes.select("print"), distance, parts), "simhash-links")
-    names = connected_components(found)  # (node, root) of the linked fingerprints
-    grouped = names.withColumnRenamed("node", "print").join(nodes, "print")
+    if distance >= 2:
+        near = connected_components(stored(close_links(nodes.select("print")), "simhash-close"))
+        nodes = nodes.join(near.withColumnRenamed("node", "print"), "print", "left").select("print", "id", F.coalesce("root", "print").alias("part_of"))
+    else:
+        nodes = nodes.withColumn("part_of", F.col("print"))
+    nodes = stored(nodes, "simhash-parts")
+    far = connected_components(stored(links(nodes, distance, parts), "simhash-links"))
+    grouped = nodes.join(far.withColumnRenamed("node", "part_of"), "part_of", "left").select("print", "id", F.coalesce("root", "part_of").alias("root"))
+    grouped = stored(grouped, "simhash-grouped")
     smallest = grouped.groupBy("root").agg(F.min("id").alias("component_id"))
-    linked = grouped.join(smallest, "root").select("print", "component_id")
-    named = nodes.join(linked, "print", "left").select("print", F.coalesce("component_id", "id").alias("component_id"))
+    named = grouped.join(smallest, "root").select("print", "component_id")
     return prints.join(named, "print").select(F.col("id").alias(id), F.col("print").alias("fingerprint"), "component_id")
 
 
