@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import op8_chat
 from .decontaminate import op5_decontaminate
 from .language import op1_language
 from .packing import op10_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
+    "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
