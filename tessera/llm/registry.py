@@ -6,6 +6,7 @@ from .chat import op8_chat
 from .decontaminate import op5_decontaminate
 from .language import op1_language
 from .packing import op10_packing
+from .pii import op2_pii
 from .quality_rules import op7_quality_rules
 from .sharding import op4_sharding
 from .simhash import op6_simhash
@@ -14,6 +15,7 @@ from .toxicity import op3_toxicity
 
 QUERIES = {
     "op1_language": op1_language,
+    "op2_pii": op2_pii,
     "op3_toxicity": op3_toxicity,
     "op4_sharding": op4_sharding,
     "op5_decontaminate": op5_decontaminate,

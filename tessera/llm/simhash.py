@@ -221,9 +221,17 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", dista
 
 
 def keep_first(df: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
-    """One row of each group of near-duplicates: the one with the smallest id (of equal ids one); columns as in df."""
-    kept = near_duplicates(df, text, id, **options).filter(F.col(id) == F.col("component_id")).select(id).distinct()
-    return df.join(kept, id, "left_semi").dropDuplicates([id])
+    """One row of each group of near-duplicates, with the columns of df: the one of the smallest id.
+
+    Rows without an id come after those with one; among equal ids a hash of the whole row decides, and of wholly equal
+    rows one stays. Only ids and hashes travel to find the rows that stay.
+    """
+    # rows are told apart by their hash with their id
+    own = {"_n": F.col(id).isNull(), "_i": F.coalesce(F.col(id), F.lit(0)), "_h": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])}
+    named = df.select(F.struct(*[c.alias(k) for k, c in own.items()]).alias("_id"), F.col(text).alias("_text"))
+    found = near_duplicates(named, "_text", "_id", **options)
+    kept = found.filter(F.col("_id") == F.col("component_id")).select("_id.*").distinct()
+    return df.withColumns(own).join(kept, list(own), "left_semi").dropDuplicates(list(own)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
