@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import functools
 import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import regex
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 #: Distinct pre-tokens that a worker remembers from task to task; beyond it the memory starts anew.
 REMEMBERED = 400_000
@@ -77,70 +78,104 @@ def _byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+def _class(kind: str, below: int) -> str:
+    """A regular expression's character class body of the characters below a code point whose category begins with kind."""
+    return "".join(re.escape(chr(c)) for c in range(below) if unicodedata.category(chr(c))[0] == kind)
+
+
+class _Numbers(dict):
+    """Word to a number from 0, in order of first sight; ``fresh`` are the words that came since it was last emptied."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordIds:
     """Ids of a word-level BPE (lower case, white space dropped) as little-endian bytes.
 
-    Words are independent in this vocabulary, so a text's ids are those of its words, joined. That holds as the pattern
-    below states it for texts up to U+024F without control characters that libraries class differently and without
-    special tokens; any other text goes to the library whole.
+    Words are independent in this vocabulary, so a text's ids are those of its words, joined; each distinct word is
+    encoded once. The pattern cuts words as the vocabulary's own pre-tokenizer does for texts below ``PLAIN`` without
+    control characters that libraries class differently and without special tokens; any other text goes to the library
+    whole. Below ``PLAIN``, lower case stays below it and normalisation changes nothing.
     """
 
-    #: Letters, single digits and runs of other signs, as the vocabulary's own pre-tokenizer cuts lower-cased text below U+0250.
-    WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[0-9²³¹¼½¾]|(?:[^\s\w]|_)+")
-    OTHER = re.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ]|İ")
+    PLAIN = 0x180
+    OTHER = re.compile(rf"[^\x00-\x1b\x20-\x84\x86-{chr(PLAIN - 1)}]|İ")
 
     def __init__(self, path: str):
         self.library = tokenizer(path)
+        letters, numbers = _class("L", self.PLAIN), _class("N", self.PLAIN)
+        self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+")
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.kind = "<u2" if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.known: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab()
         #: Whether an id ends a word.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def _each(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, from one encoding of all: the last id of a word, and no other, has the end-of-word mark."""
-        ids = np.array(self.library.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
-        ends = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
-        if len(ends) != len(words):
-            return [self._bytes(e.ids) for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
-        flat, out, a = ids.tobytes(), [], 0
-        for b in ends.tolist():
-            out.append(flat[a:b])
-            a = b
-        return out
+        #: The library's merges without its normaliser and pattern, for words that are already cut and lower-cased.
+        self.merges = tokenizer(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known = _Numbers()
+        self.flat = np.array([], self.kind)
+        self.starts = np.array([0], np.int64)
+
+    def _learn(self) -> None:
+        """Encodes the fresh words together: the last id of a word, and no other, has the end-of-word mark."""
+        fresh, self.known.fresh = self.known.fresh, []
+        flats, lengths = [self.flat], []
+        for i in range(0, len(fresh), 5_000):
+            part = fresh[i : i + 5_000]
+            ids = np.array(self.merges.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                each = [np.array(e.ids, self.kind) for e in self.library.encode_batch_fast(part, add_special_tokens=False)]
+                ids, ends = np.concatenate(each), np.cumsum([len(x) for x in each])
+            flats.append(ids)
+            lengths.append(np.diff(ends, prepend=0))
+        if fresh:
+            self.flat = np.concatenate(flats)
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole, split = [], []
+        out: list[bytes] = [b""] * len(texts)
+        whole, split, numbers = [], [], []
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        missing: set[str] = set()
+            self._forget()
+        number = self.known.__getitem__
         for k, t in enumerate(texts):
             t = t or ""
             if self.OTHER.search(t) or (self.special and self.special.search(t)):
                 whole.append((k, t))
             else:
-                found = self.WORDS.findall(t.lower())
-                missing.update(found)
-                split.append((k, found))
-        missing.difference_update(known)
-        rest = list(missing)
-        for i in range(0, len(rest), 5_000):
-            part = rest[i : i + 5_000]
-            known.update(zip(part, self._each(part), strict=True))
-        for k, found in split:
-            out[k] = b"".join(map(known.__getitem__, found))
+                found = self.words.findall(t.lower())
+                numbers.append(np.fromiter(map(number, found), np.int32, len(found)))
+                split.append(k)
+        self._learn()
+        if split:
+            word = np.concatenate(numbers)
+            lengths = self.starts[word + 1] - self.starts[word]
+            ends = np.concatenate(([0], np.cumsum(lengths)))
+            flat = self.flat[np.repeat(self.starts[word] - ends[:-1], lengths) + np.arange(ends[-1])].tobytes()
+            stops = ends[np.cumsum([len(x) for x in numbers])] * self.flat.itemsize
+            at = 0
+            for k, stop in zip(split, stops.tolist(), strict=True):
+                out[k] = flat[at:stop]
+                at = stop
         for i in range(0, len(whole), 100):
             part = whole[i : i + 100]
             for (k, _), e in zip(part, self.library.encode_batch_fast([t for _, t in part], add_special_tokens=False), strict=True):
-                out[k] = self._bytes(e.ids)
+                out[k] = np.array(e.ids, self.kind).tobytes()
         return out
 
 
