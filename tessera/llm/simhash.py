@@ -21,6 +21,8 @@ from .components import connected_components
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Two wide partitions: chance meetings stay rare up to billions of fingerprints.
 PARTS = 2
+#: Fingerprints with an equal half from which on their place counts as crowded.
+CROWD = 8
 #: Cost of one listed key against one verified meeting, for the allocation of thresholds.
 KEY_COST = 4.0
 
@@ -112,7 +114,7 @@ def allocate(n: int, both: np.ndarray, groups: list[list[int]], distance: int =
         ball = np.cumsum([_choose(len(g), k) for k in range(distance + 1)])
         cost = [0.0]
         for t in range(distance + 1):
-            sides = ball[t // 2] + (ball[t - t // 2] if t % 2 else 0)
+            sides = ball[t - t // 2]
             cost.append(KEY_COST * n * sides + n * n / 2 * within[min(t, len(within) - 1)])
         costs.append(cost)
     total = distance - len(groups) + 1
@@ -139,12 +141,9 @@ def _masks(bits: list[int], radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(bits, r)], np.uint64)
 
 
-def listed(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], side: str) -> DataFrame:
-    """(part, key, print, part_of): the keys of each fingerprint of nodes(print long, part_of long) for one side of the meeting; ``side`` is 'small' or 'large'."""
-    plan = []
-    for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
-        if t >= 0:
-            plan.append((k, np.uint64(sum(1 << b for b in bits)), _masks(bits, t // 2 if side == "small" else t - t // 2)))
+def listed(nodes: DataFrame, groups: list[list[int]], thresholds: list[int]) -> DataFrame:
+    """(key, print, part_of): the keys around each fingerprint of nodes(print long, part_of long), each key's other bits telling its partition."""
+    plan = [(np.uint64(mask), np.uint64(fill), _masks(bits, t - t // 2)) for bits, t, mask, fill in _partitions(groups, thresholds)]
 
     def run(batches):
         for batch in batches:
@@ -152,15 +151,81 @@ def listed(nodes: DataFrame, groups: list[list[int]], thresholds: list[int], sid
             x = x.view(np.uint64)
             for i in range(0, len(x), 2048):
                 y, o = x[i : i + 2048], owner[i : i + 2048]
-                for part, mask, around in plan:
-                    keys = ((y & mask)[:, None] ^ around[None, :]).ravel().view(np.int64)
-                    yield pa.RecordBatch.from_pydict({"part": np.full(len(keys), part, np.int32), "key": keys, "print": np.repeat(y.view(np.int64), len(around)), "part_of": np.repeat(o, len(around))})
+                for mask, fill, around in plan:
+                    keys = (((y & mask) | fill)[:, None] ^ around[None, :]).ravel().view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"key": keys, "print": np.repeat(y.view(np.int64), len(around)), "part_of": np.repeat(o, len(around))})
+
+    return nodes.select("print", "part_of").mapInArrow(run, "key long, print long, part_of long")
+
+
+def _partitions(groups: list[list[int]], thresholds: list[int]) -> list[tuple[list[int], int, int, int]]:
+    """(bits, threshold, mask, fill) of the partitions in use; fill sets bits outside the mask as no other partition's does."""
+    out = []
+    for k, (bits, t) in enumerate(zip(groups, thresholds, strict=True)):
+        mask = sum(1 << b for b in bits)
+        if t >= 0:
+            out.append((bits, t, mask, (0x9E3779B97F4A7C15 * (k + 1)) % (1 << BITS) & ~mask))
+    return out
 
-    return nodes.select("print", "part_of").mapInArrow(run, "part int, key long, print long, part_of long")
+
+def meetings(rows: DataFrame, groups: list[list[int]], thresholds: list[int], distance: int) -> DataFrame:
+    """(a, b): parts with fingerprints that share a key and are within ``distance`` bits.
+
+    Keys are read as a sorted stream. One listed by a single part is passed over in one step, however many list it; the
+    rest compare each fingerprint with those after it under the key, all keys at once.
+    """
+    plan = [(np.uint64(mask), np.uint64(fill), t // 2) for _, t, mask, fill in _partitions(groups, thresholds)]
+
+    def linked(key, x, part):
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        sizes = np.diff(np.append(starts, len(key)))
+        mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
+        take = np.repeat(mixed, sizes)
+        key, x, part = key[take], x[take].view(np.uint64), part[take]
+        sizes = sizes[mixed]
+        left = np.repeat(sizes, sizes) - np.arange(len(key)) + np.repeat(np.cumsum(sizes) - sizes, sizes) - 1  # rows of the key after this one
+        wide = key.view(np.uint64)
+        inner = np.zeros(len(key), bool)  # rows of the small side too
+        for mask, fill, radius in plan:
+            inner |= ((wide & ~mask) == fill) & (np.bitwise_count((wide ^ x) & mask) <= radius)
+        found, d, at = [], 1, np.flatnonzero(left >= 1)
+        while len(at):
+            near = (part[at] != part[at + d]) & (inner[at] | inner[at + d]) & (np.bitwise_count(x[at] ^ x[at + d]) <= distance)
+            if near.any():
+                p, q = part[at[near]], part[at[near] + d]
+                found.append(np.unique(np.stack((np.minimum(p, q), np.maximum(p, q)), axis=1), axis=0))
+            d += 1
+            at = at[left[at] >= d]
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+
+    def run(batches):
+        kept = tuple(np.array([], np.int64) for _ in range(3))
+        for batch in batches:
+            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "print", "part_of")]
+            if not len(new[0]):
+                continue
+            now = [np.concatenate(x) for x in zip(kept, new, strict=True)]
+            last = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
+            kept = tuple(x[last:] for x in now)
+            if last:
+                out = linked(*(x[:last] for x in now))
+                yield pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
+        if len(kept[0]):
+            out = linked(*kept)
+            yield pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def crowded(prints: DataFrame, most: int = CROWD) -> DataFrame:
+    """The fingerprints that share one of their halves with others, at least ``most`` in all: where dense groups are."""
+    halves = prints.select("print", F.explode(F.array(F.struct(F.lit(0).alias("h"), F.col("print").bitwiseAND(0xFFFFFFFF).alias("v")), F.struct(F.lit(1).alias("h"), F.shiftrightunsigned("print", 32).alias("v")))).alias("x")).select("print", "x.*")
+    many = halves.groupBy("h", "v").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most)
+    return halves.join(many, ["h", "v"], "left_semi").select("print").distinct()
 
 
 def close_links(prints: DataFrame) -> DataFrame:
-    """(a, b): links that join all fingerprints within two bits of each other, without listing pairs.
+    """(a, b): links that join all of these fingerprints within two bits of each other, without listing pairs.
 
     Each fingerprint is listed under the 65 values within one bit of it. Those listed under one value are within two
     bits of each other and at most 65, and two within two bits share a value; so each list becomes a star.
@@ -179,35 +244,26 @@ def close_links(prints: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
-    """(a, b), a < b: the parts that a pair of fingerprints within ``distance`` bits joins, for nodes(print long, part_of long).
-
-    Only keys that more than one part lists are probed, and only fingerprints of different parts are paired, so what a
-    dense group already holds together makes no rows.
-    """
+    """(a, b), a < b: the parts that a pair of fingerprints within ``distance`` bits joins, for nodes(print long, part_of long)."""
     n, both = bit_statistics(nodes.select("print"))
     groups = group_bits(n, both, parts)
     thresholds = allocate(n, both, groups, distance)
-    small, large = (listed(nodes, groups, thresholds, side) for side in ("small", "large"))
-    keys = small.union(large).groupBy("part", "key").agg(F.min("part_of").alias("low"), F.max("part_of").alias("high")).filter("low < high").select("part", "key")
-    keys = stored(keys, "simhash-keys")
-    small, large = (stored(x.join(keys, ["part", "key"], "left_semi"), "simhash-listed") for x in (small, large))
-    met = small.select("part", "key", F.col("print").alias("x"), F.col("part_of").alias("p")).join(large.select("part", "key", F.col("print").alias("y"), F.col("part_of").alias("q")), ["part", "key"])
-    met = met.filter((F.col("p") != F.col("q")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= distance))
-    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    return meetings(listed(nodes, groups, thresholds), groups, thresholds, distance).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
     """(id, fingerprint long, component_id): one row per row of df, the component being its smallest id.
 
     Rows of equal fingerprints, also the many without words, are one node of the graph, so exact copies cost one row
-    each. Nodes within two bits are joined first, without pairs; the probe then links the parts so found. Null ids
+    each. In crowded places nodes within two bits are joined first, without pairs; the probe then links the parts so
+    found and the other nodes. Null ids
     take part in links but are never a component's name unless it has no other. Repeated rows are returned as often as
     they occur; other columns are not returned; an empty table gives an empty result.
     """
     prints = stored(fingerprints(df.select(F.col(id).alias("id"), F.col(text).alias("text")), "text", "print").select("id", "print"), "simhash")
     nodes = stored(prints.groupBy("print").agg(F.min("id").alias("id")), "simhash-nodes")
     if distance >= 2:
-        near = connected_components(stored(close_links(nodes.select("print")), "simhash-close"))
+        near = connected_components(stored(close_links(crowded(nodes.select("print"))), "simhash-close"))
         nodes = nodes.join(near.withColumnRenamed("node", "print"), "print", "left").select("print", "id", F.coalesce("root", "print").alias("part_of"))
     else:
         nodes = nodes.withColumn("part_of", F.col("print"))
