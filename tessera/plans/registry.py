@@ -1,4 +1,8 @@
 """Queries over the test tables and the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from . import analytics, domain, quality
+
+QUERIES: dict = {**analytics.QUERIES, **domain.QUERIES, **quality.QUERIES}
+ORACLE_SQL: dict[str, str] = {**analytics.ORACLE_SQL, **domain.ORACLE_SQL, **quality.ORACLE_SQL}
