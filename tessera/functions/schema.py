@@ -6,13 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BARS = T._parse_datatype_string(
+
+
+def _schema(columns: str) -> T.StructType:
+    out = T.StructType()
+    for c in columns.split(", "):
+        out.add(*c.split(" "))
+    return out
+
+
+BARS = _schema(
     "symbol string, open_ts timestamp_ntz, close_ts timestamp_ntz, contract string, is_continuous boolean, open double, high double, low double, close double, volume double, "
-    "trade_count bigint, vwap double, open_interest double, bid double, ask double, source string, trading_date date, session_type string, is_regular boolean, is_extended boolean, "
-    "is_partial boolean, is_roll_affected boolean, is_stale boolean, quality_status string, ingest_seq bigint"
+    "trade_count long, vwap double, open_interest double, bid double, ask double, source string, trading_date date, session_type string, is_regular boolean, is_extended boolean, "
+    "is_partial boolean, is_roll_affected boolean, is_stale boolean, quality_status string, ingest_seq long"
 )
-YIELDS = T._parse_datatype_string("symbol string, observation_date date, maturity string, vintage_date date, available_ts timestamp_ntz, published_ts timestamp_ntz, value double, is_revised boolean, source string, ingest_seq bigint")
-ISSUES = T._parse_datatype_string("bar_id bigint, symbol string, issue_ts timestamp_ntz, issue_type string, severity string, disposition string, observed_value string, expected string")
+YIELDS = _schema("symbol string, observation_date date, maturity string, vintage_date date, available_ts timestamp_ntz, published_ts timestamp_ntz, value double, is_revised boolean, source string, ingest_seq long")
+ISSUES = _schema("bar_id long, symbol string, issue_ts timestamp_ntz, issue_type string, severity string, disposition string, observed_value string, expected string")
 #: The columns that research exports keep.
 RESEARCH = ("symbol", "open_ts", "open", "high", "low", "close", "volume", "vwap", "trade_count", "trading_date", "is_regular", "is_extended", "session_type", "is_partial", "quality_status")
 
