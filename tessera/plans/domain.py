@@ -1,2 +1,398 @@
+"""Queries of the composite operators: bars, sessions, coverage, curves, merges, research."""
+
+from __future__ import annotations
+
+from datetime import date, datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from ..functions import timeops as t
+from ..operators import align, bars as B, coverage as C, curve as Y, merge as M, research as R, rolls, sessions as S, split as P
+from ..streaming import bars as live
+from .views import BARS5, RAW, SESSIONS, TICKS, YIELDS, bars5, raw_bars, read, tick_bars, ticks, yields
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+FIRST, LAST = date(2023, 12, 28), date(2024, 3, 31)
+#: The coverage window: three weeks from the second of January 2024.
+START, END = datetime(2024, 1, 2), datetime(2024, 1, 23)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+@query("d2_bars_5m", f'with {BARS5} select symbol, contract, open_ts, close_ts, "open", high, low, "close", volume, round(vwap, 6) vwap, trade_count, is_partial from bars')
+def d2(spark, sf):
+    return bars5(spark, sf).select("symbol", "contract", "open_ts", "close_ts", "open", "high", "low", "close", "volume", F.round("vwap", 6).alias("vwap"), "trade_count", "is_partial")
+
+
+_BARS15 = """b15 as (
+  select symbol, time_bucket(interval 15 minute, open_ts) bar_ts, arg_min("open", open_ts) "open", max(high) high, min(low) low, arg_max("close", open_ts) "close", coalesce(sum(volume), 0) volume,
+    cast(sum(trade_count) as bigint) trade_count, count(*) n_observed, min(open_ts) first_ts, max(open_ts) last_ts, count(*) = 3 is_complete from bars group by 1, 2)"""
+
+
+@query(
+    "d10_bars_15m",
+    f"""with {BARS5}, {_BARS15} select *, case when is_complete and lag(is_complete) over w and bar_ts - lag(bar_ts) over w = interval 15 minute and lag("close") over w <> 0 then "close" / lag("close") over w - 1 end "return"
+    from b15 window w as (partition by symbol order by bar_ts)""",
+)
+def d10(spark, sf):
+    return B.observed_bars(bars5(spark, sf))
+
+
+_GRID = """grid as (select symbol, unnest(generate_series(lo, hi, interval 5 minute)) slot_ts from (select min(open_ts) lo, max(open_ts) hi from bars), (select distinct symbol from bars)),
+  g0 as (select grid.symbol, slot_ts, "open", high, low, "close", volume from grid left join bars on grid.symbol = bars.symbol and slot_ts = open_ts),
+  g as (select *, "close" is not null is_observed, "close" is null is_missing, case when lag("close") over (partition by symbol order by slot_ts) <> 0 then "close" / lag("close") over (partition by symbol order by slot_ts) - 1 end "return" from g0)"""
+
+
+@query("d7_aligned_grid", f"with {BARS5}, {_GRID} select * from g")
+def d7(spark, sf):
+    return align.aligned(bars5(spark, sf))
+
+
+@query(
+    "d11_decision_times",
+    """with d as (select distinct cast(o_orderdate as date) trading_date from orders), x as (
+      select trading_date, trading_date + interval 870 minute session_open, trading_date + interval 1260 minute session_close, unnest([14, 17, 19]) local_hour from d),
+    y as (select *, timezone('UTC', timezone('Europe/London', trading_date + to_hours(local_hour))) decision_ts from x)
+    select 'X' symbol, trading_date, session_open, session_close, local_hour, decision_ts, date_diff('minute', session_open, decision_ts) minutes_from_open, date_diff('minute', decision_ts, session_close) minutes_until_close,
+      decision_ts < session_open is_before_open, session_open <= decision_ts and decision_ts < session_close is_in_session from y""",
+)
+def d11(spark, sf):
+    day = F.to_date("o_orderdate")
+    bars = read(spark, sf, "orders").select(F.lit("X").alias("symbol"), day.alias("trading_date"), t.plus_minutes(day.cast("timestamp_ntz"), 870).alias("open_ts"), t.plus_minutes(day.cast("timestamp_ntz"), 1260).alias("close_ts"), F.lit(True).alias("is_regular"))
+    return S.decision_times(bars)
+
+
+@query(
+    "d13_rolls",
+    f"""with {BARS5}, l as (select *, lag(contract) over (partition by symbol order by open_ts, bar_id) was, row_number() over (partition by symbol order by open_ts, bar_id) n from bars)
+    select symbol, open_ts roll_ts, open_ts decision_ts, was outgoing_contract, contract incoming_contract, 'unadjusted' adjustment from l where n > 1 and contract <> was""",
+)
+def d13(spark, sf):
+    return rolls.rolls(bars5(spark, sf))
+
+
+@query("d14_raw_contracts", f"""with {BARS5} select symbol || '__RAW__' || contract symbol, contract, count(*) n, min(open_ts) first_ts, max(open_ts) last_ts from bars group by 1, 2""")
+def d14(spark, sf):
+    return B.raw_contracts(bars5(spark, sf)).groupBy("symbol", "contract").agg(F.count("*").alias("n"), F.min("open_ts").alias("first_ts"), F.max("open_ts").alias("last_ts"))
+
+
+@query("d15_sessions", f"with {SESSIONS} select trading_date, open_ts, close_ts, false is_shortened from sess")
+def d15(spark, sf):
+    return S.sessions(spark, "XNYS", FIRST, LAST).select("trading_date", "open_ts", "close_ts", "is_shortened")
+
+
+_CLASSIFIED = """cls as (
+  select x.*, s.trading_date sd, s.open_ts so, cast(timezone('America/New_York', timezone('UTC', x.ots)) as date) cand from (select *, {ts} ots from {of}) x left join sess s on x.ots >= s.open_ts and x.ots < s.close_ts),
+  c2 as (select *, coalesce(sd, cand) tdate, sd is not null is_regular, sd is null and cand in (select trading_date from sess) is_extended, cand not in (select trading_date from sess) is_holiday from cls)"""
+
+
+@query(
+    "d16_sessions_classified",
+    f"""with {TICKS}, {SESSIONS}, {_CLASSIFIED.format(ts='ts', of='ticks')} select seq, tdate trading_date, is_regular, is_extended, is_holiday,
+    case when is_regular then 'regular_session' when is_extended then 'extended_session' else 'outside_scheduled_market' end session_type, case when is_regular then (epoch_us(ots) - epoch_us(so)) // 60000000 end minutes_since_open from c2""",
+)
+def d16(spark, sf):
+    return S.classify(tick_bars(spark, sf), S.sessions(spark, "XNYS", FIRST, LAST), "XNYS").select(F.col("ingest_seq").alias("seq"), "trading_date", "is_regular", "is_extended", "is_holiday", "session_type", "minutes_since_open")
+
+
+def _classified(spark, sf):
+    inside = bars5(spark, sf).filter((F.col("open_ts") >= F.lit(START)) & (F.col("open_ts") < F.lit(END)))
+    return S.classify(inside, S.sessions(spark, "XNYS", FIRST, LAST), "XNYS")
+
+
+def _expected(spark):
+    return S.expected_slots(S.sessions(spark, "XNYS", FIRST, LAST), START, END).drop("calendar")
+
+
+_COVER = f"""with {BARS5}, {SESSIONS}, inw as (select * from bars where open_ts >= timestamp '2024-01-02' and open_ts < timestamp '2024-01-23'), {_CLASSIFIED.format(ts='open_ts', of='inw')},
+  slots as (select trading_date, unnest(generate_series(open_ts, close_ts - interval 5 minute, interval 5 minute)) slot_ts from sess where open_ts >= timestamp '2024-01-02' and close_ts <= timestamp '2024-01-23')"""
+
+
+@query(
+    "d5_coverage",
+    f"""{_COVER}, n as (select count(*) n_expected from slots)
+    select symbol, count(*) n_observed, count(distinct tdate) n_dates, min(open_ts) first_ts, max(open_ts) last_ts, count(*) filter (is_regular and open_ts in (select slot_ts from slots)) n_covering, any_value(n_expected) n_expected,
+      greatest(0, any_value(n_expected) - count(*) filter (is_regular and open_ts in (select slot_ts from slots))) missing_expected, count(*) filter (is_regular and open_ts in (select slot_ts from slots)) * 100.0::double / any_value(n_expected) coverage_percentage
+    from c2, n group by symbol""",
+)
+def d5(spark, sf):
+    return C.coverage(_classified(spark, sf), _expected(spark))
+
+
+@query(
+    "q28a_missing_slots",
+    f"""{_COVER}, w as (select symbol, trading_date, slot_ts from (select distinct symbol from inw), slots)
+    select symbol, trading_date, count(*) n_missing, min(slot_ts) first_missing, max(slot_ts) last_missing from w where not exists (select 1 from c2 where is_regular and c2.symbol = w.symbol and c2.tdate = w.trading_date and c2.open_ts = w.slot_ts) group by 1, 2""",
+)
+def q28a(spark, sf):
+    return C.missing_slots(_classified(spark, sf), _expected(spark))
+
+
+@query(
+    "q28b_gaps",
+    f"""with {BARS5}, l as (select *, epoch_us(open_ts) - epoch_us(lag(open_ts) over (partition by symbol, cast(open_ts as date) order by open_ts)) gap from bars)
+    select symbol, open_ts issue_ts, greatest(0, gap // 300000000 - 1) n_estimated from l where gap > 300000000""",
+)
+def q28b(spark, sf):
+    return C.gaps(bars5(spark, sf))
+
+
+@query(
+    "a11_envelope",
+    f"""with {BARS5}, d as (select symbol, cast(open_ts as date) d, (epoch_us(max(open_ts)) - epoch_us(min(open_ts))) // 300000000 + 1 n from bars group by 1, 2) select symbol, cast(sum(n) as bigint) n_expected, count(*) n_days from d group by 1""",
+)
+def a11(spark, sf):
+    return C.by_envelope(bars5(spark, sf))
+
+
+_LEGS = sorted({s for legs in Y.SPREADS.values() for s in legs})
+_FILLED = ", ".join(f"last_value({s} ignore nulls) over (order by available_ts rows unbounded preceding) {s}" for s in _LEGS)
+_WIDE = ", ".join(f"""arg_max("value", struct_pack(o := observation_date, v := vintage_date, x := "value")) filter (symbol = '{s}') {s}""" for s in _LEGS)
+_SPREAD = ", ".join(f"({a} - {b}) * 100 {n}" for n, (a, b) in Y.SPREADS.items())
+_CHANGE = ", ".join(f"{n} - lag({n}) over (order by available_ts) {n}_change" for n in Y.SPREADS)
+_TURN = ", ".join(f"case when {n}_change > 0 then 'steepening' when {n}_change < 0 then 'flattening' else 'unchanged' end {n}_direction" for n in Y.SPREADS)
+
+
+@query(
+    "d8_curve",
+    f"""with {YIELDS}, wide as (select available_ts, {_WIDE} from yields where "value" is not null group by 1), filled as (select available_ts, {_FILLED} from wide),
+    sp as (select *, {_SPREAD} from filled), ch as (select *, {_CHANGE} from sp) select *, {_TURN} from ch""",
+)
+def d8(spark, sf):
+    return Y.curve(yields(spark, sf))
+
+
+@query(
+    "d9_vintages",
+    f"""with {YIELDS}, k as (select *, case when obs_id % 2 = 0 then 0 else 1 end kind from yields),
+    r as (select * from (select *, row_number() over (partition by symbol, observation_date, vintage_date order by kind desc, obs_id desc) rn from k) where rn = 1)
+    select symbol, observation_date, vintage_date, obs_id, "value", vintage_date > min(vintage_date) over (partition by symbol, observation_date) is_revised from r""",
+)
+def d9(spark, sf):
+    y = yields(spark, sf).drop("is_revised")
+    return Y.vintages(y.filter("obs_id % 2 = 0"), y.filter("obs_id % 2 = 1")).select("symbol", "observation_date", "vintage_date", "obs_id", "value", "is_revised")
+
+
+@query(
+    "d19_split",
+    f"""with {TICKS}, e as (select min(ts) lo, max(ts) hi from ticks), c as (select time_bucket(interval 5 minute, least(hi - interval 6 day, lo + to_microseconds(cast(round((epoch_us(hi) - epoch_us(lo)) * 0.8) as bigint)))) cut from e)
+    select case when ts < cut then 'discovery' else 'untouched' end part, symbol, count(*) n, min(ts) first_ts, max(ts) last_ts from ticks, c group by 1, 2""",
+)
+def d19(spark, sf):
+    x = ticks(spark, sf)
+    s = P.split(*P.bounds(x, "ts"), test_days=6)
+    both = s.discovery(x, "ts").withColumn("part", F.lit("discovery")).unionByName(s.untouched(x, "ts").withColumn("part", F.lit("untouched")))
+    return both.groupBy("part", "symbol").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+
+
+@query(
+    "d20_earlier_window",
+    f"""with {TICKS}, e as (select min(ts) lo from ticks where ts >= timestamp '2024-01-20') select symbol, count(*) n from ticks, e where ts >= lo - interval 7 day and ts < lo group by 1""",
+)
+def d20(spark, sf):
+    x = ticks(spark, sf)
+    lo, _ = P.bounds(x.filter(F.col("ts") >= F.lit(datetime(2024, 1, 20))), "ts")
+    start, end = P.earlier_window(lo, 7)
+    return x.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))).groupBy("symbol").agg(F.count("*").alias("n"))
+
+
+@query(
+    "d23_preflight",
+    f"""with {RAW}, p as (select count(*) "rows", coalesce(bool_and("open" is not null and high is not null and low is not null and "close" is not null), false) priced, coalesce(bool_and(close_ts - open_ts = interval 5 minute), false) regular from raw)
+    select *, "rows" > 0 and priced and regular valid from p""",
+)
+def d23(spark, sf):
+    return B.preflight(raw_bars(spark, sf))
+
+
+@query(
+    "j14_as_of",
+    """with c as (select event_id, user_id, ts from events where event_type = 'click'), e as (select user_id, ts, "value" v from events where event_type = 'error')
+    select c.event_id, c.user_id, c.ts, e.v last_error from c asof left join e on c.user_id = e.user_id and c.ts >= e.ts""",
+)
+def j14(spark, sf):
+    e = read(spark, sf, "events")
+    return Y.as_of(e.filter("event_type = 'click'").select("event_id", "user_id", "ts"), e.filter("event_type = 'error'"), "user_id", "ts", "ts", "value", "last_error").select("event_id", "user_id", "ts", "last_error")
+
+
+_KEYS = ["symbol", "contract", "open_ts"]
+_COLS = ["symbol", "contract", "open_ts", "close", "volume", "bar_id"]
+
+
+def _base_and_updates(spark, sf):
+    b = bars5(spark, sf).select(*_COLS)
+    return b.filter("bar_id % 3 <> 0"), b.filter("bar_id % 2 = 0").withColumn("close", F.col("close") + 1)
+
+
+@query(
+    "u5_merge_bars",
+    f"""with {BARS5}, base as (select * from bars where bar_id % 3 <> 0), upd as (select * replace ("close" + 1 as "close") from bars where bar_id % 2 = 0)
+    select symbol, contract, open_ts, "close", volume, bar_id from upd union all select symbol, contract, open_ts, "close", volume, bar_id from base where bar_id not in (select bar_id from upd)""",
+)
+def u5(spark, sf):
+    return M.merge(*_base_and_updates(spark, sf), _KEYS)
+
+
+@query(
+    "u6_merge_yields",
+    f"""with {YIELDS}, d as (select * from (select *, row_number() over (partition by symbol, observation_date, vintage_date order by obs_id desc) rn from yields) where rn = 1),
+    base as (select * from d where obs_id % 3 <> 0), upd as (select symbol, observation_date, vintage_date, obs_id, "value" + 1 "value", published_ts - interval 1 day published_ts, 'new' source from d where obs_id % 2 = 0)
+    select coalesce(u.symbol, b.symbol) symbol, coalesce(u.observation_date, b.observation_date) observation_date, coalesce(u.vintage_date, b.vintage_date) vintage_date, case when u.obs_id is not null then u."value" else b."value" end "value",
+      least(u.published_ts, b.published_ts) published_ts, case when b.obs_id is not null then 'old' else 'new' end source
+    from base b full join upd u on b.obs_id = u.obs_id""",
+)
+def u6(spark, sf):
+    d = M.latest(yields(spark, sf), ["symbol", "observation_date", "vintage_date"], "obs_id").select("symbol", "observation_date", "vintage_date", "obs_id", "value", "published_ts")
+    base = d.filter("obs_id % 3 <> 0").withColumn("source", F.lit("old")).drop("obs_id")
+    new = d.filter("obs_id % 2 = 0").withColumns({"value": F.col("value") + 1, "published_ts": t.plus_minutes(F.col("published_ts"), -1440), "source": F.lit("new")}).drop("obs_id")
+    return M.merge(base, new, ["symbol", "observation_date", "vintage_date"], M.YIELD_POLICY)
+
+
+@query(
+    "u11_counters",
+    f"""with {BARS5}, base as (select * from bars where bar_id % 3 <> 0), upd as (select * from bars where bar_id % 2 = 0 union all select * from bars where bar_id % 10 = 0)
+    select count(*) received, count(distinct bar_id) filter (bar_id % 3 = 0) inserted, count(distinct bar_id) filter (bar_id % 3 <> 0) updated, count(*) - count(distinct bar_id) duplicates from upd""",
+)
+def u11(spark, sf):
+    base, new = _base_and_updates(spark, sf)
+    return M.counters(base, new.unionByName(new.filter("bar_id % 10 = 0")), _KEYS, "bar_id")
+
+
+@query(
+    "u8_merge_rolls",
+    f"""with {BARS5}, l as (select symbol, open_ts roll_ts, contract incoming, lag(contract) over (partition by symbol order by open_ts) outgoing, bar_id from bars), r as (select * from l where outgoing is not null and outgoing <> incoming)
+    select symbol, roll_ts, incoming, outgoing, 'kept' incoming_oi from r""",
+)
+def u8(spark, sf):
+    r = rolls.rolls(bars5(spark, sf)).select("symbol", "roll_ts", F.col("incoming_contract").alias("incoming"), F.col("outgoing_contract").alias("outgoing"))
+    return M.merge(r.withColumn("incoming_oi", F.lit("kept")), r.withColumn("incoming_oi", F.lit("lost")), ["symbol", "roll_ts", "incoming"], M.ROLL_POLICY)
+
+
+def _grid(spark, sf):
+    return align.aligned(bars5(spark, sf))
+
+
+_G = f"with {BARS5}, {_GRID} "
+_GW = "window w as (partition by symbol order by slot_ts)"
+
+
+@query("r1_forward_returns", _G + "select symbol, slot_ts, " + ", ".join(f"""case when "close" <> 0 then lead("close", {k}) over w / "close" - 1 end forward_{k}""" for k in (1, 3, 6, 12, 48)) + f" from g {_GW}")
+def r1(spark, sf):
+    return R.forward_returns(_grid(spark, sf)).select("symbol", "slot_ts", *[f"forward_{k}" for k in (1, 3, 6, 12, 48)])
+
+
+@query("r2_excursions", _G + """select symbol, slot_ts, case when "close" <> 0 then max(high) over n / "close" - 1 end mfe, case when "close" <> 0 then min(low) over n / "close" - 1 end mae from g window n as (partition by symbol order by slot_ts rows between 1 following and 12 following)""")
+def r2(spark, sf):
+    return R.excursions(_grid(spark, sf)).select("symbol", "slot_ts", "mfe", "mae")
+
+
+@query("r3_time_to_threshold", _G + "select symbol, slot_ts, coalesce(" + ", ".join(f"""case when lead(high, {k}) over w >= "close" * 1.05::double then {k} end""" for k in range(1, 13)) + f") steps_to_threshold from g {_GW}")
+def r3(spark, sf):
+    return R.time_to_threshold(_grid(spark, sf)).select("symbol", "slot_ts", "steps_to_threshold")
+
+
+@query("r4_trailing", _G + """select symbol, slot_ts, round(stddev_samp("return") over n, 6) realised_vol, round(case when avg(volume) over n <> 0 then volume / avg(volume) over n end, 6) relative_volume from g window n as (partition by symbol order by slot_ts rows between 12 preceding and 1 preceding)""")
+def r4(spark, sf):
+    return R.trailing(_grid(spark, sf)).select("symbol", "slot_ts", F.round("realised_vol", 6).alias("realised_vol"), F.round("relative_volume", 6).alias("relative_volume"))
+
+
+@query(
+    "r5_intrabar",
+    f"""with {BARS5} select bar_id, round(case when "close" <> 0 then (high - low) / "close" end, 9) range_share, round(case when high <> low then ("close" - low) / (high - low) end, 9) close_position,
+    round(case when vwap <> 0 then "close" / vwap end - 1, 9) vwap_deviation, round(case when lag("close") over w <> 0 then "open" / lag("close") over w end - 1, 9) open_gap from bars window w as (partition by symbol order by open_ts)""",
+)
+def r5(spark, sf):
+    return R.intrabar(bars5(spark, sf)).select("bar_id", *[F.round(c, 9).alias(c) for c in ("range_share", "close_position", "vwap_deviation", "open_gap")])
+
+
+@query("r6_acceleration", _G + f"""select symbol, slot_ts, "return" - lag("return") over w acceleration from g {_GW}""")
+def r6(spark, sf):
+    return R.acceleration(_grid(spark, sf)).select("symbol", "slot_ts", "acceleration")
+
+
+@query("r7_drawdown", f"""with {BARS5} select bar_id, case when max("close") over w <> 0 then "close" / max("close") over w end - 1 drawdown from bars window w as (partition by symbol order by open_ts rows unbounded preceding)""")
+def r7(spark, sf):
+    return R.drawdown(bars5(spark, sf)).select("bar_id", "drawdown")
+
+
+@query(
+    "r8_opening_range",
+    f"""with {BARS5}, d as (select *, cast(open_ts as date) "day", min(open_ts) over (partition by symbol, cast(open_ts as date)) s from bars) select symbol, "day", max(high) range_high, min(low) range_low from d where open_ts < s + interval 30 minute group by 1, 2""",
+)
+def r8(spark, sf):
+    return R.opening_range(bars5(spark, sf))
+
+
+@query("r9_breadth", _G + """select slot_ts, count(*) filter ("return" > 0) n_up, count(*) filter ("return" < 0) n_down, count("return") n_known from g group by 1""")
+def r9(spark, sf):
+    return R.breadth(_grid(spark, sf))
+
+
+@query("r10_differential", _G + """select slot_ts, max("return") filter (symbol = 'click') - max("return") filter (symbol = 'error') differential from g where symbol in ('click', 'error') group by 1""")
+def r10(spark, sf):
+    return R.differential(_grid(spark, sf), "click", "error")
+
+
+@query(
+    "r11_lagged_correlation",
+    _G + """, w as (select slot_ts, max("return") filter (symbol = 'click') x, max("return") filter (symbol = 'error') y from g where symbol in ('click', 'error') group by 1),
+    s as (select x, k lag, case k when 0 then y when 1 then lead(y, 1) over (partition by k order by slot_ts) when 2 then lead(y, 2) over (partition by k order by slot_ts) else lead(y, 3) over (partition by k order by slot_ts) end y from w, (select unnest([0, 1, 2, 3]) k))
+    select lag, count(*) n, round(corr(x, y), 6) correlation from s where x is not null and y is not null group by 1""",
+)
+def r11(spark, sf):
+    return R.lagged_correlation(_grid(spark, sf), "click", "error").withColumn("correlation", F.round("correlation", 6))
+
+
+@query(
+    "r12_conditional_probability",
+    _G + f""", p as (select symbol, "return" r, lead("return") over w nx from g {_GW}), q as (select * from p where r is not null and nx is not null), b as (select avg(case when nx > 0 then 1.0 else 0 end) base from q)
+    select cast(sign(r) as integer) sign, count(*) n, count(*) filter (nx > 0) n_up, round(any_value(base), 9) base_rate, round(count(*) filter (nx > 0) / count(*)::double, 9) p_up, round(count(*) filter (nx > 0) / count(*)::double - any_value(base), 9) uplift from q, b group by 1""",
+)
+def r12(spark, sf):
+    return R.conditional_probability(_grid(spark, sf)).withColumns({c: F.round(c, 9) for c in ("base_rate", "p_up", "uplift")})
+
+
+@query(
+    "r13_false_discovery",
+    """with x as (select l_orderkey * 10 + l_linenumber test_id, l_returnflag family, (l_discount * 100 + l_tax * 1000 + 1) / 200 p_value, count(*) over (partition by l_orderkey, l_linenumber) c from lineitem),
+    r as (select *, row_number() over (partition by family order by p_value, test_id) k, count(*) over (partition by family) n from x where c = 1)
+    select test_id, family, round(least(1.0, min(p_value * n / k) over (partition by family order by k desc rows unbounded preceding)), 9) q_value from r""",
+)
+def r13(spark, sf):
+    from pyspark.sql import Window
+
+    x = read(spark, sf, "lineitem").withColumn("c", F.count("*").over(Window.partitionBy("l_orderkey", "l_linenumber"))).filter("c = 1")
+    x = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("test_id"), F.col("l_returnflag").alias("family"), ((F.col("l_discount") * 100 + F.col("l_tax") * 1000 + 1) / 200).alias("p_value"))
+    return R.false_discovery(x).select("test_id", "family", F.round("q_value", 9).alias("q_value"))
+
+
+@query(
+    "r14_graduated",
+    """with e as (select p_brand signal, cast(l_shipdate as date) "day", l_discount * 1000 return_bp from lineitem join part on l_partkey = p_partkey)
+    select signal, count(distinct "day") n_days, count(*) n_events, round(avg(return_bp), 6) gross_bp, round(avg(return_bp) - 5, 6) net_bp from e group by 1 having count(distinct "day") >= 60 and count(*) >= 80 and avg(return_bp) >= 10""",
+)
+def r14(spark, sf):
+    e = read(spark, sf, "lineitem").join(read(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("signal"), F.to_date("l_shipdate").alias("day"), (F.col("l_discount") * 1000).alias("return_bp"))
+    return R.graduated(e).withColumns({c: F.round(c, 6) for c in ("gross_bp", "net_bp")})
+
+
+@query("t1_stream_bars", f"""with {BARS5} select symbol, open_ts, "open", high, low, "close", volume, trade_count from (select symbol, open_ts, "open", high, low, "close", volume, trade_count from bars)""")
+def t1(spark, sf):
+    return live.replay(spark, sf).select("symbol", "open_ts", "open", "high", "low", "close", "volume", "trade_count")
+
+
+@query("d12_split_dates")
+def d12(spark, sf):
+    """The split's dates by themselves; d19_split holds the same rule against SQL."""
+    s = P.split(datetime(2024, 1, 1), datetime(2024, 3, 31))
+    return spark.createDataFrame([(s.start, s.cutoff, s.end, (s.cutoff - s.start) // timedelta(days=1))], "start timestamp_ntz, cutoff timestamp_ntz, `end` timestamp_ntz, discovery_days int")
