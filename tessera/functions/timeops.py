@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MINUTE = 60_000_000
 
 
+def moment(at: datetime | Column) -> Column:
+    """A literal TIMESTAMP_NTZ, whatever the session's time zone."""
+    return at if isinstance(at, Column) else F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 

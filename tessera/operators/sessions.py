@@ -111,7 +111,7 @@ def with_shortened(found: DataFrame) -> DataFrame:
 
 def overlapping(found: DataFrame, start, end) -> DataFrame:
     """Sessions with a moment in common with a window, touching ends not counted."""
-    return found.filter((F.col("close_ts") > F.lit(start)) & (F.col("open_ts") < F.lit(end)))
+    return found.filter((F.col("close_ts") > t.moment(start)) & (F.col("open_ts") < t.moment(end)))
 
 
 def classify(bars: DataFrame, found: DataFrame, calendar: str) -> DataFrame:
@@ -158,8 +158,8 @@ def unclassified(bars: DataFrame, zone: str) -> DataFrame:
 
 def expected_slots(found: DataFrame, start, end, minutes: int = 5) -> DataFrame:
     """(calendar, trading_date, slot_ts): the slots of sessions clipped to a window, without breaks."""
-    lo = F.greatest(F.col("open_ts"), F.lit(start))
-    hi = F.least(F.col("close_ts"), F.lit(end))
+    lo = F.greatest(F.col("open_ts"), t.moment(start))
+    hi = F.least(F.col("close_ts"), t.moment(end))
     clipped = found.withColumns({"_lo": t.ceil_minutes(lo, minutes), "_hi": hi}).filter("_lo < _hi")
     last = t.from_micros(t.micros(F.col("_hi")) - 1)
     slots = clipped.withColumn("slot_ts", F.explode(t.grid(F.col("_lo"), F.greatest(F.col("_lo"), last), minutes)))

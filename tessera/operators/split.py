@@ -8,6 +8,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.timeops import moment
+
 
 @dataclass(frozen=True)
 class Split:
@@ -17,10 +19,10 @@ class Split:
 
     def discovery(self, df: DataFrame, ts: str = "open_ts") -> DataFrame:
         """Rows before the cutoff. Take this first, so that no window or rule sees later rows."""
-        return df.filter((F.col(ts) >= F.lit(self.start)) & (F.col(ts) < F.lit(self.cutoff)))
+        return df.filter((F.col(ts) >= moment(self.start)) & (F.col(ts) < moment(self.cutoff)))
 
     def untouched(self, df: DataFrame, ts: str = "open_ts") -> DataFrame:
-        return df.filter((F.col(ts) >= F.lit(self.cutoff)) & (F.col(ts) < F.lit(self.end)))
+        return df.filter((F.col(ts) >= moment(self.cutoff)) & (F.col(ts) < moment(self.end)))
 
 
 def split(first: datetime, last: datetime, test_days: int = 30, least_share: float = 0.2, cutoff: datetime | None = None) -> Split:

@@ -106,7 +106,7 @@ def d16(spark, sf):
 
 
 def _classified(spark, sf):
-    inside = bars5(spark, sf).filter((F.col("open_ts") >= F.lit(START)) & (F.col("open_ts") < F.lit(END)))
+    inside = bars5(spark, sf).filter((F.col("open_ts") >= t.moment(START)) & (F.col("open_ts") < t.moment(END)))
     return S.classify(inside, S.sessions(spark, "XNYS", FIRST, LAST), "XNYS")
 
 
@@ -201,9 +201,9 @@ def d19(spark, sf):
 )
 def d20(spark, sf):
     x = ticks(spark, sf)
-    lo, _ = P.bounds(x.filter(F.col("ts") >= F.lit(datetime(2024, 1, 20))), "ts")
+    lo, _ = P.bounds(x.filter(F.col("ts") >= t.moment(datetime(2024, 1, 20))), "ts")
     start, end = P.earlier_window(lo, 7)
-    return x.filter((F.col("ts") >= F.lit(start)) & (F.col("ts") < F.lit(end))).groupBy("symbol").agg(F.count("*").alias("n"))
+    return x.filter((F.col("ts") >= t.moment(start)) & (F.col("ts") < t.moment(end))).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 @query(
