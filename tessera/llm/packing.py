@@ -16,7 +16,7 @@ from .common import table
 WINDOW, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that a shard of the index holds on average; a shard is one task's work.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 #: Terms of a seed that are looked up, and neighbours that are tried before the window's rest is filled by cutting one.
 QUERY_TERMS, NEIGHBOURS = 16, 24

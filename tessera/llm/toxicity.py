@@ -24,7 +24,9 @@ STEMS = (4, 5, 6)
 ROUNDS, RATE, DECAY = 400, 0.1, 1e-4
 THRESHOLD = 0.7
 WORD = re.compile(r"[^\W\d_]+")
-REMEMBERED = 400_000
+REMEMBERED = 200_000
+#: Texts whose features are counted at once.
+TOGETHER = 250
 
 
 #: A feature also counts by how many distinct words of a text have it (at least), and by which share of them; the first level is the feature itself.
@@ -129,13 +131,15 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     sample = stored(rows.select("text", "positive"), "toxicity-sample")
 
     def count(batches):
+        look = Lookup()
         for batch in batches:
-            look, seen = Lookup(), ([], [])
-            for t, p in zip(batch.column("text").to_pylist(), batch.column("positive").to_pylist(), strict=True):
-                seen[p].append(look.levels(t))
-            for p in (0, 1):
-                k, c = np.unique(np.concatenate(seen[p]) if seen[p] else np.array([], np.int64), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"k": k, "p": c * p, "u": c * (1 - p)})
+            for at in range(0, batch.num_rows, TOGETHER):
+                part, seen = batch.slice(at, TOGETHER), ([], [])
+                for t, p in zip(part.column("text"), part.column("positive").to_pylist(), strict=True):
+                    seen[p].append(look.levels(t.as_py()))
+                for p in (0, 1):
+                    k, c = np.unique(np.concatenate(seen[p]) if seen[p] else np.array([], np.int64), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"k": k, "p": c * p, "u": c * (1 - p)})
 
     sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
     n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
@@ -151,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     def extract(batches):
         look = Lookup({k // len(LEVELS) for k in kept})
         for batch in batches:
-            found = [sorted(kept[k] for k in look.levels(t).tolist() if k in kept) for t in batch.column("text").to_pylist()]
+            found = [sorted(kept[k] for k in look.levels(t.as_py()).tolist() if k in kept) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int64()))], names=["positive", "f"])
 
     rows = [(r["positive"], np.array(r["f"], np.int64)) for r in sample.mapInArrow(extract, "positive boolean, f array<long>").collect()]
