@@ -37,8 +37,8 @@ def _forest(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, root) for every node of edges(a long, b long); root is the smallest node of its component.
 
-    Each round's edges are written to the shared folder. A round joins nodes to the least of their neighbours, which
-    Spark combines before the shuffle, so a node with very many neighbours is no single task's burden.
+    Each round's edges are written to the shared folder. The least neighbour of a node is combined before the shuffle;
+    the join that follows it deals edges by node, and a node with very many of them is split as a skewed join.
     """
     now = stored(_forest(edges.select("a", "b")).distinct(), "components")
     seen = None

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import oracle
 from .chat import op8_chat
 from .decontaminate import op5_decontaminate
 from .language import op1_language
@@ -25,4 +26,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": oracle.CONTAMINATION,
+    "op7_quality_rules": oracle.QUALITY,
+}

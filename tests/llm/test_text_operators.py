@@ -243,3 +243,19 @@ def test_fingerprint_is_as_defined():
 
     for t in [*ODD, "A b", "one two three four five ÀÉ x"]:
         assert fingerprint(t) == brute(t)
+
+
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_rows_are_those_of_sql(spark, name):
+    import duckdb
+
+    small = "/root/testdata/sf0.001"
+    if not Path(small).is_dir():
+        pytest.skip("no test tables here")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df = registry.QUERIES[name](spark, small)
+    found = c.execute(registry.ORACLE_SQL[name])
+    at = [[d[0] for d in found.description].index(x) for x in df.columns]
+    assert sorted(tuple(map(str, r)) for r in df.collect()) == sorted(tuple(str(r[i]) for i in at) for r in found.fetchall())
