@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeops as t
+from ..functions.windows import lagged
 
 
 def aligned(bars: DataFrame, minutes: int = 5, columns: tuple[str, ...] = ("open", "high", "low", "close", "volume")) -> DataFrame:
@@ -20,10 +21,10 @@ def aligned(bars: DataFrame, minutes: int = 5, columns: tuple[str, ...] = ("open
     on_grid = bars.filter(t.on_boundary(F.col("open_ts"), minutes))
     last = on_grid.groupBy("symbol", F.col("open_ts").alias("slot_ts")).agg(F.max_by(F.struct(*columns), "ingest_seq").alias("bar"))
     out = slots.join(last, ["symbol", "slot_ts"], "left").select("symbol", "slot_ts", *[F.col(f"bar.{c}").alias(c) for c in columns])
-    w = Window.partitionBy("symbol").orderBy("slot_ts")
-    before = F.lag("close").over(w)
+    out = lagged(out, "symbol", "slot_ts", (), {"_before": "close"})
+    before = F.col("_before")
     return out.withColumns({
         "is_observed": F.col("close").isNotNull(),
         "is_missing": F.col("close").isNull(),
         "return": F.when(F.col("close").isNotNull() & before.isNotNull() & (before != 0), F.col("close") / before - 1),
-    })
+    }).drop("_before")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import schema as S
 from ..functions import timeops as t
+from ..functions.windows import lagged
 
 
 def _first(value: str, order: str) -> Column:
@@ -72,11 +73,10 @@ def observed_bars(bars: DataFrame, minutes: int = 15, part_minutes: int = 5) ->
         .withColumnRenamed("_bucket", "bar_ts")
         .withColumn("is_complete", F.col("n_observed") == parts)
     )
-    w = Window.partitionBy("symbol").orderBy("bar_ts")
-    before = lambda c: F.lag(c).over(w)
-    adjacent = (t.micros(F.col("bar_ts")) - t.micros(before("bar_ts"))) == minutes * t.MINUTE
-    valid = adjacent & F.col("is_complete") & before("is_complete") & (before("close") != 0)
-    return out.withColumn("return", F.when(valid, F.col("close") / before("close") - 1))
+    out = lagged(out, "symbol", "bar_ts", (), {"_ts": "bar_ts", "_complete": "is_complete", "_close": "close"})
+    adjacent = (t.micros(F.col("bar_ts")) - t.micros(F.col("_ts"))) == minutes * t.MINUTE
+    valid = adjacent & F.col("is_complete") & F.col("_complete") & (F.col("_close") != 0)
+    return out.withColumn("return", F.when(valid, F.col("close") / F.col("_close") - 1)).drop("_ts", "_complete", "_close")
 
 
 def raw_contracts(bars: DataFrame) -> DataFrame:

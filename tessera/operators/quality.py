@@ -1,7 +1,7 @@
 """Quality rules over bars and yields.
 
-All flags of a table come from one projection after one window pass for each key; issues fan out from it by exploding
-an array of the rules that fire, so no rule scans the table again.
+All flags of a table come from one projection over shared lags and run lengths; issues fan out from it by exploding an
+array of the rules that fire, so no rule scans the table again.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeops as t
+from ..functions.windows import lagged, running_sums
 from .dedupe import flag_duplicates, keep_last
 
 PRICES = ("open", "high", "low", "close")
@@ -95,17 +96,17 @@ def reversed_batches(df: DataFrame, batch: str = "symbol", seq: str = "ingest_se
 
 def flagged_bars(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """bars with a boolean column for each rule. Run lengths and returns follow time within a symbol, contracts interleaved."""
-    w = Window.partitionBy("symbol").orderBy(F.col("open_ts").asc_nulls_last(), F.col("contract").asc_nulls_last(), "bar_id")
-    before = F.lag("close").over(w)
+    ties = ("contract", "bar_id")
+    before = F.col("_before")
     zero = F.coalesce(F.col("volume") == 0, F.lit(False))
-    step = bars.withColumns({
-        "_before": before,
+    step = lagged(bars.withColumn("_zero", zero), "symbol", "open_ts", ties, {"_before": "close", "_zero_before": "_zero"})
+    step = step.withColumns({
         "_new_price": F.coalesce(F.col("close") != before, F.lit(True)).cast("int"),
-        "_zero": zero,
-        "_new_zero": F.coalesce(zero != F.lag(zero).over(w), F.lit(True)).cast("int"),
-        "_has_volume": F.count("volume").over(Window.partitionBy("symbol")) > 0,
+        "_new_zero": F.coalesce(F.col("_zero") != F.col("_zero_before"), F.lit(True)).cast("int"),
     })
-    runs = step.withColumns({"_price_run": F.sum("_new_price").over(w), "_zero_run": F.sum("_new_zero").over(w)})
+    with_volume = bars.groupBy(F.col("symbol").alias("_s")).agg((F.count("volume") > 0).alias("_has_volume"))
+    step = step.join(with_volume, F.col("symbol").eqNullSafe(F.col("_s")), "left").drop("_s")
+    runs = running_sums(step, "symbol", "open_ts", ties, {"_price_run": "_new_price", "_zero_run": "_new_zero"})
     sized = runs.withColumns({
         "_stale_length": F.count(F.lit(1)).over(Window.partitionBy("symbol", "_price_run")),
         "_zero_length": F.count(F.lit(1)).over(Window.partitionBy("symbol", "_zero_run")),
@@ -125,7 +126,7 @@ def flagged_bars(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "stale": (F.col("_stale_length") >= settings.stale_run) & F.col("close").isNotNull(),
         "zero_run": F.col("_zero") & (F.col("_zero_length") >= settings.zero_volume_run) & F.col("_has_volume"),
     })
-    return out.drop("_before", "_new_price", "_zero", "_new_zero", "_has_volume", "_price_run", "_zero_run", "_stale_length", "_zero_length")
+    return out.drop("_before", "_zero_before", "_new_price", "_zero", "_new_zero", "_has_volume", "_price_run", "_zero_run", "_stale_length", "_zero_length")
 
 
 def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | None = None, always_open: bool = False) -> DataFrame:

@@ -196,3 +196,18 @@ def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
     assert [r["n"] for r in table.read().collect()] == [1]
     table.merge(one.withColumn("n", F.lit(2)), 1)
     assert [r["n"] for r in table.read().collect()] == [2]
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["A", "B", None]), st.one_of(st.none(), st.integers(0, 5000)), st.one_of(st.none(), st.integers(0, 3))), max_size=25))
+def test_lags_and_sums_across_days(spark, points):
+    from pyspark.sql import Window
+
+    from tessera.functions.windows import lagged, running_sums
+
+    rows = [(i, s, None if m is None else D + timedelta(minutes=m), v) for i, (s, m, v) in enumerate(points)]
+    df = spark.createDataFrame(rows, "n int, symbol string, ts timestamp_ntz, v int")
+    w = Window.partitionBy("symbol").orderBy(F.col("ts").asc_nulls_last(), "n")
+    plain = df.select("n", F.lag("v").over(w).alias("before"), F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("total"))
+    ours = running_sums(lagged(df, "symbol", "ts", ("n",), {"before": "v"}), "symbol", "ts", ("n",), {"total": "v"}).select("n", "before", "total")
+    assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
