@@ -391,8 +391,45 @@ def t1(spark, sf):
     return live.replay(spark, sf).select("symbol", "open_ts", "open", "high", "low", "close", "volume", "trade_count")
 
 
-@query("d12_split_dates")
+@query("p7_overlapping_sessions", f"with {SESSIONS} select trading_date, open_ts, close_ts from sess where close_ts > timestamp '2024-01-05 15:00' and open_ts < timestamp '2024-01-12 14:30'")
+def p7(spark, sf):
+    return S.overlapping(S.sessions(spark, "XNYS", FIRST, LAST), datetime(2024, 1, 5, 15), datetime(2024, 1, 12, 14, 30)).select("trading_date", "open_ts", "close_ts")
+
+
+@query("u7_merge_sessions", f"with {SESSIONS} select trading_date, open_ts, case when day(trading_date) % 2 = 0 then close_ts - interval 180 minute else close_ts end close_ts from sess")
+def u7(spark, sf):
+    x = S.sessions(spark, "XNYS", FIRST, LAST).select("trading_date", "open_ts", "close_ts")
+    return M.merge(x, x.filter(F.day("trading_date") % 2 == 0).withColumn("close_ts", t.plus_minutes(F.col("close_ts"), -180)), ["trading_date"])
+
+
+@query("u9_merge_instruments", "select n_nationkey, case when n_nationkey % 3 = 0 then n_name || '_new' else n_name end n_name, n_regionkey from nation where n_nationkey % 2 = 0 or n_nationkey % 3 = 0")
+def u9(spark, sf):
+    n = read(spark, sf, "nation")
+    return M.merge(n.filter("n_nationkey % 2 = 0"), n.filter("n_nationkey % 3 = 0").withColumn("n_name", F.concat("n_name", F.lit("_new"))), ["n_nationkey"])
+
+
+@query("u10_merge_settings", "select r_name setting_key, case when r_regionkey > 2 then 'kept' else 'changed' end setting_value from region")
+def u10(spark, sf):
+    r = read(spark, sf, "region")
+    base, new = r.select(F.col("r_name").alias("setting_key"), F.lit("kept").alias("setting_value")), r.filter("r_regionkey <= 2").select(F.col("r_name").alias("setting_key"), F.lit("changed").alias("setting_value"))
+    return M.merge(base, new, ["setting_key"])
+
+
+@query("j2_yields_enriched", f"with {YIELDS} select obs_id, y.symbol, country, \"value\" from yields y join (select * from (values ('US2Y', 'US'), ('US5Y', 'US'), ('DE2Y', 'DE')) v(symbol, country)) i on y.symbol = i.symbol")
+def j2(spark, sf):
+    i = spark.createDataFrame([("US2Y", "US"), ("US5Y", "US"), ("DE2Y", "DE")], "symbol string, country string")
+    return yields(spark, sf).join(i, "symbol").select("obs_id", "symbol", "country", "value")
+
+
+@query("o1_nulls_last", f"with {RAW} select bar_id, row_number() over (partition by symbol order by \"close\" nulls last, bar_id) place from raw")
+def o1(spark, sf):
+    from pyspark.sql import Window
+
+    return raw_bars(spark, sf).select("bar_id", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("close").asc_nulls_last(), "bar_id")).cast("long").alias("place"))
+
+
+@query("d12_split_dates", "select timestamp '2024-01-01' \"start\", timestamp '2024-03-01' cutoff, timestamp '2024-03-31 00:05' \"end\", 60 discovery_days")
 def d12(spark, sf):
-    """The split's dates by themselves; d19_split holds the same rule against SQL."""
+    """The split's dates by themselves; d19_split holds the rule against data."""
     s = P.split(datetime(2024, 1, 1), datetime(2024, 3, 31))
     return spark.createDataFrame([(s.start, s.cutoff, s.end, (s.cutoff - s.start) // timedelta(days=1))], "start timestamp_ntz, cutoff timestamp_ntz, `end` timestamp_ntz, discovery_days int")

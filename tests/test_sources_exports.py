@@ -120,3 +120,14 @@ def test_collection_isolates_failures(spark, tmp_path):
     assert by["B"]["status"] == "failed" and "down" in by["B"]["error"]
     again = collect(spark, ["A"], datetime(2024, 1, 1), datetime(2024, 1, 5), fetch, f"{tmp_path}/bars", chunk_days=2)
     assert (again[0]["inserted"], again[0]["updated"]) == (0, 2)
+
+
+def test_catalogue_keeps_extra_keys_and_refuses_repeats(spark):
+    from tessera.functions.schema import overlay
+    from tessera.sources.catalogue import load_catalogue
+
+    df = load_catalogue(spark, "instruments:\n- {symbol: A, provider: p, lot: 5}\n- {symbol: B, enabled: false}\n")
+    assert [(r["symbol"], r["enabled"], r["lot"]) for r in overlay(df, ["lot"]).orderBy("symbol").collect()] == [("A", True, "5"), ("B", False, None)]
+    with pytest.raises(ValueError):
+        load_catalogue(spark, "instruments:\n- {symbol: A}\n- {symbol: a}\n")
+    assert load_catalogue(spark, "instruments: []").count() == 0
