@@ -36,6 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, for columns that come and go."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value computed once a row, also where use() refers to it inside a lambda."""
     return F.transform(F.array(value), use)[0]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, table
+from .common import free_name, stored, table
 
 N = 13
 #: Share of hit words, as a fraction one over this, from which a document is contaminated.
@@ -176,8 +176,9 @@ def is_contaminated(into: str = "contamination", share: int = SHARE):
 
 def drop_contaminated(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of df that aren't contaminated, with their columns as they were."""
-    found = find_contamination(df, benchmark, text, into="_contamination", **options)
-    return found.filter(~is_contaminated("_contamination")).select(*[F.col(f"`{c}`") for c in df.columns])
+    into = free_name(df, "_contamination")
+    found = find_contamination(df, benchmark, text, into=into, **options)
+    return found.filter(~is_contaminated(into)).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def remove_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
@@ -200,8 +201,9 @@ def remove_spans(df: DataFrame, benchmark: DataFrame, text: str = "text", **opti
 
         return pd.Series([one(t, r) for t, r in zip(texts, found, strict=True)], dtype=object)
 
-    found = find_contamination(df, benchmark, text, into="_contamination", **options)
-    return found.withColumn(text, cut(F.col(text), F.col("_contamination.hits"))).select(*[F.col(f"`{c}`") for c in df.columns])
+    into = free_name(df, "_contamination")
+    found = find_contamination(df, benchmark, text, into=into, **options)
+    return found.withColumn(text, cut(F.col(text), F.col(f"{into}.hits"))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

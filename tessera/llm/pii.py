@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import as_column, boost, calibrated, predict
-from .common import let, table
+from .common import free_name, let, table
 
 #: In the order that breaks ties between spans of an equal start.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -242,10 +242,11 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
         start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
         return F.aggregate(spans, start, add, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.length(F.col(text)))))
 
-    found = find_pii(df, text, "_pii")
-    spans = F.sort_array(F.concat("_pii.base", "_pii.added"))
+    into = free_name(df, "_pii")
+    found = find_pii(df, text, into)
+    spans = F.sort_array(F.concat(f"{into}.base", f"{into}.added"))
     new = F.when(F.size(spans) > 0, let(let(spans, merged), written)).otherwise(F.col(text))
-    return found.withColumn(text, new).drop("_pii")
+    return found.withColumn(text, new).drop(into)
 
 
 def _joined(spans: Column) -> Column:

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_name, stored, table
 from .components import connected_components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -283,7 +283,8 @@ def keep_first(df: DataFrame, text: str = "text", id: str = "doc_id", **options)
     rows one stays. Only ids and hashes travel to find the rows that stay.
     """
     # rows are told apart by their hash with their id
-    own = {"_n": F.col(id).isNull(), "_i": F.coalesce(F.col(id), F.lit(0)), "_h": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])}
+    parts = {"_n": F.col(id).isNull(), "_i": F.coalesce(F.col(id), F.lit(0)), "_h": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])}
+    own = {free_name(df, k): c for k, c in parts.items()}
     named = df.select(F.struct(*[c.alias(k) for k, c in own.items()]).alias("_id"), F.col(text).alias("_text"))
     found = near_duplicates(named, "_text", "_id", **options)
     kept = found.filter(F.col("_id") == F.col("component_id")).select("_id.*").distinct()

@@ -88,9 +88,9 @@ def test_thresholds_sum_as_the_principle_asks():
 
 def test_one_of_each_group_stays(spark):
     texts = ["one two three four five six"] * 3 + [None, "", "other text entirely of its own", "other text entirely of its own"]
-    df = docs(spark, texts, [5, 3, 3, 9, None, None, None]).withColumn("print", F.lit(1))
+    df = docs(spark, texts, [5, 3, 3, 9, None, None, None]).withColumns({"print": F.lit(1), "_h": F.lit("own")})
     kept = simhash.keep_first(df)
-    assert kept.columns == df.columns
+    assert kept.columns == df.columns and {r["_h"] for r in kept.collect()} == {"own"}
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.select("doc_id", "text").fillna({"text": "~"}).collect()) == [(-1, "other text entirely of its own"), (3, texts[0]), (9, "~")]
     assert simhash.keep_first(df.limit(0)).count() == 0
 

@@ -105,7 +105,8 @@ def test_contamination(spark, block):
 def test_contaminated_documents_and_spans_go(spark):
     bench = spark.createDataFrame([(1, "one two three")], "item_id bigint, text string")
     df = docs(spark, ["a one, two three b", "clean " * 100, "clean " * 99 + "one two three", None])
-    assert [r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).orderBy("doc_id").collect()] == [1, 2, 3]
+    kept = decontaminate.drop_contaminated(df.withColumn("_contamination", F.lit("own")), bench).orderBy("doc_id").collect()
+    assert [(r["doc_id"], r["_contamination"]) for r in kept] == [(1, "own"), (2, "own"), (3, "own")]
     assert [r["text"] for r in decontaminate.remove_spans(df, bench).orderBy("doc_id").collect()][0] == "a  b"
     assert decontaminate.drop_contaminated(df, bench.filter("item_id < 0")).count() == 4
     assert decontaminate.drop_contaminated(df.filter("doc_id < 0"), bench).count() == 0
@@ -170,7 +171,9 @@ def test_wide_patterns_and_look_alikes(spark):
 
 def test_redaction(spark):
     texts = ["mail a@b.com or +1 (509) 555-6973.", None, "", "x +4111111111111111 y", "nothing"]
-    assert [r["text"] for r in pii.redact(docs(spark, texts)).orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE].", None, "", "x +[CARD] y", "nothing"]
+    clash = pii.redact(docs(spark, texts).withColumn("_pii", F.lit(7)))
+    assert {r["_pii"] for r in clash.collect()} == {7}
+    assert [r["text"] for r in clash.orderBy("doc_id").collect()] == ["mail [EMAIL] or [PHONE].", None, "", "x +[CARD] y", "nothing"]
 
 
 def test_pii_plan_is_native(spark):
