@@ -35,10 +35,10 @@ STRICT = {
 #: kind: (a cheap test of the text, the wide pattern).
 WIDE = {
     "email": (r"(?i)[\[(]at[\])]|\bdot\b", r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?: ?[\[(]at[\])] ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?[\[(]dot[\])] ?| dot |\.)[A-Za-z0-9-]{2,24}){1,4}"),
-    "ip": (r"[0-9A-Fa-f]:[0-9A-Fa-f:]", r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,2}(?![0-9A-Za-z:])"),
+    "ip": (r":[0-9A-Fa-f]{0,4}:", r"(?<![0-9A-Za-z:.])(?=:{0,2}[0-9A-Fa-f])(?=[0-9A-Fa-f]*+:[0-9A-Fa-f]*+:)(?:[0-9A-Fa-f]++|::?(?=[0-9A-Fa-f])|::)++(?![0-9A-Za-z]|:[0-9A-Za-z:])"),
     "card": (r"[0-9]{3}[ ._/-]", r"(?<![0-9])[0-9]{3,6}(?:[ ._/-]{1,2}[0-9]{2,6}){2,5}(?![0-9])"),
-    "phone": (r"[0-9][ )./-]{1,2}[0-9]{2}", r"(?<![0-9A-Za-z+.])(?!(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}(?![0-9]))(?:00[ .-]?[0-9]{1,3}[ .-])?(?:\([0-9]{2,5}\)|[0-9]{2,5})[ ./-]{1,2}[0-9]{2,4}(?:[ ./-][0-9]{2,5}){0,3}(?![0-9A-Za-z])"),
-    "secret": (r"(?i)token|secret|passw|key|bearer", r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer)[\"']?[ \t]{0,3}[:= ][ \t]{0,3}[\"']?[A-Za-z0-9+/_=.-]{8,128}"),
+    "phone": (r"[0-9](?:[ ()./-]{0,3}[0-9]){6}", r"(?<![0-9A-Za-z+.])\(?[0-9](?:[ ()./-]{0,3}[0-9]){6,14}(?![0-9A-Za-z])"),
+    "secret": (r"(?i)token|secret|passw|key|bearer", r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|private[_-]?key|bearer)[\"']?[ \t]{0,3}[:= ][ \t]{0,3}[\"']?[A-Za-z0-9+/_=.-]{8,}+"),
 }
 
 #: Words before a span that speak for its kind, and against any.
@@ -50,7 +50,7 @@ CLUES = {
     "secret": r"(?i)auth|login|export|config|set|use",
 }
 AGAINST = r"(?i)version|order|invoice|isbn|serial|release|page|date|on |born|chapter|section|model|part|build"
-FEATURES = ("length", "digits", "letters", "separators", "groups", "longest_group", "luhn", "word_before", "word_after", "clue", "against", "distinct")
+FEATURES = ("length", "digits", "letters", "separators", "groups", "longest_group", "luhn", "word_before", "word_after", "clue", "against", "distinct", "doubled", "zero_first", "year_first")
 
 
 def luhn(digits: Column) -> Column:
@@ -114,9 +114,10 @@ def _features(kind: str, s: Column) -> list[Column]:
     groups = F.filter(F.split(t, r"[^0-9A-Za-z]+"), lambda g: g != "")
     out = [
         F.length(t), F.length(d), F.length(F.regexp_replace(t, "[^A-Za-z]", "")), F.length(F.regexp_replace(t, "[0-9A-Za-z]", "")),
-        F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), luhn(d).cast("int"),
+        F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.length)), F.lit(0)), F.when(F.length(d) <= 19, luhn(d)).otherwise(F.lit(False)).cast("int"),
         s["before"].rlike(r"[\p{L}0-9_]$").cast("int"), s["after"].rlike(r"^[\p{L}0-9_]").cast("int"),
         s["before"].rlike(CLUES[kind]).cast("int"), s["before"].rlike(AGAINST).cast("int"), F.size(F.array_distinct(F.split(t, ""))),
+        t.rlike(r"([^0-9A-Za-z])\1").cast("int"), t.rlike(r"^[(0]").cast("int"), t.rlike(r"^(?:19|20)[0-9]{2}(?![0-9])").cast("int"),
     ]
     return [c.cast("double") for c in out]
 
@@ -151,13 +152,13 @@ def examples(seed: int = 7, each: int = 120) -> list[tuple[int, str, str, int, i
     makers = {
         ("email", True): [lambda: f"{word()}.{word()} [at] {word()}.com", lambda: f"{word()}(at){word()}(dot)org", lambda: f"{word()} at {word()} dot com", lambda: f"{word()}{d(2)} [at] {word()} [dot] net"],
         ("email", False): [lambda: f"{word()} at {word()}.{word()}", lambda: f"looked at {word()}. {word()}"],
-        ("ip", True): [lambda: ":".join(hexa(4) for _ in range(8)), lambda: f"2001:db8:{hexa(4)}:{hexa(3)}::{hexa(2)}", lambda: f"fe80:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:1"],
-        ("ip", False): [lambda: f"{r.randint(10, 23)}:{d(2)}:{d(2)}", lambda: ":".join(hexa(2) for _ in range(6)), lambda: f"{d(1)}:{d(1)}:{d(1)}"],
+        ("ip", True): [lambda: ":".join(hexa(4) for _ in range(8)), lambda: f"2001:db8:{hexa(4)}:{hexa(3)}::{hexa(2)}", lambda: f"fe80:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:1", lambda: f"fe80::{d(1)}", lambda: f"::{d(1)}", lambda: f"fe80::{hexa(3)}:{hexa(4)}:{hexa(4)}:{hexa(4)}", lambda: f"2001:db8:{hexa(4)}::{hexa(4)}:{hexa(3)}:{d(4)}", lambda: f"2001:db8::{hexa(4)}:{hexa(2)}:{d(4)}"],
+        ("ip", False): [lambda: f"{r.randint(10, 23)}:{d(2)}:{d(2)}", lambda: ":".join(hexa(2) for _ in range(6)), lambda: f"{d(1)}:{d(1)}:{d(1)}", lambda: f"{r.choice(['add', 'bad', 'face', 'dead'])}::{r.choice(['cab', 'be', 'fade', 'ace'])}", lambda: f"::{r.choice(['add', 'bad', 'fade', 'be'])}"],
         ("card", True): [lambda: four(carded(), "."), lambda: four(carded(), "_"), lambda: four(carded(), "  "), lambda: four(carded(), "/")],
         ("card", False): [lambda: four(d(16), "-"), lambda: f"{d(4)}-{d(2)}-{d(2)} {d(2)}.{d(3)}", lambda: f"{d(3)}-{d(1)}{d(2)}-{d(6)}-{d(2)}", lambda: ".".join(d(3) for _ in range(5))],
-        ("phone", True): [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"0{d(2)}/{d(4)} {d(3)}", lambda: f"0049 {d(3)} {d(4)} {d(3)}", lambda: f"{d(3)}-{d(3)}-{d(4)}"],
-        ("phone", False): [lambda: f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{d(2)}.{d(2)}.20{d(2)} {d(2)}", lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"{d(4)}/{d(4)}", lambda: f"{d(3)}.{d(2)}.{d(3)}"],
-        ("secret", True): [lambda: f'token = "{hexa(40)}"', lambda: f"api_key: {hexa(32)}", lambda: f'password="{word()}{d(4)}{word().upper()}"', lambda: f"Bearer {hexa(20)}.{hexa(24)}"],
+        ("phone", True): [lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"0{d(2)}/{d(4)} {d(3)}", lambda: f"0049 {d(3)} {d(4)} {d(3)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(3)} {d(7)}", lambda: f"0{d(2)} {d(8)}", lambda: f"0{d(10)}"],
+        ("phone", False): [lambda: f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", lambda: f"{d(2)}.{d(2)}.20{d(2)}", lambda: f"{d(2)}.{d(2)}.20{d(2)} {d(2)}", lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"{d(4)}/{d(4)}", lambda: f"{d(3)}.{d(2)}.{d(3)}", lambda: f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)} {d(2)}", lambda: f"{r.randint(1, 9)}{d(r.randint(6, 14))}", lambda: four(f"{r.randint(1, 9)}{d(15)}", "-"), lambda: f"978-{r.randint(1, 9)}-{d(4)}-{d(4)}-{d(1)}"],
+        ("secret", True): [lambda: f'token = "{hexa(40)}"', lambda: f"api_key: {hexa(32)}", lambda: f'password="{word()}{d(4)}{word().upper()}"', lambda: f"Bearer {hexa(20)}.{hexa(24)}", lambda: f"Bearer {hexa(36)}.{hexa(r.randint(100, 400))}.{hexa(43)}"],
         ("secret", False): [lambda: f"token {word()}{word()}", lambda: f"secret {word()}{word()}", lambda: f"password {word()}{word()}", lambda: f"bearer {word()}{word()}"],
     }
     clues = {"email": ["mail", "contact", "write to"], "ip": ["ip", "host", "from server"], "card": ["card", "visa", "pay with"], "phone": ["phone", "tel.", "call"], "secret": ["auth", "use", "set"]}

@@ -169,6 +169,22 @@ def test_wide_patterns_and_look_alikes(spark):
     assert found == [1] * len(yes) + [0] * len(no)
 
 
+def test_whole_secrets_and_short_forms_are_redacted(spark):
+    rng = random.Random(5)
+    jwt = "eyJ" + "".join(rng.choice("ABCDEFabcdef0123456789_-.") for _ in range(399)) + "x"
+    cases = {
+        f"Authorization: Bearer {jwt} end": ("secret", jwt), "api_key: " + "a1" * 300: ("secret", "a1" * 300),
+        **{f"host {x} is up": ("ip", x) for x in ("fe80::1", "::1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3::8a2e:370:7334", "2001:db8::ff00:42:8329")},
+        "mobile 0171 2345678 now": ("phone", "0171 2345678"), "tel 030 12345678 now": ("phone", "030 12345678"), "call 01712345678 now": ("phone", "01712345678"),
+    }
+    df = docs(spark, list(cases))
+    found = df.select("doc_id", F.struct(*[c.alias(k) for k, c in pii.candidates(F.col("text")).items()]).alias("c")).orderBy("doc_id").collect()
+    for (t, (kind, x)), r in zip(cases.items(), found, strict=True):
+        assert [(s["start"], s["end"]) for s in r["c"][kind] if s["start"] <= t.index(x)][-1:] == [(t.index("Bearer" if x is jwt else "api_key" if kind == "secret" else x), t.index(x) + len(x))], t
+    left = [r["text"] for r in pii.redact(df).orderBy("doc_id").collect()]
+    assert not [(t, out) for (t, (kind, x)), out in zip(cases.items(), left, strict=True) if x[-4:] in out or f"[{kind.upper()}]" not in out]
+
+
 def test_redaction(spark):
     texts = ["mail a@b.com or +1 (509) 555-6973.", None, "", "x +4111111111111111 y", "nothing"]
     clash = pii.redact(docs(spark, texts).withColumn("_pii", F.lit(7)))
