@@ -1,8 +1,9 @@
-"""Lexical retrieval packing: in each shard of the corpus a BM25 inverted index names, for a seed document, unused neighbours that fill its window."""
+"""Lexical retrieval packing: documents are dealt to shards by lexical closeness, and in each shard a BM25 inverted index with the statistics of the whole corpus names, for a seed document, unused neighbours that fill its window."""
 
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import word_ids
-from .common import table
+from .common import stored, table
 
 WINDOW, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
@@ -23,14 +24,30 @@ QUERY_TERMS, NEIGHBOURS = 16, 24
 #: Terms in more than this share of a shard's documents are no use in ranking and aren't looked up.
 COMMON = 0.2
 GROUP_CHARS = 1_000_000
+#: Documents, at most about, from which the directions of closeness are learned; those directions; and documents a shard from which the cuts are learned.
+LEARNED, DIRECTIONS, A_SHARD = 4_000, 48, 32
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+class Corpus(NamedTuple):
+    """What BM25 needs of a whole corpus: idf by term, mean length."""
+
+    idf: np.ndarray
+    mean: float
+
+    @classmethod
+    def of(cls, df: np.ndarray, n: int, tokens: int) -> Corpus:
+        return cls(np.log1p((n - df + 0.5) / (df + 0.5)), tokens / max(1, n))
+
+    def weigh(self, term: np.ndarray, tf: np.ndarray, length) -> np.ndarray:
+        return (self.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / self.mean))).astype(np.float32)
+
+
 class ShardIndex:
-    """BM25 weights by term over the documents of one shard, all in flat arrays."""
+    """BM25 weights by term over the documents of one shard, all in flat arrays; without ``corpus`` these documents are all there are."""
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
         lengths = np.array([len(d) for d in docs])
         flat = np.concatenate(docs).astype(np.int64)
@@ -40,8 +57,7 @@ class ShardIndex:
         df = np.bincount(term, minlength=top)
         keep = (df[term] > 1) & (df[term] <= max(2, COMMON * n))
         doc, term, tf = doc[keep], term[keep], tf[keep]
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[doc] / lengths.mean()))).astype(np.float32)
+        weight = (corpus or Corpus.of(df, n, int(lengths.sum()))).weigh(term, tf, lengths[doc])
         self.n = n
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
         self.doc_terms, self.doc_weights = term, weight
@@ -65,7 +81,7 @@ class ShardIndex:
         return found[np.lexsort((found, -score[found]))].tolist()
 
 
-def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece. Every sequence but the last is full.
 
     The window's seed is the document that was cut at its start, or the next unused one. Neighbours that fit whole go
@@ -74,7 +90,7 @@ def pack(docs: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, i
     """
     if not docs:
         return []
-    index = ShardIndex(docs)
+    index = ShardIndex(docs, corpus)
     free = np.ones(len(docs), np.float32)
     sizes = [len(d) for d in docs]
     out: list[tuple[int, int, int, int, int]] = []
@@ -144,26 +160,145 @@ def tokenized(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def corpus_statistics(ids: DataFrame, kind: str) -> Corpus:
+    """Document frequencies, count and mean length over all rows; the vocabulary bounds what comes to the driver."""
+
+    def count(batches):
+        df, n, tokens = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            for x in batch.column("_ids"):
+                terms = np.frombuffer(x.as_buffer(), kind)
+                n, tokens, top = n + 1, tokens + len(terms), int(terms.max()) + 1
+                if top > len(df):
+                    df = np.append(df, np.zeros(top - len(df), np.int64))
+                df[np.unique(terms)] += 1
+        k = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"k": np.append(k, [-1, -2]), "c": np.append(df[k], [n, tokens])})
+
+    found = {r["k"]: r["c"] for r in ids.select("_ids").mapInArrow(count, "k long, c long").groupBy("k").agg(F.sum("c").alias("c")).collect()}
+    n, tokens = found.pop(-1, 0), found.pop(-2, 0)
+    df = np.zeros(max(found, default=0) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus.of(df, n, tokens)
+
+
+def directions(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """Term by direction: the leading right singular vectors of the documents' BM25 weights, by one step of subspace iteration."""
+    vectors = [_vector(d, corpus) for d in docs]
+    top = len(corpus.idf)
+    start = np.random.default_rng(0).standard_normal((top, DIRECTIONS + 16)).astype(np.float32)
+    q = np.linalg.qr(np.array([w @ start[t] for t, w in vectors]))[0]
+    term = np.concatenate([t for t, _ in vectors])
+    weight = np.concatenate([w for _, w in vectors])
+    owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in vectors])
+    back = np.stack([np.bincount(term, weight * q[owner, j], top) for j in range(q.shape[1])])
+    return np.linalg.svd(back, full_matrices=False)[2][:DIRECTIONS].T.astype(np.float32)
+
+
+def _vector(doc: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of a document and their BM25 weights, of length 1."""
+    term, tf = np.unique(doc, return_counts=True)
+    w = corpus.weigh(term, tf, len(doc))
+    return term, w / max(1e-9, float(np.sqrt(w @ w)))
+
+
+def place(doc: np.ndarray, corpus: Corpus, along: np.ndarray) -> np.ndarray:
+    """Where a document lies; equal documents lie at the same place."""
+    term, w = _vector(doc, corpus)
+    return np.round(w @ along[term], 4)
+
+
+def cuts(places: np.ndarray, sizes: np.ndarray, shards: int, first: int = 0):
+    """A tree of (direction, threshold, tree of the places below, tree of the rest); a leaf is (first shard, shards).
+
+    Each half gets shards in proportion to its bytes. Places that no threshold tells apart, such as copies, share a leaf
+    of several shards, in which rows are dealt by hash.
+    """
+    if shards == 1 or len(places) < 2:
+        return first, shards
+    centred = places - places.mean(0)
+    axis = np.linalg.svd(centred, full_matrices=False)[2][0].astype(np.float32)
+    along = np.round(places @ axis, 3)
+    order = np.argsort(along, kind="stable")
+    v, share = along[order], np.cumsum(sizes[order]) / sizes.sum()
+    at = np.flatnonzero(v[1:] > v[:-1])
+    if not len(at):
+        return first, shards
+    k = int(at[np.abs(share[at] - 0.5).argmin()])
+    low = min(shards - 1, max(1, round(shards * float(share[k]))))
+    threshold = float((v[k] + v[k + 1]) / 2)
+    below = along < threshold
+    return axis, threshold, cuts(places[below], sizes[below], low, first), cuts(places[~below], sizes[~below], shards - low, first + low)
+
+
+def leaf(tree, x: np.ndarray) -> tuple[int, int]:
+    while len(tree) == 4:
+        axis, threshold, low, high = tree
+        tree = low if np.round(x @ axis, 3) < threshold else high
+    return tree
+
+
+def dealt(ids: DataFrame, kind: str, shards: int, corpus: Corpus) -> DataFrame:
+    """ids with its column ``_shard``: lexically close rows get the same one, and no group of copies fills one alone."""
+    if shards == 1:
+        return ids.withColumn("_shard", F.lit(0))
+    spread, context = 1 << 30, ids.sparkSession.sparkContext
+    n = ids.count()
+
+    def drawn(most: int, salt: int) -> DataFrame:
+        return ids.filter(F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(spread)) < min(spread, int(spread * most / max(1, n)) + 1))
+
+    sample = [np.frombuffer(r["_ids"], kind) for r in drawn(LEARNED, 1).select("_ids").toLocalIterator()]
+    if not sample:
+        return ids.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
+    along = context.broadcast(directions(sample, corpus))
+    stats = context.broadcast(corpus)
+
+    def placed(batches):
+        for batch in batches:
+            docs = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("_ids")]
+            yield pa.RecordBatch.from_pydict({"x": [place(d, stats.value, along.value).tobytes() for d in docs], "n": [len(d) for d in docs]})
+
+    rows = drawn(A_SHARD * shards, 2).select("_ids").mapInArrow(placed, "x binary, n long").collect()
+    tree = cuts(np.array([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["n"] for r in rows], float), shards) if rows else (0, shards)
+    tree = context.broadcast(tree)
+
+    def deal(batches):
+        for batch in batches:
+            out = []
+            for x, row in zip(batch.column("_ids"), batch.column("_hash").to_pylist(), strict=True):
+                first, many = leaf(tree.value, place(np.frombuffer(x.as_buffer(), kind), stats.value, along.value))
+                out.append(first + row % many)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "_hash"], pa.array(out, pa.int32())], names=[*[c for c in batch.schema.names if c != "_hash"], "_shard"])
+
+    hashed = ids.withColumn("_hash", F.pmod(F.xxhash64("_row"), F.lit(spread)))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
+    return hashed.mapInArrow(deal, f"{schema}, _shard int")
+
+
 def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window: int = WINDOW, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Rows are dealt by a hash over rows, not values, so copies, null ids or one frequent key can't fill a shard; a
-    shard holds about ``shard_bytes`` of text, so only its last sequence is short. Null and empty texts are the end
-    mark alone. Repeated rows are packed each; other columns are not returned; an empty table gives an empty result.
+    BM25 statistics are those of all rows. Rows are dealt to shards by lexical closeness; copies that would fill a shard
+    are dealt by a hash over rows. A shard holds about ``shard_bytes`` of text, so only its last sequence is short, and
+    a seed's neighbours are looked for in its own shard. Null and empty texts are the end mark alone. Repeated rows are
+    packed each; other columns are not returned; an empty table gives an empty result.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = "<u2" if word_ids(path).kind == "<u2" else "<u4"
     size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 4 * F.count("*")).first()[0]
     shards = max(1, -(-size // shard_bytes))
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    ids = tokenized(rows, "_text", path).withColumn("_shard", F.pmod(F.xxhash64("_id", F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    ids = stored(tokenized(rows, "_text", path).withColumn("_row", F.monotonically_increasing_id()), "packing-ids")
+    corpus = corpus_statistics(ids, kind)
+    shared = df.sparkSession.sparkContext.broadcast(corpus)
     id_type = df.schema[id].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:
         shard = group.column("_shard")[0].as_py()
         names = group.column("_id").combine_chunks()
         docs = [np.frombuffer(x.as_buffer(), kind) for x in group.column("_ids")]
-        rows = pack(docs, window)
+        rows = pack(docs, window, shared.value)
         columns = list(zip(*rows, strict=True))
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in columns)
         crc = [zlib.crc32(docs[d][a : a + n].astype("<u4").tobytes()) for d, a, n in zip(columns[0], columns[1], columns[2], strict=True)]
@@ -177,7 +312,7 @@ def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window
             "offset": offset,
         })
 
-    return ids.groupBy("_shard").applyInArrow(run, f"`{id}` {id_type}, {PIECES}")
+    return dealt(ids, kind, shards, corpus).drop("_row").groupBy("_shard").applyInArrow(run, f"`{id}` {id_type}, {PIECES}")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,29 @@ def test_neighbours_share_terms():
     assert not set(index.neighbours(7, free)) & set(near)
 
 
+def shards_of(spark, texts, shards):
+    """Shard by document, of how many there are."""
+    rows = packing.pack_documents(docs(spark, texts), shard_bytes=-(-sum(len(t) + 4 for t in texts) // shards)).collect()
+    return {r["doc_id"]: r["sequence_id"] >> 32 for r in rows}
+
+
+def test_close_documents_meet_in_shards_and_copies_dont_fill_one(spark):
+    rng = random.Random(4)
+    topics = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40)] for _ in range(8)]
+    texts = [" ".join(rng.choice(topics[i % 8]) for _ in range(60)) for i in range(480)]
+    found = shards_of(spark, texts, 8)
+    near = [found[i] == found[j] for i in range(480) for j in range(i % 8, i, 8)]
+    assert len(set(found.values())) == 8 and np.mean(near) > 0.7
+    copies = Counter(shards_of(spark, [texts[0]] * 400 + texts[:80], 6).values())
+    assert len(copies) >= 5 and max(copies.values()) < 200
+
+
+def test_statistics_are_of_the_whole_corpus(spark):
+    ids = spark.createDataFrame([(np.array(x, "<u2").tobytes(),) for x in ([5, 6, 1], [5, 1], [5, 7, 7, 1], [1])], "_ids binary").repartition(3)
+    corpus = packing.corpus_statistics(ids, "<u2")
+    assert np.allclose(corpus.idf[[1, 5, 6, 7]], np.log1p((4 - np.array([4, 3, 1, 1]) + 0.5) / (np.array([4, 3, 1, 1]) + 0.5))) and corpus.mean == 10 / 4
+
+
 # chat
 
 
