@@ -19,10 +19,8 @@ VOCABULARY = "word_bpe_49k.json"
 #: Bytes of text that a shard of the index holds on average; a shard is one task's work.
 SHARD_BYTES = 4 << 20
 K1, B = 1.2, 0.75
-#: Terms of a seed that are looked up, and neighbours that are tried before the window's rest is filled by cutting one.
-QUERY_TERMS, NEIGHBOURS = 16, 24
-#: Terms in more than this share of a shard's documents are no use in ranking and aren't looked up.
-COMMON = 0.2
+#: Neighbours that are tried before the window's rest is filled by cutting one.
+NEIGHBOURS = 24
 GROUP_CHARS = 1_000_000
 #: Documents, at most about, from which the directions of closeness are learned; those directions; and documents a shard from which the cuts are learned.
 LEARNED, DIRECTIONS, A_SHARD = 4_000, 48, 32
@@ -45,40 +43,74 @@ class Corpus(NamedTuple):
 
 
 class ShardIndex:
-    """BM25 weights by term over the documents of one shard, all in flat arrays; without ``corpus`` these documents are all there are."""
+    """BM25 weights by term over the distinct documents of one shard, all in flat arrays; without ``corpus`` these documents are all there are."""
 
     def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
-        n = len(docs)
-        lengths = np.array([len(d) for d in docs])
-        flat = np.concatenate(docs).astype(np.int64)
+        numbers: dict[bytes, int] = {}
+        self.which = np.array([numbers.setdefault(d.tobytes(), len(numbers)) for d in docs])
+        self.members = np.argsort(self.which, kind="stable")
+        n = self.n = len(numbers)
+        self.member_at = np.searchsorted(self.which[self.members], np.arange(n + 1))
+        distinct = [docs[k] for k in self.members[self.member_at[:-1]]]
+        lengths = np.array([len(d) for d in distinct])
+        flat = np.concatenate(distinct).astype(np.int64)
         top = int(flat.max()) + 1
         keys, tf = np.unique(np.repeat(np.arange(n), lengths) * top + flat, return_counts=True)
         doc, term = keys // top, keys % top
-        df = np.bincount(term, minlength=top)
-        keep = (df[term] > 1) & (df[term] <= max(2, COMMON * n))
-        doc, term, tf = doc[keep], term[keep], tf[keep]
-        weight = (corpus or Corpus.of(df, n, int(lengths.sum()))).weigh(term, tf, lengths[doc])
-        self.n = n
+        if corpus is None:
+            copies = np.diff(self.member_at)
+            corpus = Corpus.of(np.bincount(term, copies[doc], top), len(docs), int((lengths * copies).sum()))
+        weight = corpus.weigh(term, tf, lengths[doc])
         self.doc_at = np.searchsorted(doc, np.arange(n + 1))
         self.doc_terms, self.doc_weights = term, weight
         order = np.argsort(term, kind="stable")
         self.term_at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=top))))
         self.docs, self.weights = doc[order], weight[order]
+        self.most = np.zeros(top, np.float32)
+        np.maximum.at(self.most, term, weight)
+        self.asked = np.zeros(top, np.float32)
 
     def neighbours(self, seed: int, free: np.ndarray, most: int = NEIGHBOURS) -> list[int]:
-        """Free documents that share terms with the seed, best first, ties by position."""
-        a, b = self.doc_at[seed], self.doc_at[seed + 1]
-        if a == b:
-            return []
-        terms = self.doc_terms[a:b]
-        if b - a > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.doc_weights[a:b], QUERY_TERMS)[:QUERY_TERMS]]
-        spans = [slice(self.term_at[t], self.term_at[t + 1]) for t in terms.tolist()]
-        score = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n) * free
-        found = np.flatnonzero(score)
-        if len(found) > most:
-            found = found[np.argpartition(-score[found], most)[:most]]
-        return found[np.lexsort((found, -score[found]))].tolist()
+        """Free documents that share terms with the seed, best first, ties by position.
+
+        Exact over all terms of the seed: those of the greatest weights are looked up in the postings; the rest only for
+        documents that these and the greatest weights of the rest let reach the best ``most``.
+        """
+        own = self.which[seed]
+        terms = self.doc_terms[self.doc_at[own] : self.doc_at[own + 1]]
+        terms = terms[np.argsort(-self.most[terms], kind="stable")]
+        sizes = np.cumsum(self.term_at[terms + 1] - self.term_at[terms])
+        first = int(np.searchsorted(sizes, sizes[-1] // 4)) + 1
+        spans = [slice(self.term_at[t], self.term_at[t + 1]) for t in terms[:first].tolist()]
+        part = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        open_ = np.bincount(self.which, free, self.n)
+        part[open_ == 0] = -np.inf
+        rest = terms[first:]
+        if len(rest):
+            least = np.partition(part, -most)[-most] if self.n > most else -np.inf
+            near = np.flatnonzero((part > -np.inf) & (part + float(self.most[rest].sum()) * 1.0001 + 1e-6 >= least))
+            self.asked[rest] = 1
+            if len(near):
+                starts, counts = self.doc_at[near], np.diff(self.doc_at)[near]
+                ends = np.cumsum(counts)
+                at = np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
+                score = np.add.reduceat((self.asked[self.doc_terms[at]] * self.doc_weights[at]).astype(np.float64), ends - counts) + part[near]
+            else:
+                score = np.zeros(0)
+            self.asked[rest] = 0
+        else:
+            near = np.flatnonzero(part > -np.inf)
+            score = part[near]
+        shared = score > 0
+        near, score = near[shared], score[shared]
+        if len(near) > most:
+            keep = score >= np.partition(score, -most)[-most]
+            near, score = near[keep], score[keep]
+        found: list[tuple[float, int]] = []
+        for g, s in zip(near.tolist(), score.tolist(), strict=True):
+            same = self.members[self.member_at[g] : self.member_at[g + 1]]
+            found += [(-s, d) for d in same[free[same] > 0][:most].tolist()]
+        return [d for _, d in sorted(found)[:most]]
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:

@@ -185,6 +185,28 @@ def test_neighbours_share_terms():
     assert not set(index.neighbours(7, free)) & set(near)
 
 
+def test_common_terms_and_all_terms_of_a_seed_count():
+    rng = np.random.default_rng(1)
+    found = [np.append(rng.choice(np.minimum(rng.zipf(1.3, 400), 900) + 1, rng.integers(3, 300)), 1) for _ in range(300)]
+    found += [found[0]] * 150  # a third of the rows are copies
+    index = packing.ShardIndex(found)
+    n, mean = len(found), np.mean([len(d) for d in found])
+    df = Counter(t for d in found for t in set(d.tolist()))
+    free = (rng.random(n) < 0.7).astype(np.float32)
+
+    def brute(seed, doc):
+        tf, total = Counter(found[doc].tolist()), 0.0
+        for t in set(found[seed].tolist()) & set(tf):
+            total += np.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(found[doc]) / mean))
+        return total
+
+    for seed in (0, 1, 17, 320, 449):
+        got = index.neighbours(seed, free)
+        want = sorted((brute(seed, d) for d in np.flatnonzero(free)), reverse=True)[:24]
+        assert len(got) == 24 and all(free[got]) and np.allclose([brute(seed, d) for d in got], want, rtol=1e-4)
+    assert set(index.neighbours(320, free)) <= {0, *range(300, 450)}
+
+
 def shards_of(spark, texts, shards):
     """Shard by document, of how many there are."""
     rows = packing.pack_documents(docs(spark, texts), shard_bytes=-(-sum(len(t) + 4 for t in texts) // shards)).collect()
