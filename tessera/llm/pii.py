@@ -151,7 +151,7 @@ def examples(seed: int = 7, each: int = 120) -> list[tuple[int, str, str, int, i
     four = lambda x, sep: sep.join(x[i : i + 4] for i in range(0, 16, 4))
     makers = {
         ("email", True): [lambda: f"{word()}.{word()} [at] {word()}.com", lambda: f"{word()}(at){word()}(dot)org", lambda: f"{word()} at {word()} dot com", lambda: f"{word()}{d(2)} [at] {word()} [dot] net"],
-        ("email", False): [lambda: f"{word()} at {word()}.{word()}", lambda: f"looked at {word()}. {word()}"],
+        ("email", False): [lambda: f"{word()} at {word()}.{word()}", lambda: f"looked at {word()}. {word()}", lambda: f"{word()} at the dot {word()}", lambda: f"{word()}ed at the dot com {word()}", lambda: f"{word()} at a dot {word()}", lambda: f"{word()} at this dot {word()}"],
         ("ip", True): [lambda: ":".join(hexa(4) for _ in range(8)), lambda: f"2001:db8:{hexa(4)}:{hexa(3)}::{hexa(2)}", lambda: f"fe80:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:{hexa(4)}:1", lambda: f"fe80::{d(1)}", lambda: f"::{d(1)}", lambda: f"fe80::{hexa(3)}:{hexa(4)}:{hexa(4)}:{hexa(4)}", lambda: f"2001:db8:{hexa(4)}::{hexa(4)}:{hexa(3)}:{d(4)}", lambda: f"2001:db8::{hexa(4)}:{hexa(2)}:{d(4)}"],
         ("ip", False): [lambda: f"{r.randint(10, 23)}:{d(2)}:{d(2)}", lambda: ":".join(hexa(2) for _ in range(6)), lambda: f"{d(1)}:{d(1)}:{d(1)}", lambda: f"{r.choice(['add', 'bad', 'face', 'dead'])}::{r.choice(['cab', 'be', 'fade', 'ace'])}", lambda: f"::{r.choice(['add', 'bad', 'fade', 'be'])}"],
         ("card", True): [lambda: four(carded(), "."), lambda: four(carded(), "_"), lambda: four(carded(), "  "), lambda: four(carded(), "/")],
@@ -185,6 +185,9 @@ def models(spark: SparkSession) -> dict[str, tuple[list, float]]:
             x = np.array([[r[f] for f in FEATURES] for r in got])
             y = np.array([r["y"] for r in got], float)
             aside = np.array([r["n"] % 3 == 0 for r in got])
+            for part in (y[aside], y[~aside]):
+                if not 0 < part.sum() < len(part):
+                    raise ValueError(f"{kind}: the examples lack candidates of one class")
             trees = boost(x[~aside], y[~aside])
             _MODELS[kind] = (trees, max(0.5, calibrated(predict(trees, x[aside]), y[aside], PRECISION)))
     return _MODELS

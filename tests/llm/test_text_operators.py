@@ -185,6 +185,19 @@ def test_whole_secrets_and_short_forms_are_redacted(spark):
     assert not [(t, out) for (t, (kind, x)), out in zip(cases.items(), left, strict=True) if x[-4:] in out or f"[{kind.upper()}]" not in out]
 
 
+def test_prose_with_dots_is_no_address(spark):
+    texts = ["growth peaked at the dot com boom", "mail joe at example dot com today"]
+    assert [[x["kind"] for x in r["pii"]["added"]] for r in pii.find_pii(docs(spark, texts)).orderBy("doc_id").collect()] == [[], ["email"]]
+
+
+def test_a_kind_without_both_classes_fails(spark, monkeypatch):
+    made = [x for x in pii.examples() if x[1] != "email" or x[5]]
+    monkeypatch.setattr(pii, "_MODELS", {})
+    monkeypatch.setattr(pii, "examples", lambda: made)
+    with pytest.raises(ValueError, match="email"):
+        pii.models(spark)
+
+
 def test_redaction(spark):
     texts = ["mail a@b.com or +1 (509) 555-6973.", None, "", "x +4111111111111111 y", "nothing"]
     clash = pii.redact(docs(spark, texts).withColumn("_pii", F.lit(7)))
