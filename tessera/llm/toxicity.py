@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .common import held_out, stored, table
 
-#: Confirmed and unlabelled rows that are learned from, at most about. Class prior: over all labelled rows of the fold.
+#: Confirmed and unlabelled rows that the weights are fitted on, at most about. Class prior: over all labelled rows of the fold.
 POSITIVES, UNLABELLED = 6_000, 20_000
 #: Hashed features, those that are kept, and what a kept one needs: positives that have it, and standard errors above chance.
 HASHED, KEPT, SUPPORT, LIFT = 1 << 20, 4_096, 4, 4.0
@@ -27,6 +27,8 @@ WORD = re.compile(r"[^\W\d_]+")
 REMEMBERED = 200_000
 #: Texts whose features are counted at once.
 TOGETHER = 250
+#: Range of the hash that draws rows; rows of a batch that a counting task sends; ids of confirmed documents up to which they are broadcast.
+SPREAD, SENT, BROADCAST_IDS = 1 << 30, 1 << 16, 1_000_000
 
 
 #: A feature also counts by how many distinct words of a text have it (at least), and by which share of them; the first level is the feature itself.
@@ -109,47 +111,58 @@ def train(rows: Iterable[tuple[bool, np.ndarray]], size: int, prior: float, roun
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic") -> Model:
+def _drawn(id: str, salt: int, share: float):
+    """Whether a row is drawn, by a hash of its id; rows without an id are told apart by their place."""
+    own = F.when(F.col(id).isNull(), F.monotonically_increasing_id())
+    return F.pmod(F.xxhash64(id, own, F.lit(salt)), F.lit(SPREAD)) < min(SPREAD, int(SPREAD * share))
+
+
+def document_frequencies(docs: DataFrame, text: str) -> DataFrame:
+    """(k, n): in how many rows each feature at each level occurs, over all rows. A task counts in an array of fixed size and sends what isn't zero."""
+
+    def count(batches):
+        look, total = Lookup(), np.zeros(HASHED * len(LEVELS), np.int32)
+        for batch in batches:
+            column = batch.column(0)
+            for at in range(0, batch.num_rows, TOGETHER):
+                seen = [look.levels(t.as_py()) for t in column.slice(at, TOGETHER)]
+                k, n = np.unique(np.concatenate(seen), return_counts=True)
+                total[k] += n.astype(np.int32)
+        k = np.flatnonzero(total)
+        for at in range(0, len(k), SENT):
+            part = k[at : at + SENT]
+            yield pa.RecordBatch.from_pydict({"k": part, "n": total[part].astype(np.int64)})
+
+    return docs.select(text).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id", label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
     """Learn from docs and labels, both already without held-out rows.
 
-    Rows are sampled by a hash of the id, about ``POSITIVES`` confirmed and ``UNLABELLED`` other documents at most; the
-    ids of the confirmed ones, a bounded set, are broadcast, so no text is shuffled. Features are chosen by their
-    document frequencies in the two samples. Null labels and ids, and labels without a document, count for nothing.
+    Unlabelled text is drawn from all of docs, confirmed documents included, so its share of toxic text is that of the
+    corpus, which the class prior stands for. Features are chosen by their document frequencies over all confirmed and
+    over all documents. Only the rows that the weights are fitted on are samples, drawn by a hash of the id: about
+    ``positives`` confirmed and ``unlabelled`` documents at most. Null labels and ids, and labels without a document,
+    count for nothing; repeated labels count once, repeated documents each.
     """
     known = labels.filter(F.col(id).isNotNull() & F.col(label).isNotNull()).select(F.col(id).alias("id"), (F.col(label) == 1).alias("toxic"))
     n, n_toxic = known.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
-    n_docs = docs.count()
-    if not n_toxic or not n_docs:
-        return Model({}, np.zeros(0), -10.0)
+    none = Model({}, np.zeros(0), -10.0)
+    if not n_toxic:
+        return none
     prior = n_toxic / n
-    spread = 1 << 30
-    part = lambda n: min(spread, int(spread * n))
-    drawn = F.pmod(F.xxhash64("id"), F.lit(spread))
-    ids = known.filter("toxic").filter(drawn < part(POSITIVES / n_toxic)).select("id").distinct()
-    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids.withColumn("positive", F.lit(True))), "id", "left")
-    rows = rows.withColumn("positive", F.coalesce("positive", F.lit(False))).filter(F.col("positive") | (F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(spread)), F.lit(0)) < part(UNLABELLED / n_docs)))
-    sample = stored(rows.select("text", "positive"), "toxicity-sample")
-
-    def count(batches):
-        look = Lookup()
-        for batch in batches:
-            for at in range(0, batch.num_rows, TOGETHER):
-                part, seen = batch.slice(at, TOGETHER), ([], [])
-                for t, p in zip(part.column("text"), part.column("positive").to_pylist(), strict=True):
-                    seen[p].append(look.levels(t.as_py()))
-                for p in (0, 1):
-                    k, c = np.unique(np.concatenate(seen[p]) if seen[p] else np.array([], np.int64), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"k": k, "p": c * p, "u": c * (1 - p)})
-
-    sizes = {r["positive"]: r["n"] for r in sample.groupBy("positive").agg(F.count("*").alias("n")).collect()}
-    n_p, n_u = sizes.get(True, 0), sizes.get(False, 0)
+    rows = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    ids = known.filter("toxic").select("id").distinct()
+    confirmed = rows.join(F.broadcast(ids) if n_toxic <= BROADCAST_IDS else ids, "id", "left_semi")
+    confirmed = stored(confirmed, "toxicity-confirmed")
+    n_p, n_u = confirmed.count(), rows.count()
     if not n_p or not n_u:
-        return Model({}, np.zeros(0), -10.0)
-    p, u = F.col("p"), F.col("u")
-    chance = (p + u) / F.lit(n_p + n_u)
-    lift = (p / F.lit(n_p) - u / F.lit(n_u)) / F.sqrt(chance * (1 - chance) * F.lit(1 / n_p + 1 / n_u) + 1e-12)
-    counted = sample.mapInArrow(count, "k long, p long, u long").groupBy("k").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    best = counted.filter(p >= SUPPORT).withColumn("lift", lift).filter(F.col("lift") >= LIFT).orderBy(F.desc("lift"), "k").limit(KEPT).select("k").collect()
+        return none
+    p, u = F.coalesce("p", F.lit(0)), F.col("u")
+    chance = u / F.lit(n_u)
+    lift = (p / F.lit(n_p) - chance) / F.sqrt(chance * (1 - chance) * F.lit(1 / n_p + 1 / n_u) + 1e-12)
+    counted = document_frequencies(confirmed, "text").filter(F.col("n") >= SUPPORT).withColumnRenamed("n", "p").join(document_frequencies(rows, "text").withColumnRenamed("n", "u"), "k")
+    best = counted.withColumn("lift", lift).filter(F.col("lift") >= LIFT).orderBy(F.desc("lift"), "k").limit(KEPT).select("k").collect()
     kept = {r["k"]: i for i, r in enumerate(best)}
 
     def extract(batches):
@@ -158,9 +171,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
             found = [sorted(kept[k] for k in look.levels(t.as_py()).tolist() if k in kept) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int64()))], names=["positive", "f"])
 
-    rows = [(r["positive"], np.array(r["f"], np.int64)) for r in sample.mapInArrow(extract, "positive boolean, f array<long>").collect()]
-    rows.sort(key=lambda r: (r[0], r[1].tolist()))
-    weights, bias = train(rows, len(kept), prior)
+    sample = confirmed.filter(_drawn("id", 0, positives / n_p)).select("text", F.lit(True).alias("positive"))
+    sample = sample.unionAll(rows.filter(_drawn("id", 1, unlabelled / n_u)).select("text", F.lit(False).alias("positive")))
+    drawn = [(r["positive"], np.array(r["f"], np.int64)) for r in sample.mapInArrow(extract, "positive boolean, f array<long>").collect()]
+    drawn.sort(key=lambda r: (r[0], r[1].tolist()))
+    weights, bias = train(drawn, len(kept), prior)
     return Model(kept, weights, float(bias))
 
 
