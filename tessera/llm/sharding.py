@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
@@ -12,65 +14,85 @@ from .common import stored, table
 SHARDS = 40
 #: Size that each row adds to that of its text.
 ROW_BYTES = 16
-#: A group of at least total / (shards * FINE) is scheduled by itself: shards * FINE of them at most. The rest is
-#: dealt by hash into as many bundles of whole groups. So the heap sees at most 2 * shards * FINE sizes, whatever the input.
-FINE = 250
-#: Rows that are numbered together, on average.
+#: Rows, or groups, that are numbered together, on average.
 PIECE_ROWS = 50_000
+#: A group of at least one row in so many is looked up by broadcast, so there are this many such groups at most.
+HOT = 10_000
+#: Size classes up to which their table is broadcast.
+BROADCAST_CLASSES = 100_000
 
 
-def schedule(sizes: list[tuple[int, object]], shards: int) -> dict[object, int]:
-    """(size, name) by longest processing time: name -> shard. Ties go by name, then to the lowest shard."""
-    loads = [(0, k) for k in range(shards)]
-    out = {}
-    for size, name in sorted(sizes, key=lambda x: (-x[0], str(x[1]))):
-        load, k = heapq.heappop(loads)
-        out[name] = k
-        heapq.heappush(loads, (load + size, k))
+def schedule(classes: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
+    """Longest processing time over classes of (size, groups of that size): for each class, largest first, (shard, groups) in order of shard.
+
+    Groups of one size are interchangeable, so a class is placed at once: the shards that its groups would be popped to,
+    one by one, are those of the least loads that the heap would show.
+    """
+    heap = [(0, k) for k in range(shards)]
+    out = []
+    for size, many in sorted(classes, reverse=True):
+        taken: dict[int, int] = {}
+        if size and many > 4 * shards:
+            loads = np.zeros(shards, np.int64)
+            for load, k in heap:
+                loads[k] = load
+            low, high = int(loads.min()), int(loads.max()) + size * many
+            while high - low > 1:  # the highest level below which no more than ``many`` pops lie
+                level = (low + high) // 2
+                if int(np.maximum(0, -(-(level - loads) // size)).sum()) <= many:
+                    low = level
+                else:
+                    high = level
+            below = np.maximum(0, -(-(low - loads) // size))
+            taken = {k: int(n) for k, n in enumerate(below) if n}
+            heap = [(int(load), k) for k, load in enumerate(loads + below * size)]
+            heapq.heapify(heap)
+            many -= int(below.sum())
+        for _ in range(many):
+            load, k = heap[0]
+            heapq.heapreplace(heap, (load + size, k))
+            taken[k] = taken.get(k, 0) + 1
+        out.append(sorted(taken.items()))
     return out
 
 
-def assign_shards(df: DataFrame, size: Column, group: Column, shards: int = SHARDS, fine: int = FINE) -> DataFrame:
+def assign_shards(df: DataFrame, size: Column, group: Column, shards: int = SHARDS) -> DataFrame:
     """df with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0 in each shard).
 
-    Rows of an equal ``group`` share a shard, null being a group like any other; a group above the mean load is alone
-    in its shard as far as loads allow. Group sizes are combined before the shuffle, so a group with a third of all
-    rows is one number; no text and no group is ever gathered. Null sizes count 0; repeated rows each count; an empty
-    table gives an empty result. Columns of df named shard, slot or beginning with _s are replaced.
+    Rows of an equal ``group`` share a shard, null being a group of its own; a group above the mean load is alone in its
+    shard as far as loads allow. Every group is scheduled, at every size of the input: what the driver holds is the number
+    of groups of each size, at most the square root of twice all bytes. Group sizes are combined before the shuffle, so a
+    group with a third of all rows is one number; no text and no group is ever gathered. Null and negative sizes count 0;
+    repeated rows each count; an empty table gives an empty result. Other columns pass through, those named shard or
+    slot are replaced.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
-    rows = stored(df.withColumn("_s_group", F.coalesce(group, F.lit(""))).withColumn("_s_size", F.coalesce(size, F.lit(0)).cast("long")), "sharding")
-    groups = stored(rows.groupBy("_s_group").agg(F.sum("_s_size").alias("size"), F.count("*").alias("n")), "sharding-groups")
-    total, n_rows = groups.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    bundles = shards * fine
-    bundle = F.pmod(F.xxhash64("_s_group"), F.lit(bundles)).cast("int")
-    own = F.col("size") * bundles >= F.lit(total) if total else F.lit(False)
-    large = [(r["size"], r["_s_group"]) for r in groups.filter(own).toLocalIterator()]  # at most shards * fine
-    small = [(r["size"], r["b"]) for r in groups.filter(~own).groupBy(bundle.alias("b")).agg(F.sum("size").alias("size")).collect()]
-    chosen = schedule(large + small, shards)
+    key = F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group.cast("string")))
+    rows = stored(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key.alias("g"), F.greatest(F.lit(0), F.coalesce(size, F.lit(0))).cast("long").alias("size")), "sharding")
+    groups = stored(rows.groupBy("g").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sharding-groups")
+    n_groups, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    classes = groups.groupBy("size").agg(F.count("*").alias("n")).toPandas().sort_values("size", ascending=False)
     spark = df.sparkSession
-    by_group = spark.createDataFrame([(n, k) for n, k in chosen.items() if isinstance(n, str)], "_s_group string, _s_own int")
-    by_bundle = spark.createDataFrame([(n, k) for n, k in chosen.items() if isinstance(n, int)], "_s_bundle int, _s_shared int")
-    placed = (
-        rows.withColumn("_s_bundle", bundle)
-        .join(F.broadcast(by_group), "_s_group", "left")  # at most shards * fine rows
-        .join(F.broadcast(by_bundle), "_s_bundle", "left")
-        .withColumn("shard", F.coalesce("_s_own", "_s_shared"))
-        .drop("_s_own", "_s_shared", "_s_bundle")
-    )
-    return _slots(placed, max(16, n_rows // (shards * PIECE_ROWS))).drop("_s_group", "_s_size")
-
+    plan = schedule(list(zip(classes["size"].tolist(), classes["n"].tolist(), strict=True)), shards)
+    placed = pd.DataFrame({"size": classes["size"].to_numpy(), "ends": [np.cumsum([n for _, n in x]).tolist() for x in plan], "shards": [[k for k, _ in x] for x in plan]})
+    placed = spark.createDataFrame(placed, "size long, ends array<long>, shards array<int>")
+    numbered = _numbered(groups, "size", max(4, n_groups // PIECE_ROWS), "rank").join(F.broadcast(placed) if len(plan) <= BROADCAST_CLASSES else placed, "size")
+    where = stored(numbered.select("g", "n", F.get("shards", F.size(F.filter("ends", lambda e: e <= F.col("rank")))).alias("shard")), "sharding-where")
+    hot = F.broadcast(where.filter(F.col("n") * HOT >= n_rows).select("g", "shard"))
+    cold = where.filter(F.col("n") * HOT < n_rows).select("g", "shard")
+    both = rows.join(hot, "g").unionByName(rows.join(hot, "g", "left_anti").join(cold, "g"))
+    numbered = _numbered(both.select("shard", "g", "row"), "shard", max(4, n_rows // (shards * PIECE_ROWS)), "slot")
+    return numbered.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
 
-def _slots(df: DataFrame, pieces: int) -> DataFrame:
-    """Gapless numbers in each shard without gathering one: rows are numbered in hashed pieces of a shard, and each piece starts where those before it end."""
-    from pyspark.sql import Window
 
-    dealt = stored(df.withColumn("_s_piece", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.monotonically_increasing_id()), F.lit(pieces)).cast("int")), "sharding-placed")
-    counts = dealt.groupBy("shard", "_s_piece").agg(F.count("*").alias("n"))  # shards * pieces rows
-    before = counts.withColumn("_s_start", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("_s_piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("shard", "_s_piece").orderBy("_s_group"))
-    return dealt.withColumn("slot", (place - 1).cast("long")).join(F.broadcast(before), ["shard", "_s_piece"]).withColumn("slot", F.col("slot") + F.col("_s_start")).drop("_s_start", "_s_piece")
+def _numbered(df: DataFrame, key: str, pieces: int, into: str) -> DataFrame:
+    """df with gapless numbers from 0 in each key without gathering a key: rows are numbered in hashed pieces of it, and each piece starts where those before it end."""
+    dealt = stored(df.withColumn("piece", F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(pieces)).cast("int")), "sharding-dealt")
+    counts = dealt.groupBy(key, "piece").agg(F.count("*").alias("n_piece"))
+    before = counts.withColumn("start", F.coalesce(F.sum("n_piece").over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_piece")
+    place = F.row_number().over(Window.partitionBy(key, "piece").orderBy("g")) - 1
+    return dealt.withColumn(into, place.cast("long")).join(before, [key, "piece"]).withColumn(into, F.col(into) + F.col("start")).drop("start", "piece")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Near-duplicates, sharding, packing, chat windows, the pipeline: brute force, round trips and edge cases."""
 
 import hashlib
+import heapq
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -105,33 +106,66 @@ def test_components_of_a_chain_and_a_star(spark):
 # sharding
 
 
-def test_schedule_is_longest_first():
-    chosen = sharding.schedule([(7, "a"), (6, "b"), (5, "c"), (4, "d"), (4, "e"), (2, "f")], 2)
-    loads = Counter()
-    for size, name in [(7, "a"), (6, "b"), (5, "c"), (4, "d"), (4, "e"), (2, "f")]:
-        loads[chosen[name]] += size
-    assert sorted(loads.values()) == [13, 15] or sorted(loads.values()) == [14, 14]
+def one_by_one(classes, shards):
+    """Loads after longest processing time through a heap, group by group."""
+    loads, out = [(0, k) for k in range(shards)], []
+    for size, many in sorted(classes, reverse=True):
+        taken = Counter()
+        for _ in range(many):
+            load, k = heapq.heappop(loads)
+            heapq.heappush(loads, (load + size, k))
+            taken[k] += 1
+        out.append(sorted(taken.items()))
+    return out
+
 
+def test_schedule_is_longest_first():
+    rng = random.Random(1)
+    assert sharding.schedule([(7, 1), (6, 1), (5, 1), (4, 2), (2, 1)], 2) == one_by_one([(7, 1), (6, 1), (5, 1), (4, 2), (2, 1)], 2)
+    for shards in (1, 3, 40):
+        sizes = rng.sample(range(0, 3000), 60)
+        classes = [(s, rng.choice([1, 2, 7, 170, 900, 5000])) for s in sizes] + [(10**6, 3)]
+        assert sharding.schedule(classes, shards) == one_by_one(classes, shards)
 
-@pytest.mark.parametrize("fine", [250, 2])
-def test_shards_keep_groups_and_balance(spark, fine):
 
+def test_shards_keep_groups_and_balance(spark, monkeypatch):
     rng = random.Random(0)
     texts = ["x" * rng.randint(1, 400) + str(i) for i in range(600)] + ["hot copy"] * 300 + [None, None, ""]
-    df = docs(spark, texts).withColumn("shard", F.lit("clash"))
-    rows = sharding.assign_shards(df, F.octet_length(F.coalesce("text", F.lit(""))) + 16, F.coalesce("text", F.lit("")), shards=8, fine=fine).collect()
-    assert len(rows) == len(texts)
-    where, loads, slots = defaultdict(set), Counter(), defaultdict(list)
-    for r in rows:
-        where[r["text"] or ""].add(r["shard"])
-        loads[r["shard"]] += len(r["text"] or "") + 16
-        slots[r["shard"]].append(r["slot"])
-    assert all(len(s) == 1 for s in where.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(loads.values()) - min(loads.values()) <= (450 if fine == 250 else sum(loads.values()) / 16 + 450)
+    df = docs(spark, texts).withColumns({"shard": F.lit("clash"), "_s_size": F.lit("own"), "g": F.lit("own"), "piece": F.lit(2)})
+    for hot, classes in ((10_000, 100_000), (2, 0)):  # with and without broadcasts
+        monkeypatch.setattr(sharding, "HOT", hot)
+        monkeypatch.setattr(sharding, "BROADCAST_CLASSES", classes)
+        out = sharding.assign_shards(df, F.octet_length(F.coalesce("text", F.lit(""))) + 16, F.col("text"), shards=8)
+        assert sorted(out.columns) == sorted([*df.columns, "slot"])
+        rows = out.collect()
+        assert len(rows) == len(texts) and {(r["_s_size"], r["g"], r["piece"]) for r in rows} == {("own", "own", 2)}
+        where, loads, slots = defaultdict(set), Counter(), defaultdict(list)
+        for r in rows:
+            where[r["text"]].add(r["shard"])
+            loads[r["shard"]] += len(r["text"] or "") + 16
+            slots[r["shard"]].append(r["slot"])
+        assert all(len(s) == 1 for s in where.values())
+        assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        by_group = Counter()
+        for t in texts:
+            by_group[t] += len(t or "") + 16
+        want = Counter()
+        for (size, _), x in zip(sorted(Counter(by_group.values()).items(), reverse=True), one_by_one(list(Counter(by_group.values()).items()), 8), strict=True):
+            for k, n in x:
+                want[k] += size * n
+        assert loads == want
     assert sharding.assign_shards(df.limit(0), F.lit(1), F.col("text"), shards=3).count() == 0
 
 
+def test_sharding_query_columns(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    got = {r["doc_id"]: r for r in sharding.op4_sharding(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        data = (r["text"] or "").encode()
+        assert (got[r["doc_id"]]["size"], got[r["doc_id"]]["text_crc32"], got[r["doc_id"]]["law"], got[r["doc_id"]]["grown_shard"]) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+
+
 # packing
 
 
