@@ -1,29 +1,37 @@
-"""Lexical retrieval packing: documents are dealt to shards by lexical closeness, and in each shard a BM25 inverted index with the statistics of the whole corpus names, for a seed document, unused neighbours that fill its window."""
+"""Lexical retrieval packing: documents in an order of lexical closeness are cut into shards, and in each shard a BM25 inverted index with the statistics of the whole corpus ranks, for a seed document, the unused neighbours that fill its window."""
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .bpe import word_ids
 from .common import stored, table
 
 WINDOW, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
-#: Bytes of text that a shard of the index holds on average; a shard is one task's work.
-SHARD_BYTES = 4 << 20
+#: Tokens of a shard, each document counting ``DOC_TOKENS`` more; a task works through many shards, one at a time.
+SHARD_TOKENS, DOC_TOKENS = 1 << 21, 8
+#: Bytes of text that a task orders and packs, on average.
+TASK_BYTES = 128 << 20
 K1, B = 1.2, 0.75
-#: Neighbours that are tried before the window's rest is filled by cutting one.
-NEIGHBOURS = 24
+#: How many of the best unused neighbours are tried for one that fits whole before the best is cut at the window's end.
+AHEAD = 24
+#: A term in at least one of so many documents of a shard has a row of weights instead of postings.
+DENSE = 8
 GROUP_CHARS = 1_000_000
-#: Documents, at most about, from which the directions of closeness are learned; those directions; and documents a shard from which the cuts are learned.
-LEARNED, DIRECTIONS, A_SHARD = 4_000, 48, 32
+#: Documents, at most about, from which the directions of closeness are learned; and those directions.
+LEARNED, DIRECTIONS = 4_000, 8
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,70 +63,57 @@ class ShardIndex:
         lengths = np.array([len(d) for d in distinct])
         flat = np.concatenate(distinct).astype(np.int64)
         top = int(flat.max()) + 1
-        keys, tf = np.unique(np.repeat(np.arange(n), lengths) * top + flat, return_counts=True)
-        doc, term = keys // top, keys % top
+        keys = np.sort(np.repeat(np.arange(n), lengths) * top + flat)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        tf = np.diff(np.append(first, len(keys)))
+        doc, term = keys[first] // top, keys[first] % top
         if corpus is None:
             copies = np.diff(self.member_at)
             corpus = Corpus.of(np.bincount(term, copies[doc], top), len(docs), int((lengths * copies).sum()))
         weight = corpus.weigh(term, tf, lengths[doc])
-        self.doc_at = np.searchsorted(doc, np.arange(n + 1))
-        self.doc_terms, self.doc_weights = term, weight
+        self.doc_at, self.doc_terms = np.searchsorted(doc, np.arange(n + 1)), term
         order = np.argsort(term, kind="stable")
         self.term_at = np.concatenate(([0], np.cumsum(np.bincount(term, minlength=top))))
         self.docs, self.weights = doc[order], weight[order]
-        self.most = np.zeros(top, np.float32)
-        np.maximum.at(self.most, term, weight)
-        self.asked = np.zeros(top, np.float32)
-
-    def neighbours(self, seed: int, free: np.ndarray, most: int = NEIGHBOURS) -> list[int]:
-        """Free documents that share terms with the seed, best first, ties by position.
-
-        Exact over all terms of the seed: those of the greatest weights are looked up in the postings; the rest only for
-        documents that these and the greatest weights of the rest let reach the best ``most``.
-        """
+        many = np.flatnonzero(np.diff(self.term_at) * DENSE >= n)
+        self.row = np.full(top, -1)
+        self.row[many] = np.arange(len(many))
+        self.dense = np.zeros((len(many), n), np.float32)
+        at = self.row[term] >= 0
+        self.dense[self.row[term[at]], doc[at]] = weight[at]
+
+    def scores(self, seed: int) -> np.ndarray:
+        """The exact score of each distinct document for all terms of the seed."""
         own = self.which[seed]
         terms = self.doc_terms[self.doc_at[own] : self.doc_at[own + 1]]
-        terms = terms[np.argsort(-self.most[terms], kind="stable")]
-        sizes = np.cumsum(self.term_at[terms + 1] - self.term_at[terms])
-        first = int(np.searchsorted(sizes, sizes[-1] // 4)) + 1
-        spans = [slice(self.term_at[t], self.term_at[t + 1]) for t in terms[:first].tolist()]
-        part = np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
-        open_ = np.bincount(self.which, free, self.n)
-        part[open_ == 0] = -np.inf
-        rest = terms[first:]
-        if len(rest):
-            least = np.partition(part, -most)[-most] if self.n > most else -np.inf
-            near = np.flatnonzero((part > -np.inf) & (part + float(self.most[rest].sum()) * 1.0001 + 1e-6 >= least))
-            self.asked[rest] = 1
-            if len(near):
-                starts, counts = self.doc_at[near], np.diff(self.doc_at)[near]
-                ends = np.cumsum(counts)
-                at = np.arange(ends[-1]) + np.repeat(starts - (ends - counts), counts)
-                score = np.add.reduceat((self.asked[self.doc_terms[at]] * self.doc_weights[at]).astype(np.float64), ends - counts) + part[near]
-            else:
-                score = np.zeros(0)
-            self.asked[rest] = 0
-        else:
-            near = np.flatnonzero(part > -np.inf)
-            score = part[near]
-        shared = score > 0
-        near, score = near[shared], score[shared]
-        if len(near) > most:
-            keep = score >= np.partition(score, -most)[-most]
-            near, score = near[keep], score[keep]
-        found: list[tuple[float, int]] = []
-        for g, s in zip(near.tolist(), score.tolist(), strict=True):
-            same = self.members[self.member_at[g] : self.member_at[g + 1]]
-            found += [(-s, d) for d in same[free[same] > 0][:most].tolist()]
-        return [d for _, d in sorted(found)[:most]]
+        row = self.row[terms]
+        asked = np.zeros(len(self.dense), np.float32)
+        asked[row[row >= 0]] = 1
+        total = (asked @ self.dense).astype(np.float64)
+        spans = [slice(a, b) for a, b in zip(self.term_at[terms[row < 0]].tolist(), self.term_at[terms[row < 0] + 1].tolist(), strict=True)]
+        if spans:
+            total += np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.weights[s] for s in spans]), self.n)
+        return total
+
+    def neighbours(self, seed: int, free: np.ndarray) -> Iterator[int]:
+        """All free documents that share terms with the seed, best first, ties by position; ``free`` may change on the way."""
+        score = self.scores(seed)
+        score[np.bincount(self.which, free, self.n) == 0] = 0
+        best = min(4 * AHEAD, self.n)
+        least = np.partition(score, -best)[-best]
+        for some in (np.flatnonzero(score >= max(least, 1e-300)), np.flatnonzero((score < least) & (score > 0))):
+            for g in some[np.argsort(-score[some], kind="stable")].tolist():
+                for d in self.members[self.member_at[g] : self.member_at[g + 1]].tolist():
+                    if free[d]:
+                        yield d
 
 
 def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of each piece. Every sequence but the last is full.
 
-    The window's seed is the document that was cut at its start, or the next unused one. Neighbours that fit whole go
-    in first, best first; what is then left takes the beginning of the best one that didn't fit, whose rest seeds the
-    next window.
+    The window's seed is the document that was cut at its start, or the next unused one. Neighbours go in best first,
+    of the ``AHEAD`` best unused ones those that fit whole before others; if none does, the best is cut, and its rest
+    seeds the next window.
     """
     if not docs:
         return []
@@ -141,21 +136,21 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
     while True:
         end = put(seed, start)
         cut = (seed, end) if end < sizes[seed] else None
-        ranked: list[int] = []
+        ranked = index.neighbours(seed, free) if filled < window else iter(())
+        ahead = list(islice(ranked, AHEAD))
         while filled < window and cut is None:
-            if not ranked:
-                ranked = index.neighbours(seed, free)
-            if not ranked:
+            if not ahead:
                 while following < len(docs) and not free[following]:
                     following += 1
                 if following == len(docs):
                     return out
-                ranked = [following]
-            fits = next((d for d in ranked if sizes[d] <= window - filled), ranked[0])
-            ranked = [d for d in ranked if d != fits]
+                ahead = [following]
+            fits = next((d for d in ahead if sizes[d] <= window - filled), ahead[0])
+            ahead.remove(fits)
             end = put(fits, 0)
             if end < sizes[fits]:
                 cut = (fits, end)
+            ahead += islice(ranked, AHEAD - len(ahead))
         sequence, filled = sequence + 1, 0
         if cut is None:
             while following < len(docs) and not free[following]:
@@ -166,28 +161,72 @@ def pack(docs: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = N
         seed, start = cut
 
 
-def tokenized(df: DataFrame, text: str, vocabulary: str) -> DataFrame:
-    """df, its text replaced by ``_ids``: token ids and the end mark as little-endian bytes."""
-    from pyspark.sql import types as T
+class Closeness(NamedTuple):
+    """Term by direction, and where each direction is halved."""
 
-    schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField("_ids", T.BinaryType())])
+    along: np.ndarray
+    middle: np.ndarray
+
+    @classmethod
+    def learned(cls, docs: list[np.ndarray], size: int) -> Closeness:
+        """The leading right singular vectors of a sample's idf-weighted term vectors, by one step of subspace iteration."""
+        docs = [d for d in docs if len(d)]
+        if not docs:
+            return cls(np.zeros((size, 0), np.float32), np.zeros(0, np.float32))
+        owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+        pairs, tf = np.unique(owner * size + np.concatenate(docs), return_counts=True)
+        owner, term = pairs // size, pairs % size
+        df = np.bincount(term, minlength=size)
+        idf = np.log1p(len(docs) / (df + 1.0))
+        weight = tf * idf[term]
+        weight = weight / np.sqrt(np.bincount(owner, weight**2))[owner]
+        start = np.random.default_rng(0).standard_normal((size, 3 * DIRECTIONS))
+        q = np.linalg.qr(np.stack([np.bincount(owner, weight * start[term, j], len(docs)) for j in range(start.shape[1])], axis=1))[0]
+        back = np.stack([np.bincount(term, weight * q[owner, j], size) for j in range(q.shape[1])])
+        axes = np.linalg.svd(back, full_matrices=False)[2][:DIRECTIONS].T
+        along = np.ascontiguousarray(axes * idf[:, None], np.float32)
+        free = cls(along, np.zeros(along.shape[1], np.float32))
+        return cls(along, np.median(free.places(docs), axis=0).astype(np.float32))
+
+    def places(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Where each document lies; equal documents lie at the same place."""
+        pairs = [np.ascontiguousarray(p).view(np.complex64).ravel() for p in np.split(self.along, self.along.shape[1] // 2, axis=1)] if self.along.size else []  # two directions in one look-up
+        found = np.array([[p.take(d).sum() for p in pairs] for d in docs], np.complex64).reshape(len(docs), len(pairs)).view(np.float32)
+        return found / np.maximum(1e-9, np.sqrt((found**2).sum(axis=1, keepdims=True)))
+
+    def keys(self, docs: list[np.ndarray]) -> np.ndarray:
+        """A number by which lexically close documents are near each other: on which side of each direction's middle a document lies, then how far along the last."""
+        x = self.places(docs)
+        key = np.zeros(len(docs), np.int64)
+        for j in range(x.shape[1]):
+            key = key * 2 + (x[:, j] > self.middle[j])
+        return key * 4096 + (np.clip((x[:, -1] + 1) * 2048, 0, 4095).astype(np.int64) if x.shape[1] else 0)
+
+
+def tokenized(df: DataFrame, text: str, vocabulary: str, close: Closeness) -> DataFrame:
+    """df, its text replaced by ``_ids``, token ids and the end mark as little-endian bytes, and ``_key``, its place in the order of closeness."""
+    schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField("_ids", T.BinaryType()), T.StructField("_key", T.LongType())])
+    shared = df.sparkSession.sparkContext.broadcast(close)
 
     def run(batches):
         ids = word_ids(vocabulary)
         end = np.array([END], ids.kind).tobytes()
+
+        def made(batch):
+            found = [x + end for x in ids(batch.column(text).to_pylist())]
+            keys = shared.value.keys([np.frombuffer(x, ids.kind) for x in found])
+            keep = [c for c in batch.schema.names if c != text]
+            return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, pa.binary()), pa.array(keys)], names=[*keep, "_ids", "_key"])
+
         for batch in batches:
-            found: list[bytes] = []
-            group: list[str | None] = []
-            chars = 0
-            for t in batch.column(text):
-                group.append(t := t.as_py())
-                chars += len(t or "")
+            start, chars = 0, 0
+            for k, t in enumerate(batch.column(text)):
+                chars += len(t.as_py() or "")
                 if chars > GROUP_CHARS:
-                    found += ids(group)
-                    group, chars = [], 0
-            found += ids(group)
-            keep = [c for c in batch.schema.names if c != text]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array([x + end for x in found], pa.binary())], names=[*keep, "_ids"])
+                    yield made(batch.slice(start, k + 1 - start))
+                    start, chars = k + 1, 0
+            if start < batch.num_rows:
+                yield made(batch.slice(start))
 
     return df.mapInArrow(run, schema)
 
@@ -196,14 +235,17 @@ def corpus_statistics(ids: DataFrame, kind: str) -> Corpus:
     """Document frequencies, count and mean length over all rows; the vocabulary bounds what comes to the driver."""
 
     def count(batches):
-        df, n, tokens = np.zeros(0, np.int64), 0, 0
+        df, n, tokens = np.zeros(0, np.int32), 0, 0
+        there = np.zeros(np.iinfo(kind).max + 1 if kind == "<u2" else 1 << 20, np.int8)
         for batch in batches:
             for x in batch.column("_ids"):
                 terms = np.frombuffer(x.as_buffer(), kind)
                 n, tokens, top = n + 1, tokens + len(terms), int(terms.max()) + 1
                 if top > len(df):
                     df = np.append(df, np.zeros(top - len(df), np.int64))
-                df[np.unique(terms)] += 1
+                there[: len(df)] = 0
+                there[terms] = 1
+                df += there[: len(df)]
         k = np.flatnonzero(df)
         yield pa.RecordBatch.from_pydict({"k": np.append(k, [-1, -2]), "c": np.append(df[k], [n, tokens])})
 
@@ -214,137 +256,62 @@ def corpus_statistics(ids: DataFrame, kind: str) -> Corpus:
     return Corpus.of(df, n, tokens)
 
 
-def directions(docs: list[np.ndarray], corpus: Corpus) -> np.ndarray:
-    """Term by direction: the leading right singular vectors of the documents' BM25 weights, by one step of subspace iteration."""
-    vectors = [_vector(d, corpus) for d in docs]
-    top = len(corpus.idf)
-    start = np.random.default_rng(0).standard_normal((top, DIRECTIONS + 16)).astype(np.float32)
-    q = np.linalg.qr(np.array([w @ start[t] for t, w in vectors]))[0]
-    term = np.concatenate([t for t, _ in vectors])
-    weight = np.concatenate([w for _, w in vectors])
-    owner = np.repeat(np.arange(len(docs)), [len(t) for t, _ in vectors])
-    back = np.stack([np.bincount(term, weight * q[owner, j], top) for j in range(q.shape[1])])
-    return np.linalg.svd(back, full_matrices=False)[2][:DIRECTIONS].T.astype(np.float32)
-
-
-def _vector(doc: np.ndarray, corpus: Corpus) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of a document and their BM25 weights, of length 1."""
-    term, tf = np.unique(doc, return_counts=True)
-    w = corpus.weigh(term, tf, len(doc))
-    return term, w / max(1e-9, float(np.sqrt(w @ w)))
-
-
-def place(doc: np.ndarray, corpus: Corpus, along: np.ndarray) -> np.ndarray:
-    """Where a document lies; equal documents lie at the same place."""
-    term, w = _vector(doc, corpus)
-    return np.round(w @ along[term], 4)
-
-
-def cuts(places: np.ndarray, sizes: np.ndarray, shards: int, first: int = 0):
-    """A tree of (direction, threshold, tree of the places below, tree of the rest); a leaf is (first shard, shards).
-
-    Each half gets shards in proportion to its bytes. Places that no threshold tells apart, such as copies, share a leaf
-    of several shards, in which rows are dealt by hash.
-    """
-    if shards == 1 or len(places) < 2:
-        return first, shards
-    centred = places - places.mean(0)
-    axis = np.linalg.svd(centred, full_matrices=False)[2][0].astype(np.float32)
-    along = np.round(places @ axis, 3)
-    order = np.argsort(along, kind="stable")
-    v, share = along[order], np.cumsum(sizes[order]) / sizes.sum()
-    at = np.flatnonzero(v[1:] > v[:-1])
-    if not len(at):
-        return first, shards
-    k = int(at[np.abs(share[at] - 0.5).argmin()])
-    low = min(shards - 1, max(1, round(shards * float(share[k]))))
-    threshold = float((v[k] + v[k + 1]) / 2)
-    below = along < threshold
-    return axis, threshold, cuts(places[below], sizes[below], low, first), cuts(places[~below], sizes[~below], shards - low, first + low)
-
-
-def leaf(tree, x: np.ndarray) -> tuple[int, int]:
-    while len(tree) == 4:
-        axis, threshold, low, high = tree
-        tree = low if np.round(x @ axis, 3) < threshold else high
-    return tree
-
-
-def dealt(ids: DataFrame, kind: str, shards: int, corpus: Corpus) -> DataFrame:
-    """ids with its column ``_shard``: lexically close rows get the same one, and no group of copies fills one alone."""
-    if shards == 1:
-        return ids.withColumn("_shard", F.lit(0))
-    spread, context = 1 << 30, ids.sparkSession.sparkContext
-    n = ids.count()
-
-    def drawn(most: int, salt: int) -> DataFrame:
-        return ids.filter(F.pmod(F.xxhash64("_row", F.lit(salt)), F.lit(spread)) < min(spread, int(spread * most / max(1, n)) + 1))
-
-    sample = [np.frombuffer(r["_ids"], kind) for r in drawn(LEARNED, 1).select("_ids").toLocalIterator()]
-    if not sample:
-        return ids.withColumn("_shard", F.pmod(F.xxhash64("_row"), F.lit(shards)).cast("int"))
-    along = context.broadcast(directions(sample, corpus))
-    stats = context.broadcast(corpus)
-
-    def placed(batches):
-        for batch in batches:
-            docs = [np.frombuffer(x.as_buffer(), kind) for x in batch.column("_ids")]
-            yield pa.RecordBatch.from_pydict({"x": [place(d, stats.value, along.value).tobytes() for d in docs], "n": [len(d) for d in docs]})
-
-    rows = drawn(A_SHARD * shards, 2).select("_ids").mapInArrow(placed, "x binary, n long").collect()
-    tree = cuts(np.array([np.frombuffer(r["x"], np.float32) for r in rows]), np.array([r["n"] for r in rows], float), shards) if rows else (0, shards)
-    tree = context.broadcast(tree)
-
-    def deal(batches):
-        for batch in batches:
-            out = []
-            for x, row in zip(batch.column("_ids"), batch.column("_hash").to_pylist(), strict=True):
-                first, many = leaf(tree.value, place(np.frombuffer(x.as_buffer(), kind), stats.value, along.value))
-                out.append(first + row % many)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in batch.schema.names if c != "_hash"], pa.array(out, pa.int32())], names=[*[c for c in batch.schema.names if c != "_hash"], "_shard"])
-
-    hashed = ids.withColumn("_hash", F.pmod(F.xxhash64("_row"), F.lit(spread)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ids.schema)
-    return hashed.mapInArrow(deal, f"{schema}, _shard int")
-
-
-def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window: int = WINDOW, vocabulary: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window: int = WINDOW, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    BM25 statistics are those of all rows. Rows are dealt to shards by lexical closeness; copies that would fill a shard
-    are dealt by a hash over rows. A shard holds about ``shard_bytes`` of text, so only its last sequence is short, and
-    a seed's neighbours are looked for in its own shard. Null and empty texts are the end mark alone. Repeated rows are
-    packed each; other columns are not returned; an empty table gives an empty result.
+    Rows are put in an order of lexical closeness, whose directions are learned from about ``LEARNED`` rows, drawn by a
+    hash. The order is dealt by ranges to tasks and cut there into shards of about ``shard_tokens``; copies lie beside
+    each other and fill as many shards as they need. BM25 statistics are those of all rows, scores are exact over all
+    terms, and a seed's neighbours are looked for in its own shard, all of it. Only a shard's last sequence is short.
+    Equal keys are ordered by id and text, so repartitioned rows are packed alike where one task packs all. Null and
+    empty texts are the end mark alone. Repeated rows are packed each; other columns are not returned; an empty table
+    gives an empty result.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    kind = "<u2" if word_ids(path).kind == "<u2" else "<u4"
-    size = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 4 * F.count("*")).first()[0]
-    shards = max(1, -(-size // shard_bytes))
+    words = word_ids(path)
+    kind = words.kind
+    size, n = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)) + 4 * F.count("*"), F.count("*")).first()
     rows = df.select(F.col(id).alias("_id"), F.col(text).alias("_text"))
-    ids = stored(tokenized(rows, "_text", path).withColumn("_row", F.monotonically_increasing_id()), "packing-ids")
-    corpus = corpus_statistics(ids, kind)
-    shared = df.sparkSession.sparkContext.broadcast(corpus)
+    spread = 1 << 30
+    drawn = rows.filter(F.pmod(F.xxhash64("_id", "_text"), F.lit(spread)) < min(spread, int(spread * LEARNED / max(1, n)) + 1))
+    sample = sorted(r["_text"] or "" for r in drawn.select("_text").distinct().toLocalIterator())
+    close = Closeness.learned([np.frombuffer(x, kind) for x in words(sample)], len(words.ends))
+    ids = stored(tokenized(rows, "_text", path, close), "packing-ids")
+    shared = df.sparkSession.sparkContext.broadcast(corpus_statistics(ids, kind))
     id_type = df.schema[id].dataType.simpleString()
+    ordered = ids.repartitionByRange(max(1, -(-size // task_bytes)), "_key", "_id", F.xxhash64("_ids")).sortWithinPartitions("_key", "_id", F.xxhash64("_ids"))
 
-    def run(group: pa.Table) -> pa.Table:
-        shard = group.column("_shard")[0].as_py()
-        names = group.column("_id").combine_chunks()
-        docs = [np.frombuffer(x.as_buffer(), kind) for x in group.column("_ids")]
-        rows = pack(docs, window, shared.value)
-        columns = list(zip(*rows, strict=True))
-        doc, start, length, sequence, offset = (np.array(c, np.int64) for c in columns)
-        crc = [zlib.crc32(docs[d][a : a + n].astype("<u4").tobytes()) for d, a, n in zip(columns[0], columns[1], columns[2], strict=True)]
-        return pa.table({
-            id: names.take(pa.array(doc)),
+    def packed(names: list, docs: list[np.ndarray], first: int) -> pa.RecordBatch:
+        doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pack(docs, window, shared.value), strict=True))
+        crc = [zlib.crc32(docs[d][a : a + n].astype("<u4").tobytes()) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+        return pa.RecordBatch.from_pydict({
+            id: pa.concat_arrays(names).take(pa.array(doc)),
             "start": start,
             "length": length,
             "ids_crc32": np.array(crc, np.int64),
             "doc_tokens": np.array([len(d) for d in docs], np.int64)[doc],
-            "sequence_id": sequence + (shard << 32),
+            "sequence_id": sequence + first,
             "offset": offset,
         })
 
-    return dealt(ids, kind, shards, corpus).drop("_row").groupBy("_shard").applyInArrow(run, f"`{id}` {id_type}, {PIECES}")
+    def run(batches):
+        first = TaskContext.get().partitionId() << 40
+        names, docs, held = [], [], 0
+        for batch in batches:
+            at = 0
+            for k, x in enumerate(batch.column("_ids")):
+                docs.append(np.frombuffer(x.as_py(), kind))
+                held += len(docs[-1]) + DOC_TOKENS
+                if held >= shard_tokens:
+                    yield (out := packed([*names, batch.column("_id").slice(at, k + 1 - at)], docs, first))
+                    first += out.column("sequence_id")[-1].as_py() - first + 1
+                    names, docs, held, at = [], [], 0, k + 1
+            if at < batch.num_rows:
+                names.append(batch.column("_id").slice(at))
+        if docs:
+            yield packed(names, docs, first)
+
+    return ordered.select("_id", "_ids").mapInArrow(run, f"`{id}` {id_type}, {PIECES}")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -199,27 +199,40 @@ def test_every_token_is_in_one_piece(spark):
     texts = [" ".join(rng.choices(words, k=rng.randint(0, 900))) for _ in range(60)] + [None, "", "same", "same", "y " * 9000]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     ids = {i: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1]) for i, t in enumerate(texts)}
-    for shard_bytes in (8 << 20, 40_000):
-        rows = packing.pack_documents(docs(spark, texts), shard_bytes=shard_bytes).collect()
+    for shard_tokens, task_bytes in ((1 << 20, 1 << 30), (9_000, 1 << 30), (9_000, 20_000)):
+        rows = packing.pack_documents(docs(spark, texts), shard_tokens=shard_tokens, task_bytes=task_bytes).collect()
         lengths = check_pieces(rows, ids)
-        shards = {r["sequence_id"] >> 32 for r in rows}
-        assert sum(n < 2048 for n in lengths) <= len(shards)
+        assert sum(n < 2048 for n in lengths) <= len(texts) // 2 if shard_tokens < 1 << 20 else sum(n < 2048 for n in lengths) <= 1
     assert packing.pack_documents(docs(spark, [])).count() == 0
 
 
+def test_packing_does_not_depend_on_the_partitioning(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(90)], k=rng.randint(0, 400))) for _ in range(80)] + ["same"] * 30
+    df = docs(spark, texts)
+    found = [sorted(map(tuple, packing.pack_documents(x, shard_tokens=9_000).collect())) for x in (df.coalesce(1), df.repartition(7, "n_chars"))]
+    assert found[0] == found[1]
+
+
+def test_packing_odd_tables(spark):
+    df = spark.createDataFrame([(None, None, 1), (None, "", 1), (3, "a b", 1), (3, "a b", 1)], "doc_id bigint, text string, start bigint").withColumns({"_ids": F.lit("x"), "_key": F.lit("y"), "length": F.lit(0)})
+    rows = packing.pack_documents(df).collect()
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in rows) == [(-1, 1), (-1, 1), (3, 3), (3, 3)]
+
+
 def test_neighbours_share_terms():
     rng = np.random.default_rng(0)
     groups = [rng.choice(np.arange(100 * g + 2, 100 * g + 60), 40) for g in range(5)]
-    found = [np.append(rng.permutation(groups[k % 5]), 1) for k in range(50)]
+    found = [rng.permutation(groups[k % 5]) for k in range(50)]
     index = packing.ShardIndex(found)
-    near = index.neighbours(7, np.ones(50, np.float32), most=9)
-    assert 7 in near and {k % 5 for k in near} == {2}
     free = np.ones(50, np.float32)
-    free[near] = 0
-    assert not set(index.neighbours(7, free)) & set(near)
+    near = list(index.neighbours(7, free))
+    assert sorted(near) == list(range(2, 50, 5))
+    free[near[:4]] = 0
+    assert list(index.neighbours(7, free)) == near[4:]
 
 
-def test_common_terms_and_all_terms_of_a_seed_count():
+def test_scores_and_order_are_those_of_bm25():
     rng = np.random.default_rng(1)
     found = [np.append(rng.choice(np.minimum(rng.zipf(1.3, 400), 900) + 1, rng.integers(3, 300)), 1) for _ in range(300)]
     found += [found[0]] * 150  # a third of the rows are copies
@@ -235,27 +248,23 @@ def test_common_terms_and_all_terms_of_a_seed_count():
         return total
 
     for seed in (0, 1, 17, 320, 449):
-        got = index.neighbours(seed, free)
-        want = sorted((brute(seed, d) for d in np.flatnonzero(free)), reverse=True)[:24]
-        assert len(got) == 24 and all(free[got]) and np.allclose([brute(seed, d) for d in got], want, rtol=1e-4)
-    assert set(index.neighbours(320, free)) <= {0, *range(300, 450)}
-
-
-def shards_of(spark, texts, shards):
-    """Shard by document, of how many there are."""
-    rows = packing.pack_documents(docs(spark, texts), shard_bytes=-(-sum(len(t) + 4 for t in texts) // shards)).collect()
-    return {r["doc_id"]: r["sequence_id"] >> 32 for r in rows}
-
-
-def test_close_documents_meet_in_shards_and_copies_dont_fill_one(spark):
-    rng = random.Random(4)
-    topics = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(40)] for _ in range(8)]
-    texts = [" ".join(rng.choice(topics[i % 8]) for _ in range(60)) for i in range(480)]
-    found = shards_of(spark, texts, 8)
-    near = [found[i] == found[j] for i in range(480) for j in range(i % 8, i, 8)]
-    assert len(set(found.values())) == 8 and np.mean(near) > 0.7
-    copies = Counter(shards_of(spark, [texts[0]] * 400 + texts[:80], 6).values())
-    assert len(copies) >= 5 and max(copies.values()) < 200
+        assert np.allclose(index.scores(seed), [brute(seed, index.members[k]) for k in index.member_at[:-1]], rtol=1e-4)
+        got = list(index.neighbours(seed, free))  # all of them, in order
+        assert sorted(got) == [d for d in np.flatnonzero(free) if brute(seed, d) > 0]
+        scores = [brute(seed, d) for d in got]
+        assert np.allclose(scores, sorted(scores, reverse=True), rtol=1e-4)
+
+
+def test_close_documents_lie_together():
+    rng = np.random.default_rng(4)
+    topics = [rng.choice(np.arange(2, 900), 60, replace=False) for _ in range(8)]
+    found = [np.append(rng.choice(topics[i % 8], 80), 1) for i in range(480)]
+    keys = packing.Closeness.learned(found[:200], 1000).keys(found)
+    order = np.argsort(keys, kind="stable")
+    near = [np.mean([j % 8 == i % 8 for j in order[max(0, k - 20) : k + 20]]) for k, i in enumerate(order)]
+    assert np.mean(near) > 0.6
+    assert len(set(packing.Closeness.learned(found[:200], 1000).keys([found[3]] * 9))) == 1
+    assert packing.Closeness.learned([], 1000).keys(found[:2]).tolist() == [0, 0]
 
 
 def test_statistics_are_of_the_whole_corpus(spark):
