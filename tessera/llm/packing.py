@@ -21,9 +21,9 @@ from .common import stored, table
 WINDOW, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens of a shard, each document counting ``DOC_TOKENS`` more; a task works through many shards, one at a time.
-SHARD_TOKENS, DOC_TOKENS = 1 << 21, 8
+SHARD_TOKENS, DOC_TOKENS = 1 << 22, 8
 #: Bytes of text that a task orders and packs, on average.
-TASK_BYTES = 128 << 20
+TASK_BYTES = 64 << 20
 K1, B = 1.2, 0.75
 #: How many of the best unused neighbours are tried for one that fits whole before the best is cut at the window's end.
 AHEAD = 24
@@ -61,9 +61,10 @@ class ShardIndex:
         self.member_at = np.searchsorted(self.which[self.members], np.arange(n + 1))
         distinct = [docs[k] for k in self.members[self.member_at[:-1]]]
         lengths = np.array([len(d) for d in distinct])
-        flat = np.concatenate(distinct).astype(np.int64)
-        top = int(flat.max()) + 1
-        keys = np.sort(np.repeat(np.arange(n), lengths) * top + flat)
+        top = max(int(d.max()) for d in distinct) + 1
+        keys = np.repeat(np.arange(n) * top, lengths)
+        keys += np.concatenate(distinct)
+        keys.sort()
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         tf = np.diff(np.append(first, len(keys)))
         doc, term = keys[first] // top, keys[first] % top
@@ -170,9 +171,9 @@ class Closeness(NamedTuple):
     @classmethod
     def learned(cls, docs: list[np.ndarray], size: int) -> Closeness:
         """The leading right singular vectors of a sample's idf-weighted term vectors, by one step of subspace iteration."""
-        docs = [d for d in docs if len(d)]
+        docs, along = [d for d in docs if len(d)], np.zeros((size, DIRECTIONS), np.float32)
         if not docs:
-            return cls(np.zeros((size, 0), np.float32), np.zeros(0, np.float32))
+            return cls(along, np.zeros(DIRECTIONS, np.float32))
         owner = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         pairs, tf = np.unique(owner * size + np.concatenate(docs), return_counts=True)
         owner, term = pairs // size, pairs % size
@@ -184,13 +185,13 @@ class Closeness(NamedTuple):
         q = np.linalg.qr(np.stack([np.bincount(owner, weight * start[term, j], len(docs)) for j in range(start.shape[1])], axis=1))[0]
         back = np.stack([np.bincount(term, weight * q[owner, j], size) for j in range(q.shape[1])])
         axes = np.linalg.svd(back, full_matrices=False)[2][:DIRECTIONS].T
-        along = np.ascontiguousarray(axes * idf[:, None], np.float32)
-        free = cls(along, np.zeros(along.shape[1], np.float32))
+        along[:, : axes.shape[1]] = axes * idf[:, None]
+        free = cls(along, np.zeros(DIRECTIONS, np.float32))
         return cls(along, np.median(free.places(docs), axis=0).astype(np.float32))
 
     def places(self, docs: list[np.ndarray]) -> np.ndarray:
         """Where each document lies; equal documents lie at the same place."""
-        pairs = [np.ascontiguousarray(p).view(np.complex64).ravel() for p in np.split(self.along, self.along.shape[1] // 2, axis=1)] if self.along.size else []  # two directions in one look-up
+        pairs = [np.ascontiguousarray(p).view(np.complex64).ravel() for p in np.split(self.along, DIRECTIONS // 2, axis=1)]  # two directions in one look-up
         found = np.array([[p.take(d).sum() for p in pairs] for d in docs], np.complex64).reshape(len(docs), len(pairs)).view(np.float32)
         return found / np.maximum(1e-9, np.sqrt((found**2).sum(axis=1, keepdims=True)))
 
@@ -200,7 +201,7 @@ class Closeness(NamedTuple):
         key = np.zeros(len(docs), np.int64)
         for j in range(x.shape[1]):
             key = key * 2 + (x[:, j] > self.middle[j])
-        return key * 4096 + (np.clip((x[:, -1] + 1) * 2048, 0, 4095).astype(np.int64) if x.shape[1] else 0)
+        return key * 4096 + np.clip((x[:, -1] + 1) * 2048, 0, 4095).astype(np.int64)
 
 
 def tokenized(df: DataFrame, text: str, vocabulary: str, close: Closeness) -> DataFrame:
