@@ -97,7 +97,9 @@ def test_contamination(spark, block):
     texts = [*ODD, "SHORT-item three", "short item", "x w0 " + " ".join(f"W{i}" for i in range(1, 14)) + " short ITEM three é zwölf"]
     texts += [" ".join(rng.choice(["w1", "w2", "short", "item", "three", "w3", "q"]) for _ in range(60)) for _ in range(50)]
     bench = spark.createDataFrame([*ITEMS, (None, "w1 w2")], "item_id bigint, text string")
-    found = decontaminate.find_contamination(docs(spark, texts), bench, block_bytes=block).orderBy("doc_id").collect()
+    df = docs(spark, texts).withColumns({"contamination": F.lit("own"), "row": F.lit(1), "_row": F.lit(2), "hits": F.lit(3)})
+    found = decontaminate.find_contamination(df, bench, block_bytes=block).orderBy("doc_id").collect()
+    assert {(r["row"], r["_row"], r["hits"]) for r in found} == {(1, 2, 3)}
     got = [(r["contamination"]["n_words"], sum(x["end"] - x["start"] for x in r["contamination"]["hits"]), r["contamination"]["items"]) for r in found]
     assert got == contamination_brute(texts, ITEMS)
 
@@ -112,6 +114,16 @@ def test_contaminated_documents_and_spans_go(spark):
     assert decontaminate.drop_contaminated(df.filter("doc_id < 0"), bench).count() == 0
 
 
+def test_the_index_is_small():
+    rng = random.Random(0)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(6)) for _ in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(3_000)]
+    size = sum(len(t) for _, t in items)
+    index = decontaminate.WindowIndex(items)
+    held = index.flat.nbytes + sum(x.nbytes for w in index.windows.values() for x in w)
+    assert held < 6 * size  # 16 MB of items are held in 100 MB and their vocabulary
+
+
 # tokens
 
 
