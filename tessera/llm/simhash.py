@@ -25,6 +25,10 @@ PARTS = 2
 CROWD = 8
 #: Cost of one listed key against one verified meeting, for the allocation of thresholds.
 KEY_COST = 4.0
+#: Fingerprints listed under a key above which its list is split, and those of a block.
+LONG, BLOCK = 8_192, 4_096
+#: Long keys up to which they are broadcast.
+BROADCAST_KEYS = 100_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -168,16 +172,41 @@ def _partitions(groups: list[list[int]], thresholds: list[int]) -> list[tuple[li
     return out
 
 
+def in_cells(rows: DataFrame, nodes: DataFrame, groups: list[list[int]], thresholds: list[int], long: int = LONG, block: int = BLOCK) -> DataFrame:
+    """rows(key, print, part_of) with ``cell``: the lists of long keys are cut into blocks, and each pair of blocks is a cell, so none holds more than two blocks.
+
+    A key that only one part lists can't link any two and goes if it is long. The keys are counted only where the
+    commonest value of a partition makes a long one possible.
+    """
+    plan = _partitions(groups, thresholds)
+    values = nodes.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("print").bitwiseAND(F.lit(_signed(mask))).alias("v")) for k, (_, _, mask, _) in enumerate(plan)])).alias("x")).select("x.*")
+    most = values.groupBy("k", "v").agg(F.count("*").alias("n")).groupBy("k").agg(F.max("n").alias("n")).collect()
+    if not any(r["n"] * len(_masks(plan[r["k"]][0], plan[r["k"]][1] - plan[r["k"]][1] // 2)) > long for r in most):
+        return rows.withColumn("cell", F.lit(0).cast("long"))
+    counted = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("part_of").alias("lo"), F.max("part_of").alias("hi")).filter(F.col("n") > long)
+    counted = stored(counted.select("key", F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.ceil(F.col("n") / block)).cast("int").alias("blocks")), "simhash-long")
+    if counted.count() <= BROADCAST_KEYS:
+        counted = F.broadcast(counted)
+    rows = rows.join(counted, "key", "left").filter("blocks is null or blocks > 0")
+    own = F.pmod(F.xxhash64("print"), F.col("blocks"))
+    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - F.lit(1).cast("long")), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j)))
+    return rows.select("key", "print", "part_of", F.explode(cells).alias("cell"))
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << BITS) if mask >> (BITS - 1) else mask
+
+
 def meetings(rows: DataFrame, groups: list[list[int]], thresholds: list[int], distance: int) -> DataFrame:
-    """(a, b): parts with fingerprints that share a key and are within ``distance`` bits.
+    """(a, b): parts with fingerprints that share a key and are within ``distance`` bits, for rows(key, cell, print, part_of).
 
-    Keys are read as a sorted stream. One listed by a single part is passed over in one step, however many list it; the
-    rest compare each fingerprint with those after it under the key, all keys at once.
+    Cells are read as a sorted stream. One listed by a single part is passed over in one step, however many list it; the
+    rest compare each fingerprint with those after it in the cell, all cells at once.
     """
     plan = [(np.uint64(mask), np.uint64(fill), t // 2) for _, t, mask, fill in _partitions(groups, thresholds)]
 
-    def linked(key, x, part):
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    def linked(key, cell, x, part):
+        starts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (cell[1:] != cell[:-1]))))
         sizes = np.diff(np.append(starts, len(key)))
         mixed = np.minimum.reduceat(part, starts) != np.maximum.reduceat(part, starts)
         take = np.repeat(mixed, sizes)
@@ -199,13 +228,14 @@ def meetings(rows: DataFrame, groups: list[list[int]], thresholds: list[int], di
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def run(batches):
-        kept = tuple(np.array([], np.int64) for _ in range(3))
+        kept = tuple(np.array([], np.int64) for _ in range(4))
         for batch in batches:
-            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "print", "part_of")]
+            new = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "cell", "print", "part_of")]
             if not len(new[0]):
                 continue
             now = [np.concatenate(x) for x in zip(kept, new, strict=True)]
-            last = int(np.searchsorted(now[0], now[0][-1]))  # the last key may go on
+            first = int(np.searchsorted(now[0], now[0][-1]))
+            last = first + int(np.searchsorted(now[1][first:], now[1][-1]))  # the last cell may go on
             kept = tuple(x[last:] for x in now)
             if last:
                 out = linked(*(x[:last] for x in now))
@@ -214,7 +244,7 @@ def meetings(rows: DataFrame, groups: list[list[int]], thresholds: list[int], di
             out = linked(*kept)
             yield pa.RecordBatch.from_pydict({"a": out[:, 0], "b": out[:, 1]})
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return rows.select("key", "cell", "print", "part_of").repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(run, "a long, b long")
 
 
 def crowded(prints: DataFrame, most: int = CROWD) -> DataFrame:
@@ -243,12 +273,13 @@ def close_links(prints: DataFrame) -> DataFrame:
     return lists.filter(F.size("near") > 1).select("a", F.explode("near").alias("b")).filter("a < b").distinct()
 
 
-def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:
+def links(nodes: DataFrame, distance: int = DISTANCE, parts: int = PARTS, long: int = LONG, block: int = BLOCK) -> DataFrame:
     """(a, b), a < b: the parts that a pair of fingerprints within ``distance`` bits joins, for nodes(print long, part_of long)."""
     n, both = bit_statistics(nodes.select("print"))
     groups = group_bits(n, both, parts)
     thresholds = allocate(n, both, groups, distance)
-    return meetings(listed(nodes, groups, thresholds), groups, thresholds, distance).distinct()
+    rows = in_cells(listed(nodes, groups, thresholds), nodes, groups, thresholds, long, block)
+    return meetings(rows, groups, thresholds, distance).distinct()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", distance: int = DISTANCE, parts: int = PARTS) -> DataFrame:

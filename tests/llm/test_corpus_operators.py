@@ -55,6 +55,56 @@ def test_links_are_complete(spark, parts):
     assert got == want
 
 
+def test_long_lists_are_split(spark):
+    """Thousands of fingerprints that share a half and lie three to six bits apart."""
+    rng = np.random.default_rng(6)
+    half = rng.integers(0, 1 << 32, 1)[0]
+    centres = rng.integers(0, 1 << 32, 60)
+    low = {int(c) ^ sum(1 << int(b) for b in rng.choice(32, rng.integers(1, 4), replace=False)) for c in centres for _ in range(90)}
+    prints = [(int(half) << 32) | x for x in low][:5000]
+    nodes = spark.createDataFrame([(signed(p), signed(p)) for p in prints], "print bigint, part_of bigint")
+    x = np.array(prints, np.uint64)
+    want = {tuple(sorted((signed(int(x[i])), signed(int(x[j]))))) for i in range(len(x)) for j in (np.flatnonzero(np.bitwise_count(x[i] ^ x[i + 1 :]) <= 4) + i + 1).tolist()}
+    for long, block in ((700, 300), (10**9, 1)):
+        assert {(r["a"], r["b"]) for r in simhash.links(nodes, 4, 2, long, block).collect()} == want
+    one = nodes.withColumn("part_of", F.lit(7).cast("long"))
+    assert simhash.links(one, 4, 2, 700, 300).count() == 0
+
+
+def test_hubs_are_not_gathered(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(0, i) for i in range(1, 900)] + [(rng.randint(1000, 1400), rng.randint(1000, 1400)) for _ in range(300)]
+    edges = [(min(e), max(e)) for e in edges if e[0] != e[1]]
+    parent = {}
+
+    def root(v):
+        while parent.setdefault(v, v) != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        ra, rb = root(a), root(b)
+        parent[max(ra, rb)] = min(ra, rb)
+    want = {v: root(v) for v in list(parent)}
+    for hub in (10_000, 20, 0):
+        monkeypatch.setattr(components, "HUB", hub)
+        df = spark.createDataFrame(edges, "a bigint, b bigint").repartition(6)
+        assert {r["node"]: r["root"] for r in components.connected_components(df).collect()} == want
+
+
+def test_simhash_query_columns(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in simhash.op6_simhash(spark, sf_dir).collect()}
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    assert {i: r["fingerprint"] for i, r in got.items()} == {i: f"{p:016x}" for i, p in prints.items()}
+    ids = sorted(texts)
+    roots = components_brute([prints[i] for i in ids])
+    least = {}
+    for i, r in zip(ids, roots, strict=True):
+        least[r] = min(least.get(r, i), i)
+    assert {i: got[i]["component_id"] for i in ids} == {i: least[r] for i, r in zip(ids, roots, strict=True)}
+
+
 def test_dense_groups_and_components(spark):
     rng = random.Random(9)
     centre = " ".join(f"w{rng.randint(0, 5000)}" for _ in range(300)).split()
