@@ -1,10 +1,8 @@
-"""Gradient-boosted trees: fitted in numpy on a small labelled sample, evaluated as a Spark expression."""
+"""Gradient-boosted trees: fitted in numpy on a small labelled sample, evaluated as a Spark SQL expression."""
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, least: int = 8, penalty: float = 1.0):
@@ -70,16 +68,13 @@ def calibrated(p: np.ndarray, y: np.ndarray, precision: float) -> float:
     return float((p[order][k] + below) / 2)
 
 
-def as_column(trees: list, features: list[Column]) -> Column:
-    """The score of ``predict`` as an expression over the feature columns."""
+def as_sql(trees: list, features: list[str]) -> str:
+    """The sum of the trees as an SQL expression over the features' expressions."""
 
-    def one(tree) -> Column:
+    def one(tree) -> str:
         if not isinstance(tree, tuple):
-            return F.lit(tree)
+            return f"{tree!r}D"
         f, cut, low, high = tree
-        return F.when(features[f] <= cut, one(low)).otherwise(one(high))
+        return f"if({features[f]} <= {cut!r}D, {one(low)}, {one(high)})"
 
-    total = F.lit(0.0)
-    for t in trees:
-        total = total + one(t)
-    return 1 / (1 + F.exp(-total))
+    return f"({' + '.join(map(one, trees))})"
