@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import timeops as t
+
 
 def _order(ts: str, ties: tuple[str, ...]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in (ts, *ties)]
@@ -41,12 +43,40 @@ def lagged(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], columns: dic
     return out.withColumns({n: F.when(F.col("_n") == 1, F.col("_earlier")[n]).otherwise(F.col("_inner")[n]) for n in columns}).drop("_day", "_n", "_inner", "_earlier")
 
 
-def running_sums(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
-    """df with, for each name in ``columns``, the sum of that integer column over the key's rows up to this one."""
-    df = df.withColumn("_day", F.to_date(ts))
-    sums = F.struct(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in columns.items()])
+#: How a running value is made of a piece's rows, of the pieces before, and of both.
+_HOW = {
+    "sum": (lambda c, rank: F.coalesce(F.sum(c), F.lit(0)), lambda own, w: F.coalesce(F.sum(own).over(w), F.lit(0)), lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0)), lambda now, earlier: now + earlier),
+    "max": (lambda c, rank: F.max(c), lambda own, w: F.max(own).over(w), lambda c, w: F.max(c).over(w), F.greatest),
+    "last": (lambda c, rank: F.max_by(c, F.when(F.col(c).isNotNull(), rank)), lambda own, w: F.last(own, ignorenulls=True).over(w), lambda c, w: F.last(c, ignorenulls=True).over(w), F.coalesce),
+}
+
+
+def running(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], columns: dict[str, tuple[str, str]], piece: Column | None = None) -> DataFrame:
+    """df with, for each name in ``columns``, the sum, max or last known value of a column over the key's rows up to this one, in order of ts and ties, nulls last.
+
+    Rows are dealt by key and ``piece``, which must not fall along that order; it is the day if nothing else is named.
+    """
+    df = df.withColumn("_day", F.to_date(ts) if piece is None else piece)
+    own = F.struct(*[_HOW[how][0](c, _rank(ts, ties)).alias(n) for n, (how, c) in columns.items()])
     before = _days_before(key).rowsBetween(Window.unboundedPreceding, -1)
-    days = _per_day(df, key, sums, F.struct(*[F.coalesce(F.sum(F.col("_own")[n]).over(before), F.lit(0)).alias(n) for n in columns]))
+    days = _per_day(df, key, own, F.struct(*[_HOW[how][1](F.col("_own")[n], before).alias(n) for n, (how, _) in columns.items()]))
     w = Window.partitionBy(key, "_day").orderBy(*_order(ts, ties)).rowsBetween(Window.unboundedPreceding, 0)
-    out = _joined(df.withColumns({f"_in_{n}": F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in columns.items()}), days, key)
-    return out.withColumns({n: F.col(f"_in_{n}") + F.col("_earlier")[n] for n in columns}).drop("_day", "_earlier", *[f"_in_{n}" for n in columns])
+    out = _joined(df.withColumns({f"_in_{n}": _HOW[how][2](c, w) for n, (how, c) in columns.items()}), days, key)
+    return out.withColumns({n: _HOW[how][3](F.col(f"_in_{n}"), F.col("_earlier")[n]) for n, (how, _) in columns.items()}).drop("_day", "_earlier", *[f"_in_{n}" for n in columns])
+
+
+def running_sums(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
+    """df with, for each name in ``columns``, the sum of that integer column over the key's rows up to this one."""
+    return running(df, key, ts, ties, {n: ("sum", c) for n, c in columns.items()})
+
+
+def over_days(df: DataFrame, keys: tuple[str, ...], ts: str, back: int, on: int, columns) -> DataFrame:
+    """df with ``columns(window)``, a window by keys and day that also sees the rows of neighbouring days which lie within ``back`` microseconds before or ``on`` after a row.
+
+    For frames of so many steps on a grid without holes. Only rows near midnight are copied, so a key is as many tasks
+    as it has days.
+    """
+    day = F.to_date(ts)
+    copies = F.sequence(F.to_date(t.from_micros(t.micros(F.col(ts)) - on)), F.to_date(t.from_micros(t.micros(F.col(ts)) + back)))
+    seen = df.withColumn("_day", F.explode(copies)).withColumn("_own", F.col("_day") == day)
+    return seen.withColumns(columns(Window.partitionBy(*keys, "_day").orderBy(ts))).filter("_own").drop("_day", "_own")

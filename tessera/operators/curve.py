@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.windows import lagged, running
 from .dedupe import keep_last, revised
 
 #: Spread name: (long leg, short leg).
@@ -35,15 +36,13 @@ def curve(yields: DataFrame, spreads: dict[str, tuple[str, str]] = SPREADS) -> D
 
     The pivot's symbols are those that the spreads name, so the schema doesn't depend on data; times with no known
     value at all are absent; a change without an earlier spread is null and unchanged in direction. Forward filling
-    runs over the time axis of a few official series, one row a release time.
+    goes day by day; what a day takes over from earlier ones is one row a day.
     """
     symbols = sorted({s for legs in spreads.values() for s in legs})
     wide = yields.filter(F.col("value").isNotNull() & F.col("symbol").isin(symbols)).groupBy("available_ts").pivot("symbol", symbols).agg(F.max_by("value", F.struct("observation_date", "vintage_date", "value")))
-    w = Window.orderBy("available_ts")
-    filled = wide.select("available_ts", *[F.last(s, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(s) for s in symbols])
+    filled = running(wide.withColumn("_all", F.lit(0)), "_all", "available_ts", (), {f"_{s}": ("last", s) for s in symbols}).select("_all", "available_ts", *[F.col(f"_{s}").alias(s) for s in symbols])
     filled = filled.withColumns({n: (F.col(a) - F.col(b)) * 100 for n, (a, b) in spreads.items()})
-    change = {f"{n}_change": F.col(n) - F.lag(n).over(w) for n in spreads}
-    filled = filled.withColumns(change)
+    filled = lagged(filled, "_all", "available_ts", (), {f"_{n}": n for n in spreads}).withColumns({f"{n}_change": F.col(n) - F.col(f"_{n}") for n in spreads}).drop("_all", *[f"_{n}" for n in spreads])
     return filled.withColumns({f"{n}_direction": F.when(F.col(f"{n}_change") > 0, "steepening").when(F.col(f"{n}_change") < 0, "flattening").otherwise("unchanged") for n in spreads})
 
 

@@ -94,44 +94,47 @@ def reversed_batches(df: DataFrame, batch: str = "symbol", seq: str = "ingest_se
     return falling.filter(~F.col("_any")).join(many.select(batch), batch).select(batch, "issue_ts", F.lit("provider_rows_reverse_order").alias("issue_type"), F.lit("warning").alias("severity"))
 
 
-def flagged_bars(bars: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """bars with a boolean column for each rule. Run lengths and returns follow time within a symbol, contracts interleaved."""
+def flagged_bars(bars: DataFrame, settings: Settings = Settings(), only: tuple[str, ...] | None = None) -> DataFrame:
+    """bars with a boolean column for each rule. Run lengths and returns follow time within a symbol, contracts interleaved.
+
+    With ``only``, lags, runs and duplicates are worked out just where those rules need them; the other flags are false.
+    """
     ties = ("contract", "bar_id")
-    before = F.col("_before")
-    zero = F.coalesce(F.col("volume") == 0, F.lit(False))
-    step = lagged(bars.withColumn("_zero", zero), "symbol", "open_ts", ties, {"_before": "close", "_zero_before": "_zero"})
-    step = step.withColumns({
-        "_new_price": F.coalesce(F.col("close") != before, F.lit(True)).cast("int"),
-        "_new_zero": F.coalesce(F.col("_zero") != F.col("_zero_before"), F.lit(True)).cast("int"),
-    })
-    with_volume = bars.groupBy(F.col("symbol").alias("_s")).agg((F.count("volume") > 0).alias("_has_volume"))
-    step = step.join(with_volume, F.col("symbol").eqNullSafe(F.col("_s")), "left").drop("_s")
-    runs = running_sums(step, "symbol", "open_ts", ties, {"_price_run": "_new_price", "_zero_run": "_new_zero"})
-    sized = runs.withColumns({
-        "_stale_length": F.count(F.lit(1)).over(Window.partitionBy("symbol", "_price_run")),
-        "_zero_length": F.count(F.lit(1)).over(Window.partitionBy("symbol", "_zero_run")),
-    })
-    move = F.when(F.col("_before") != 0, F.abs(F.try_divide("close", "_before") - 1)).when(F.col("close") != 0, F.lit(float("inf")))
-    extreme = F.coalesce(move > settings.extreme_return, F.lit(False))
-    roll = F.coalesce("is_roll_affected", F.lit(False))
-    identity = ["symbol", "open_ts", "contract", "is_continuous"]
-    out = flag_duplicates(sized, identity, "duplicate").withColumns(_structure() | {
-        "extreme": extreme & ~roll,
-        "roll_jump": extreme & roll,
+    need = lambda *rules: only is None or bool(set(rules) & set(only))
+    false = F.lit(False)
+    roll = F.coalesce("is_roll_affected", false)
+    flags = _structure() | {
         "roll": roll,
-        "weekend": F.coalesce(F.weekday("open_ts") >= 5, F.lit(False)) & F.lit(settings.flag_weekends),
-        "on_break": F.coalesce(F.col("session_type") == "scheduled_break_observation", F.lit(False)),
-        "outside": F.coalesce(F.col("session_type") == "outside_scheduled_market", F.lit(False)),
-        "partial": F.coalesce("is_partial", F.lit(False)),
-        "stale": (F.col("_stale_length") >= settings.stale_run) & F.col("close").isNotNull(),
-        "zero_run": F.col("_zero") & (F.col("_zero_length") >= settings.zero_volume_run) & F.col("_has_volume"),
-    })
-    return out.drop("_before", "_zero_before", "_new_price", "_zero", "_new_zero", "_has_volume", "_price_run", "_zero_run", "_stale_length", "_zero_length")
-
-
-def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | None = None, always_open: bool = False) -> DataFrame:
-    """The issues of bars, one row each."""
-    f = flagged_bars(bars, settings)
+        "weekend": F.coalesce(F.weekday("open_ts") >= 5, false) & F.lit(settings.flag_weekends),
+        "on_break": F.coalesce(F.col("session_type") == "scheduled_break_observation", false),
+        "outside": F.coalesce(F.col("session_type") == "outside_scheduled_market", false),
+        "partial": F.coalesce("is_partial", false),
+        **dict.fromkeys(("extreme", "roll_jump", "stale", "zero_run", "duplicate"), false),
+    }
+    step = bars.withColumn("_zero", F.coalesce(F.col("volume") == 0, false))
+    if need("extreme", "roll_jump", "stale", "zero_run"):
+        step = lagged(step, "symbol", "open_ts", ties, {"_before": "close", "_zero_before": "_zero"})
+        before = F.col("_before")
+        move = F.when(before != 0, F.abs(F.try_divide("close", before) - 1)).when(F.col("close") != 0, F.lit(float("inf")))
+        extreme = F.coalesce(move > settings.extreme_return, false)
+        flags |= {"extreme": extreme & ~roll, "roll_jump": extreme & roll}
+    runs = {}
+    if need("stale"):
+        runs["_price_run"] = F.coalesce(F.col("close") != F.col("_before"), F.lit(True))
+        flags["stale"] = (F.count(F.lit(1)).over(Window.partitionBy("symbol", "_price_run")) >= settings.stale_run) & F.col("close").isNotNull()
+    if need("zero_run"):
+        runs["_zero_run"] = F.coalesce(F.col("_zero") != F.col("_zero_before"), F.lit(True))
+        flags["zero_run"] = F.col("_zero") & (F.count(F.lit(1)).over(Window.partitionBy("symbol", "_zero_run")) >= settings.zero_volume_run)
+    if runs:
+        step = running_sums(step.withColumns({f"_new{n}": c.cast("int") for n, c in runs.items()}), "symbol", "open_ts", ties, {n: f"_new{n}" for n in runs})
+    if need("duplicate"):
+        step = flag_duplicates(step, ["symbol", "open_ts", "contract", "is_continuous"], "duplicate")
+        del flags["duplicate"]
+    return step.withColumns(flags).drop("_before", "_zero", "_zero_before", "_new_price_run", "_new_zero_run", "_price_run", "_zero_run")
+
+
+def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | None = None, always_open: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The issues of bars, one row each; with ``only``, of those types."""
     prices = _json(*PRICES)
     mismatch = (F.to_date(t.local_time(F.col("open_ts"), zone)) != F.col("trading_date")) if zone else F.lit(False)
     rule = lambda issue, severity, when, observed, expected: Rule(issue, severity, "retained", when if isinstance(when, Column) else F.col(when), observed, expected)
@@ -155,7 +158,15 @@ def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | None
         rule("excessive_zero_volume_run", "warning", "zero_run", F.lit("0"), f"fewer than {settings.zero_volume_run} bars without volume"),
         rule("contract_roll_boundary", "info", "roll", F.col("contract"), "roll boundary noted"),
     ]
-    return issues(f, rules, ["bar_id", "symbol"], "open_ts")
+    needed = None
+    if only is not None:
+        rules = [r for r in rules if r.issue in only]
+        needed = tuple(flag for flag, issue in _FLAG_OF.items() if issue in only)
+    return issues(flagged_bars(bars, settings, needed), rules, ["bar_id", "symbol"], "open_ts")
+
+
+#: Flags that take more than the row itself, and the issues they make.
+_FLAG_OF = {"extreme": "extreme_return", "roll_jump": "contract_roll_jump", "stale": "stale_repeated_price", "zero_run": "excessive_zero_volume_run", "duplicate": "duplicate_identity"}
 
 
 def invalid_zones(instruments: DataFrame, zone: str = "exchange_timezone") -> DataFrame:

@@ -6,57 +6,52 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeops as t
+from ..functions.windows import lagged, over_days, running
 
 
-def _w(ts: str = "open_ts"):
-    return Window.partitionBy("symbol").orderBy(ts)
+def _steps(grid: DataFrame, ts: str, back: int, on: int, columns, minutes: int = 5) -> DataFrame:
+    """Columns over a window of that many steps back and on; the grid has a row for every symbol and slot."""
+    return over_days(grid, ("symbol",), ts, back * minutes * t.MINUTE, on * minutes * t.MINUTE, columns)
 
 
 def forward_returns(grid: DataFrame, steps: tuple[int, ...] = (1, 3, 6, 12, 48), ts: str = "slot_ts") -> DataFrame:
     """Return to the slot that many steps on; null unless both closes are observed."""
-    w = _w(ts)
-    return grid.withColumns({f"forward_{k}": F.when(F.col("close") != 0, F.lead("close", k).over(w) / F.col("close") - 1) for k in steps})
+    return _steps(grid, ts, 0, max(steps), lambda w: {f"forward_{k}": F.when(F.col("close") != 0, F.lead("close", k).over(w) / F.col("close") - 1) for k in steps})
 
 
 def excursions(grid: DataFrame, steps: int = 12, ts: str = "slot_ts") -> DataFrame:
     """Largest favourable and adverse move over the next steps, against the close."""
-    w = _w(ts).rowsBetween(1, steps)
     sound = F.col("close").isNotNull() & (F.col("close") != 0)
-    return grid.withColumns({"mfe": F.when(sound, F.max("high").over(w) / F.col("close") - 1), "mae": F.when(sound, F.min("low").over(w) / F.col("close") - 1)})
+    return _steps(grid, ts, 0, steps, lambda w: {"mfe": F.when(sound, F.max("high").over(w.rowsBetween(1, steps)) / F.col("close") - 1), "mae": F.when(sound, F.min("low").over(w.rowsBetween(1, steps)) / F.col("close") - 1)})
 
 
 def time_to_threshold(grid: DataFrame, share: float = 0.05, steps: int = 12, ts: str = "slot_ts") -> DataFrame:
     """Slots until a high first exceeds the close by a share, within the next steps; null if it doesn't."""
-    w = _w(ts)
-    hits = [F.when(F.lead("high", k).over(w) >= F.col("close") * (1 + share), F.lit(k)) for k in range(1, steps + 1)]
-    return grid.withColumn("steps_to_threshold", F.coalesce(*hits))
+    return _steps(grid, ts, 0, steps, lambda w: {"steps_to_threshold": F.coalesce(*[F.when(F.lead("high", k).over(w) >= F.col("close") * (1 + share), F.lit(k)) for k in range(1, steps + 1)])})
 
 
 def trailing(grid: DataFrame, n: int = 12, ts: str = "slot_ts") -> DataFrame:
     """Realised volatility of the n returns before this slot, and volume relative to the mean of the n slots before."""
-    w = _w(ts).rowsBetween(-n, -1)
-    return grid.withColumns({"realised_vol": F.stddev_samp("return").over(w), "relative_volume": F.try_divide(F.col("volume"), F.avg("volume").over(w))})
+    return _steps(grid, ts, n, 0, lambda w: {"realised_vol": F.stddev_samp("return").over(w.rowsBetween(-n, -1)), "relative_volume": F.try_divide(F.col("volume"), F.avg("volume").over(w.rowsBetween(-n, -1)))})
 
 
 def intrabar(bars: DataFrame) -> DataFrame:
     """Range, position of the close in it, deviation from VWAP, gap against the close before."""
-    w = _w()
-    return bars.withColumns({
+    return lagged(bars, "symbol", "open_ts", (), {"_before": "close"}).withColumns({
         "range_share": F.try_divide(F.col("high") - F.col("low"), F.col("close")),
         "close_position": F.try_divide(F.col("close") - F.col("low"), F.col("high") - F.col("low")),
         "vwap_deviation": F.try_divide(F.col("close"), F.col("vwap")) - 1,
-        "open_gap": F.try_divide(F.col("open"), F.lag("close").over(w)) - 1,
-    })
+        "open_gap": F.try_divide(F.col("open"), F.col("_before")) - 1,
+    }).drop("_before")
 
 
 def acceleration(grid: DataFrame, ts: str = "slot_ts") -> DataFrame:
-    return grid.withColumn("acceleration", F.col("return") - F.lag("return").over(_w(ts)))
+    return _steps(grid, ts, 1, 0, lambda w: {"acceleration": F.col("return") - F.lag("return").over(w)})
 
 
 def drawdown(bars: DataFrame) -> DataFrame:
     """Share below the highest close so far."""
-    top = F.max("close").over(_w().rowsBetween(Window.unboundedPreceding, 0))
-    return bars.withColumn("drawdown", F.try_divide(F.col("close"), top) - 1)
+    return running(bars, "symbol", "open_ts", (), {"_top": ("max", "close")}).withColumn("drawdown", F.try_divide(F.col("close"), F.col("_top")) - 1).drop("_top")
 
 
 def opening_range(bars: DataFrame, minutes: int = 30) -> DataFrame:
@@ -78,31 +73,34 @@ def differential(grid: DataFrame, a: str, b: str, ts: str = "slot_ts") -> DataFr
     return wide.select(ts, (F.col(f"`{a}`") - F.col(f"`{b}`")).alias("differential"))
 
 
-def lagged_correlation(grid: DataFrame, leader: str, follower: str, lags: tuple[int, ...] = (0, 1, 2, 3), ts: str = "slot_ts") -> DataFrame:
+def lagged_correlation(grid: DataFrame, leader: str, follower: str, lags: tuple[int, ...] = (0, 1, 2, 3), ts: str = "slot_ts", minutes: int = 5) -> DataFrame:
     """Correlation of a leader's return with a follower's that many slots later."""
     wide = grid.filter(F.col("symbol").isin(leader, follower)).groupBy(ts).pivot("symbol", [leader, follower]).agg(F.max("return"))
-    w = Window.orderBy(ts)
-    shifted = wide.select(F.col(f"`{leader}`").alias("x"), *[F.lead(f"`{follower}`", k).over(w).alias(f"y{k}") for k in lags])
+    shifted = over_days(wide, (), ts, 0, max(lags) * minutes * t.MINUTE, lambda w: {f"y{k}": F.lead(f"`{follower}`", k).over(w) for k in lags}).withColumn("x", F.col(f"`{leader}`"))
     long = shifted.select("x", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"y{k}").alias("y")) for k in lags])).alias("p")).select("x", "p.*")
     return long.filter("x is not null and y is not null").groupBy("lag").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("correlation"))
 
 
 def conditional_probability(grid: DataFrame, steps: int = 1, ts: str = "slot_ts") -> DataFrame:
     """By sign of the return: how often the next one is positive, and its uplift over the base rate."""
-    w = _w(ts)
-    pairs = grid.withColumn("next", F.lead("return", steps).over(w)).filter("return is not null and next is not null")
+    pairs = _steps(grid, ts, 0, steps, lambda w: {"next": F.lead("return", steps).over(w)}).filter("return is not null and next is not null")
     by = pairs.groupBy(F.signum("return").cast("int").alias("sign")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("next") > 0).alias("n_up"))
     base = pairs.agg(F.avg((F.col("next") > 0).cast("double")).alias("base_rate"))
     return by.join(F.broadcast(base)).withColumns({"p_up": F.col("n_up") / F.col("n"), "uplift": F.col("n_up") / F.col("n") - F.col("base_rate")})  # base is one row
 
 
-def false_discovery(tests: DataFrame, p: str = "p_value", family: str = "family") -> DataFrame:
-    """Benjamini-Hochberg adjusted values within each family."""
-    order = Window.partitionBy(family).orderBy(F.col(p), "test_id")
-    n = F.count(F.lit(1)).over(Window.partitionBy(family))
-    raw = tests.withColumns({"_rank": F.row_number().over(order), "_n": n}).withColumn("_raw", F.col(p) * F.col("_n") / F.col("_rank"))
-    back = Window.partitionBy(family).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return raw.withColumn("q_value", F.least(F.lit(1.0), F.min("_raw").over(back))).drop("_rank", "_n", "_raw")
+def false_discovery(tests: DataFrame, p: str = "p_value", family: str = "family", pieces: int = 1024) -> DataFrame:
+    """Benjamini-Hochberg adjusted values within each family, p between 0 and 1.
+
+    Tests of equal p have equal values, so ranks and the minimum over greater p run over distinct p, counted before the
+    shuffle and dealt by family and range of p.
+    """
+    piece = F.floor(F.col("_p") * pieces)
+    by = tests.groupBy(F.col(family).alias("_family"), F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    total = by.groupBy(F.col("_family").alias("_f")).agg(F.sum("_n").alias("_all"))
+    ranked = running(by, "_family", "_p", (), {"_rank": ("sum", "_n")}, piece).join(total, F.col("_family").eqNullSafe(F.col("_f"))).withColumns({"_down": -F.col("_p"), "_raw": -F.col("_p") * F.col("_all") / F.col("_rank")})
+    least = running(ranked, "_family", "_down", (), {"_best": ("max", "_raw")}, -piece).select("_family", "_p", F.least(F.lit(1.0), -F.col("_best")).alias("q_value"))
+    return tests.join(least, F.col(family).eqNullSafe(F.col("_family")) & F.col(p).eqNullSafe(F.col("_p"))).drop("_family", "_p")
 
 
 def graduated(events: DataFrame, days: int = 60, n: int = 80, gross_bp: float = 10.0, cost_bp: float = 5.0) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import schema as S
 from ..functions import timeops as t
+from ..functions.windows import lagged, running
 from ..operators import bars as B
 from ..operators import dedupe
 from ..sources import formats
@@ -117,10 +118,10 @@ def j3(spark, sf):
     return read(spark, sf, "supplier").filter("s_acctbal > 0").join(read(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "s_acctbal")
 
 
-@query("j4_existing_null_safe", f"with {TICKS}, x as (select *, case when seq % 4 = 0 then null else contract end c from ticks) select count(*) n from x a where a.seq % 2 = 0 and exists (select 1 from x b where b.seq % 3 = 0 and a.symbol = b.symbol and a.c is not distinct from b.c and cast(a.ts as date) = cast(b.ts as date))")
+@query("j4_existing_null_safe", f"with {TICKS}, x as (select *, case when seq % 4 = 0 then null else contract end c from ticks) select count(*) n from x a where exists (select 1 from x b where b.price > 40 and a.symbol = b.symbol and a.c is not distinct from b.c and cast(a.ts as date) = cast(b.ts as date))")
 def j4(spark, sf):
     x = ticks(spark, sf).withColumns({"c": F.when(F.col("seq") % 4 != 0, F.col("contract")), "day": F.to_date("ts")})
-    a, b = x.filter("seq % 2 = 0").alias("a"), x.filter("seq % 3 = 0").select("symbol", "c", "day").distinct().alias("b")
+    a, b = x.alias("a"), x.filter("price > 40").select("symbol", "c", "day").distinct().alias("b")
     return a.join(b, (F.col("a.symbol") == F.col("b.symbol")) & F.col("a.c").eqNullSafe(F.col("b.c")) & (F.col("a.day") == F.col("b.day")), "left_semi").agg(F.count("*").alias("n"))
 
 
@@ -213,8 +214,8 @@ def a1(spark, sf):
 
 @query("w4_change", "select event_id, case when lag(\"value\") over w <> 0 then \"value\" / lag(\"value\") over w - 1 end change from events window w as (partition by event_type order by ts, event_id)")
 def w4(spark, sf):
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return read(spark, sf, "events").select("event_id", (F.try_divide("value", F.lag("value").over(w)) - 1).alias("change"))
+    e = lagged(read(spark, sf, "events"), "event_type", "ts", ("event_id",), {"before": "value"})
+    return e.select("event_id", (F.try_divide("value", "before") - 1).alias("change"))
 
 
 @query("w7_gap_in_day", "select event_id, epoch_us(ts) - epoch_us(lag(ts) over (partition by event_type, cast(ts as date) order by ts)) gap_us from events")
@@ -225,8 +226,7 @@ def w7(spark, sf):
 
 @query("w9_forward_fill", f"with {RAW} select bar_id, last_value(\"close\" ignore nulls) over (partition by symbol order by bar_id rows unbounded preceding) filled from raw")
 def w9(spark, sf):
-    w = Window.partitionBy("symbol").orderBy("bar_id").rowsBetween(Window.unboundedPreceding, 0)
-    return raw_bars(spark, sf).select("bar_id", F.last("close", ignorenulls=True).over(w).alias("filled"))
+    return running(raw_bars(spark, sf), "symbol", "bar_id", (), {"filled": ("last", "close")}, F.floor(F.col("bar_id") / 4096)).select("bar_id", "filled")
 
 
 @query("w11_duplicate_flag", "select l_orderkey, l_linenumber, l_partkey, count(*) over (partition by l_orderkey, l_linenumber) > 1 is_duplicate from lineitem")

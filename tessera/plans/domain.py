@@ -7,6 +7,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import functions as F
 
 from ..functions import timeops as t
+from ..functions.windows import running
 from ..operators import align, bars as B, coverage as C, curve as Y, merge as M, research as R, rolls, sessions as S, split as P
 from ..streaming import bars as live
 from .views import BARS5, RAW, SESSIONS, TICKS, YIELDS, bars5, raw_bars, read, tick_bars, ticks, yields
@@ -230,14 +231,15 @@ _COLS = ["symbol", "contract", "open_ts", "close", "volume", "bar_id"]
 
 
 def _base_and_updates(spark, sf):
+    """All bars, and all bars again with other closes, every third one under a key of its own."""
     b = bars5(spark, sf).select(*_COLS)
-    return b.filter("bar_id % 3 <> 0"), b.filter("bar_id % 2 = 0").withColumn("close", F.col("close") + 1)
+    return b, b.withColumns({"close": F.col("close") + 1, "contract": F.when(F.col("bar_id") % 3 == 0, F.concat("contract", F.lit("N"))).otherwise(F.col("contract"))})
 
 
 @query(
     "u5_merge_bars",
-    f"""with {BARS5}, base as (select * from bars where bar_id % 3 <> 0), upd as (select * replace ("close" + 1 as "close") from bars where bar_id % 2 = 0)
-    select symbol, contract, open_ts, "close", volume, bar_id from upd union all select symbol, contract, open_ts, "close", volume, bar_id from base where bar_id not in (select bar_id from upd)""",
+    f"""with {BARS5}, upd as (select * replace ("close" + 1 as "close", case when bar_id % 3 = 0 then contract || 'N' else contract end as contract) from bars)
+    select symbol, contract, open_ts, "close", volume, bar_id from upd union all select symbol, contract, open_ts, "close", volume, bar_id from bars where bar_id % 3 = 0""",
 )
 def u5(spark, sf):
     return M.merge(*_base_and_updates(spark, sf), _KEYS)
@@ -246,36 +248,41 @@ def u5(spark, sf):
 @query(
     "u6_merge_yields",
     f"""with {YIELDS}, d as (select * from (select *, row_number() over (partition by symbol, observation_date, vintage_date order by obs_id desc) rn from yields) where rn = 1),
-    base as (select * from d where obs_id % 3 <> 0), upd as (select symbol, observation_date, vintage_date, obs_id, "value" + 1 "value", published_ts - interval 1 day published_ts, 'new' source from d where obs_id % 2 = 0)
-    select coalesce(u.symbol, b.symbol) symbol, coalesce(u.observation_date, b.observation_date) observation_date, coalesce(u.vintage_date, b.vintage_date) vintage_date, case when u.obs_id is not null then u."value" else b."value" end "value",
+    upd as (select symbol, observation_date, case when obs_id % 3 = 0 then vintage_date + 4000 else vintage_date end vintage_date, "value" + 1 "value", published_ts - interval 1 day published_ts from d)
+    select coalesce(u.symbol, b.symbol) symbol, coalesce(u.observation_date, b.observation_date) observation_date, cast(coalesce(u.vintage_date, b.vintage_date) as date) vintage_date, case when u.symbol is not null then u."value" else b."value" end "value",
       least(u.published_ts, b.published_ts) published_ts, case when b.obs_id is not null then 'old' else 'new' end source
-    from base b full join upd u on b.obs_id = u.obs_id""",
+    from d b full join upd u on b.symbol = u.symbol and b.observation_date = u.observation_date and b.vintage_date = u.vintage_date""",
 )
 def u6(spark, sf):
     d = M.latest(yields(spark, sf), ["symbol", "observation_date", "vintage_date"], "obs_id").select("symbol", "observation_date", "vintage_date", "obs_id", "value", "published_ts")
-    base = d.filter("obs_id % 3 <> 0").withColumn("source", F.lit("old")).drop("obs_id")
-    new = d.filter("obs_id % 2 = 0").withColumns({"value": F.col("value") + 1, "published_ts": t.plus_minutes(F.col("published_ts"), -1440), "source": F.lit("new")}).drop("obs_id")
+    base = d.withColumn("source", F.lit("old")).drop("obs_id")
+    new = d.withColumns({"vintage_date": F.when(F.col("obs_id") % 3 == 0, F.date_add("vintage_date", 4000)).otherwise(F.col("vintage_date")), "value": F.col("value") + 1, "published_ts": t.plus_minutes(F.col("published_ts"), -1440), "source": F.lit("new")}).drop("obs_id")
     return M.merge(base, new, ["symbol", "observation_date", "vintage_date"], M.YIELD_POLICY)
 
 
 @query(
     "u11_counters",
-    f"""with {BARS5}, base as (select * from bars where bar_id % 3 <> 0), upd as (select * from bars where bar_id % 2 = 0 union all select * from bars where bar_id % 10 = 0)
-    select count(*) received, count(distinct bar_id) filter (bar_id % 3 = 0) inserted, count(distinct bar_id) filter (bar_id % 3 <> 0) updated, count(*) - count(distinct bar_id) duplicates from upd""",
+    f"""with {BARS5} select 2 * count(*) received, count(*) filter (bar_id % 3 = 0) inserted, count(*) filter (bar_id % 3 <> 0) updated, count(*) duplicates from bars""",
 )
 def u11(spark, sf):
     base, new = _base_and_updates(spark, sf)
-    return M.counters(base, new.unionByName(new.filter("bar_id % 10 = 0")), _KEYS, "bar_id")
+    return M.counters(base, new.unionByName(new), _KEYS, "bar_id")
 
 
 @query(
     "u8_merge_rolls",
     f"""with {BARS5}, l as (select symbol, open_ts roll_ts, contract incoming, lag(contract) over (partition by symbol order by open_ts) outgoing, bar_id from bars), r as (select * from l where outgoing is not null and outgoing <> incoming)
-    select symbol, roll_ts, incoming, outgoing, 'kept' incoming_oi from r""",
+    select symbol, case when bar_id % 2 = 0 then roll_ts + interval 1 second else roll_ts end roll_ts, incoming, outgoing, case when bar_id % 2 = 0 then 'new' else 'kept' end incoming_oi from r
+    union all select symbol, roll_ts, incoming, outgoing, 'kept' from r where bar_id % 2 = 0""",
 )
 def u8(spark, sf):
-    r = rolls.rolls(bars5(spark, sf)).select("symbol", "roll_ts", F.col("incoming_contract").alias("incoming"), F.col("outgoing_contract").alias("outgoing"))
-    return M.merge(r.withColumn("incoming_oi", F.lit("kept")), r.withColumn("incoming_oi", F.lit("lost")), ["symbol", "roll_ts", "incoming"], M.ROLL_POLICY)
+    """All rolls, and all again, every second one a second later: kept, new and lone ones."""
+    b = bars5(spark, sf)
+    r = rolls.rolls(b).join(b.select("symbol", F.col("open_ts").alias("roll_ts"), F.col("contract").alias("incoming_contract"), "bar_id"), ["symbol", "roll_ts", "incoming_contract"])
+    r = r.select("symbol", "roll_ts", F.col("incoming_contract").alias("incoming"), F.col("outgoing_contract").alias("outgoing"), "bar_id")
+    later = F.when(F.col("bar_id") % 2 == 0, F.col("roll_ts") + F.expr("interval 1 second")).otherwise(F.col("roll_ts"))
+    new = r.withColumns({"roll_ts": later, "incoming_oi": F.lit("new")}).drop("bar_id")
+    return M.merge(r.drop("bar_id").withColumn("incoming_oi", F.lit("kept")), new, ["symbol", "roll_ts", "incoming"], M.ROLL_POLICY)
 
 
 def _grid(spark, sf):
@@ -402,10 +409,12 @@ def u7(spark, sf):
     return M.merge(x, x.filter(F.day("trading_date") % 2 == 0).withColumn("close_ts", t.plus_minutes(F.col("close_ts"), -180)), ["trading_date"])
 
 
-@query("u9_merge_instruments", "select n_nationkey, case when n_nationkey % 3 = 0 then n_name || '_new' else n_name end n_name, n_regionkey from nation where n_nationkey % 2 = 0 or n_nationkey % 3 = 0")
+@query("u9_merge_instruments", "select case when n_regionkey = 2 then n_nationkey + 1000 else n_nationkey end n_nationkey, n_name || '_new' n_name, n_regionkey from nation union all select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 2")
 def u9(spark, sf):
     n = read(spark, sf, "nation")
-    return M.merge(n.filter("n_nationkey % 2 = 0"), n.filter("n_nationkey % 3 = 0").withColumn("n_name", F.concat("n_name", F.lit("_new"))), ["n_nationkey"])
+    n = n.select("n_nationkey", "n_name", "n_regionkey")
+    new = n.withColumns({"n_nationkey": F.when(F.col("n_regionkey") == 2, F.col("n_nationkey") + 1000).otherwise(F.col("n_nationkey")), "n_name": F.concat("n_name", F.lit("_new"))})
+    return M.merge(n, new, ["n_nationkey"])
 
 
 @query("u10_merge_settings", "select r_name setting_key, case when r_regionkey > 2 then 'kept' else 'changed' end setting_value from region")
@@ -423,13 +432,15 @@ def j2(spark, sf):
 
 @query("o1_nulls_last", f"with {RAW} select bar_id, row_number() over (partition by symbol order by \"close\" nulls last, bar_id) place from raw")
 def o1(spark, sf):
-    from pyspark.sql import Window
-
-    return raw_bars(spark, sf).select("bar_id", F.row_number().over(Window.partitionBy("symbol").orderBy(F.col("close").asc_nulls_last(), "bar_id")).cast("long").alias("place"))
+    return running(raw_bars(spark, sf).withColumn("one", F.lit(1).cast("long")), "symbol", "close", ("bar_id",), {"place": ("sum", "one")}, F.floor("close")).select("bar_id", "place")
 
 
-@query("d12_split_dates", "select timestamp '2024-01-01' \"start\", timestamp '2024-03-01' cutoff, timestamp '2024-03-31 00:05' \"end\", 60 discovery_days")
+@query(
+    "d12_split_dates",
+    f"""with {TICKS}, e as (select time_bucket(interval 5 minute, min(ts)) lo, time_bucket(interval 5 minute, max(ts)) hi from ticks), c as (select *, lo + to_microseconds(cast(round((epoch_us(hi) - epoch_us(lo)) * 0.8) as bigint)) by_share from e)
+    select lo "start", time_bucket(interval 5 minute, least(hi - interval 6 day, by_share)) cutoff, hi + interval 5 minute "end", cast((epoch_us(time_bucket(interval 5 minute, least(hi - interval 6 day, by_share))) - epoch_us(lo)) // 86400000000 as integer) discovery_days from c""",
+)
 def d12(spark, sf):
-    """The split's dates by themselves; d19_split holds the rule against data."""
-    s = P.split(datetime(2024, 1, 1), datetime(2024, 3, 31))
+    """The split's dates for all ticks on the five-minute grid; d19_split holds the rule against rows."""
+    s = P.split(*P.bounds(ticks(spark, sf).select(t.floor_minutes(F.col("ts"), 5).alias("open_ts"))), test_days=6)
     return spark.createDataFrame([(s.start, s.cutoff, s.end, (s.cutoff - s.start) // timedelta(days=1))], "start timestamp_ntz, cutoff timestamp_ntz, `end` timestamp_ntz, discovery_days int")
