@@ -66,3 +66,9 @@ def select_instruments(catalogue: DataFrame, symbols: list[str] | None = None, p
     if providers:
         catalogue = catalogue.filter(F.lower(provider).isin([p.lower() for p in providers]))
     return catalogue
+
+
+def record_id(*columns: str) -> Column:
+    """The same id for the same key, always: SHA-256 of its values as text, held apart, nulls told from empty texts."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in columns]
+    return F.sha2(F.concat_ws("|", *parts), 256)

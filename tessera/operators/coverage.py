@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeops as t
@@ -10,8 +10,10 @@ from ..functions import timeops as t
 
 def missing_slots(bars: DataFrame, expected: DataFrame) -> DataFrame:
     """(symbol, trading_date, n_missing, first_missing, last_missing): expected slots without a regular bar under the same date."""
-    symbols = bars.select("symbol").distinct()
-    wanted = symbols.join(expected, how="cross") if "symbol" not in expected.columns else expected
+    wanted = expected
+    if "symbol" not in expected.columns:  # a calendar that all symbols share is one row, which each symbol unfolds
+        slots = expected.agg(F.collect_list(F.struct("trading_date", "slot_ts")).alias("slots"))
+        wanted = bars.select("symbol").distinct().join(F.broadcast(slots)).select("symbol", F.explode("slots").alias("s")).select("symbol", "s.*")
     seen = bars.filter("is_regular").select("symbol", "trading_date", F.col("open_ts").alias("slot_ts")).distinct()
     gone = wanted.join(seen, ["symbol", "trading_date", "slot_ts"], "left_anti")
     return gone.groupBy("symbol", "trading_date").agg(F.count(F.lit(1)).alias("n_missing"), F.min("slot_ts").alias("first_missing"), F.max("slot_ts").alias("last_missing"))
@@ -32,8 +34,8 @@ def by_envelope(bars: DataFrame, minutes: int = 5) -> DataFrame:
     return days.groupBy("symbol").agg(F.sum(slots).alias("n_expected"), F.count(F.lit(1)).alias("n_days"))
 
 
-def coverage(bars: DataFrame, expected: DataFrame, catalogue: DataFrame | None = None) -> DataFrame:
-    """One row a symbol, also for those of a catalogue without bars: rows, dates, expected and covered slots, percentage.
+def coverage(bars: DataFrame, expected: DataFrame, catalogue: DataFrame | None = None, start=None, end=None, basis: str = "calendar") -> DataFrame:
+    """One row a symbol, also for those of a catalogue without bars: window, rows, dates, sessions, expected and covered slots, what is missing, percentage, basis.
 
     Bars count as covering if regular and on any expected slot, whatever date they carry; repeated bars count each.
     ``expected`` has (symbol, trading_date, slot_ts) or, for a calendar all symbols share, (trading_date, slot_ts).
@@ -41,14 +43,46 @@ def coverage(bars: DataFrame, expected: DataFrame, catalogue: DataFrame | None =
     own = "symbol" in expected.columns
     keys = ["symbol", "slot_ts"] if own else ["slot_ts"]
     slots = expected.select(*keys).distinct()
-    per = expected.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_expected")) if own else expected.agg(F.count(F.lit(1)).alias("n_expected"))
-    seen = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_observed"), F.countDistinct("trading_date").alias("n_dates"), F.min("open_ts").alias("first_ts"), F.max("open_ts").alias("last_ts"))
+    sums = [F.count(F.lit(1)).alias("n_expected"), F.countDistinct("trading_date").alias("scheduled_sessions")]
+    per = expected.groupBy("symbol").agg(*sums) if own else expected.agg(*sums)
     inside = bars.filter("is_regular").withColumn("slot_ts", F.col("open_ts")).join(slots, keys, "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_covering"))
-    base = (catalogue.select("symbol").distinct().join(seen, "symbol", "left") if catalogue is not None else seen).join(inside, "symbol", "left")
+    gone = missing_slots(bars, expected).groupBy("symbol").agg(F.count(F.lit(1)).alias("sessions_with_missing"), F.sum("n_missing").alias("missing_inside"))
+    base = _observed(bars, catalogue).join(inside, "symbol", "left").join(gone, "symbol", "left")
     base = base.join(per, "symbol", "left") if own else base.join(F.broadcast(per))  # one row
-    base = base.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_observed", "n_dates", "n_covering", "n_expected")})
+    absent = F.col("n_observed").isNull()
+    base = base.withColumns({c: F.coalesce(c, F.when(absent, F.col("scheduled_sessions" if c.startswith("sess") else "n_expected")), F.lit(0).cast("long")) for c in ("sessions_with_missing", "missing_inside")})
+    return _rated(base, start, end, F.lit(basis))
+
+
+def coverage_without_calendar(bars: DataFrame, catalogue: DataFrame | None = None, always_open: bool = False, start=None, end=None, minutes: int = 5) -> DataFrame:
+    """The columns of ``coverage`` where no calendar tells what to expect: every slot from the first to the last bar if the market never closes, else from each day's first to its last bar."""
+    if always_open:
+        expected = bars.groupBy("symbol").agg(((t.micros(F.max("open_ts")) - t.micros(F.min("open_ts"))) / (minutes * t.MINUTE)).cast("long").alias("n")).select("symbol", (F.col("n") + 1).alias("n_expected"))
+    else:
+        expected = by_envelope(bars, minutes).select("symbol", "n_expected")
+    missing = gaps(bars, minutes).groupBy("symbol").agg(F.sum("n_estimated").alias("missing_inside"))
+    none = F.lit(None).cast("long")
+    base = _observed(bars, catalogue).join(expected, "symbol", "left").join(missing, "symbol", "left")
+    base = base.withColumns({"missing_inside": F.coalesce("missing_inside", F.lit(0).cast("long")), "n_covering": F.col("n_observed"), "scheduled_sessions": none, "sessions_with_missing": none})
+    return _rated(base, start, end, F.lit("always_open" if always_open else "observed_envelope"))
+
+
+def _observed(bars: DataFrame, catalogue: DataFrame | None) -> DataFrame:
+    seen = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_observed"), F.countDistinct("trading_date").alias("n_dates"), F.min("open_ts").alias("first_ts"), F.max("open_ts").alias("last_ts"))
+    return catalogue.select("symbol").distinct().join(seen, "symbol", "left") if catalogue is not None else seen
+
+
+def _rated(base: DataFrame, start, end, basis: Column) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    base = base.withColumns({c: F.coalesce(c, zero) for c in ("n_observed", "n_dates", "n_covering", "n_expected")})
     some = F.col("n_expected") > 0
-    return base.withColumns({
-        "missing_expected": F.when(some, F.greatest(F.lit(0).cast("long"), F.col("n_expected") - F.col("n_covering"))),
-        "coverage_percentage": F.when(some, F.col("n_covering") * 100.0 / F.col("n_expected")),
-    })
+    return base.select(
+        "symbol",
+        (F.col("first_ts") if start is None else t.moment(start)).alias("window_start"),
+        (t.plus_minutes(F.col("last_ts"), 5) if end is None else t.moment(end)).alias("window_end"),
+        "n_observed", "n_dates", "first_ts", "last_ts", "scheduled_sessions", "n_covering", "n_expected",
+        F.when(some, F.greatest(zero, F.col("n_expected") - F.col("n_covering"))).alias("missing_expected"),
+        "sessions_with_missing", "missing_inside",
+        F.when(some, F.col("n_covering") * 100.0 / F.col("n_expected")).alias("coverage_percentage"),
+        basis.alias("expected_basis"),
+    )

@@ -23,15 +23,28 @@ class Calendar:
     overnight: bool = False
     lunch: tuple[tuple[int, int], tuple[int, int]] | None = None
     us_holidays: bool = False
+    few_holidays: bool = False
     roll: tuple[int, int] | None = None
 
 
+def _globex(name: str) -> Calendar:
+    return Calendar(name, "America/Chicago", (17, 0), (16, 0), overnight=True, few_holidays=True, roll=(17, 0))
+
+
+#: Usual hours of the calendars that instruments name.
 CALENDARS = {
     c.name: c
     for c in (
         Calendar("XNYS", "America/New_York", (9, 30), (16, 0), us_holidays=True),
         Calendar("XHKG", "Asia/Hong_Kong", (9, 30), (16, 0), lunch=((12, 0), (13, 0))),
+        Calendar("HKEX", "Asia/Hong_Kong", (9, 30), (16, 0), lunch=((12, 0), (13, 0))),
         Calendar("CME_EQUITY", "America/Chicago", (17, 0), (16, 0), overnight=True, roll=(17, 0)),
+        *map(_globex, ("CME_Equity", "CBOT_Bond", "CBOT_Equity", "CBOT_Rate", "CMEGlobex_CL", "GC", "SI")),
+        Calendar("CFE", "America/Chicago", (8, 30), (15, 15), us_holidays=True),
+        Calendar("CBOE_Index_Options", "America/Chicago", (8, 30), (15, 15), us_holidays=True),
+        Calendar("ICE", "America/New_York", (20, 0), (18, 0), overnight=True, few_holidays=True, roll=(20, 0)),
+        Calendar("EUREX", "Europe/Berlin", (9, 0), (17, 30), few_holidays=True),
+        Calendar("EUREX_Bond", "Europe/Berlin", (1, 10), (22, 0), few_holidays=True),
         Calendar("24/7", "UTC", (0, 0), (24, 0), weekdays=tuple(range(7))),
     )
 }
@@ -70,23 +83,30 @@ def us_holidays(year: int) -> dict[date, bool]:
     return out
 
 
+def few_holidays(year: int) -> dict[date, bool]:
+    """The days on which nearly every exchange is closed: New Year, Good Friday, Christmas."""
+    return {date(year, 1, 1): False, _easter(year) - timedelta(days=2): False, date(year, 12, 25): False}
+
+
 def _at(day: Column, clock: tuple[int, int], zone: str) -> Column:
     h, m = clock
     local = t.plus_minutes(day.cast("timestamp_ntz"), 60 * h + m)
     return t.utc_time(local, zone)
 
 
-def sessions(spark: SparkSession, calendar: str, start: date, end: date) -> DataFrame:
+def sessions(spark: SparkSession, calendar: str | Calendar, start: date, end: date, closed: tuple[date, ...] = ()) -> DataFrame:
     """Regular sessions with trading dates from start to end, both included: calendar, trading_date, open_ts, close_ts, break_start, break_end, is_shortened.
 
     The length that is usual is the most frequent one, the least of several; a session is shortened if it is over a
-    minute below it.
+    minute below it. Rules don't know one-off or lunar holidays: ``closed`` names such days. Anyone with a better
+    schedule passes a table of these columns to the operators instead.
     """
-    c = CALENDARS[calendar]
-    special = {d: early for y in range(start.year, end.year + 1) for d, early in us_holidays(y).items()} if c.us_holidays else {}
+    c = CALENDARS[calendar] if isinstance(calendar, str) else calendar
+    rule = us_holidays if c.us_holidays else few_holidays if c.few_holidays else lambda y: {}
+    special = {d: early for y in range(start.year, end.year + 1) for d, early in rule(y).items()} | dict.fromkeys(closed, False)
     days = spark.range((end - start).days + 1).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("trading_date")).filter(F.weekday("trading_date").isin(*c.weekdays))
-    if closed := [d for d, early in special.items() if not early]:
-        days = days.filter(~F.col("trading_date").isin(closed))
+    if without := [d for d, early in special.items() if not early]:
+        days = days.filter(~F.col("trading_date").isin(without))
     day = F.col("trading_date")
     close = _at(day, c.close, c.zone)
     if early := [d for d, e in special.items() if e]:
@@ -114,21 +134,23 @@ def overlapping(found: DataFrame, start, end) -> DataFrame:
     return found.filter((F.col("close_ts") > t.moment(start)) & (F.col("open_ts") < t.moment(end)))
 
 
-def classify(bars: DataFrame, found: DataFrame, calendar: str) -> DataFrame:
-    """bars with trading_date, is_regular, is_extended, session_type, minutes_since_open, is_holiday.
+def classify(bars: DataFrame, found: DataFrame, calendar: str | Calendar) -> DataFrame:
+    """bars with trading_date, day_of_week, is_regular, is_extended, session_type, minutes_since_open, minutes_until_close, is_holiday, is_shortened.
+
+    ``found`` is a sessions table, made by rule or brought along; the calendar gives the zone and when a date rolls.
 
     A session is listed under each UTC day that it touches, so the search for a bar's session is an equality join on
     the day with the hours as a further condition, and sessions across midnight are found.
     """
-    c = CALENDARS[calendar]
-    added = ("trading_date", "is_regular", "is_extended", "session_type", "minutes_since_open", "is_holiday")
+    c = CALENDARS[calendar] if isinstance(calendar, str) else calendar
+    added = ("trading_date", "day_of_week", "is_regular", "is_extended", "session_type", "minutes_since_open", "minutes_until_close", "is_holiday", "is_shortened")
     bars = bars.drop(*[x for x in added if x in bars.columns])
     local = t.local_time(F.col("open_ts"), c.zone)
     candidate = F.to_date(local)
     if c.roll:
         clock = F.hour(local) * 60 + F.minute(local)
         candidate = F.when(clock >= 60 * c.roll[0] + c.roll[1], F.date_add(candidate, 1)).otherwise(candidate)
-    listed = found.select(F.col("trading_date").alias("_date"), F.col("open_ts").alias("_open"), F.col("close_ts").alias("_close"), F.col("break_start").alias("_b0"), F.col("break_end").alias("_b1"))
+    listed = found.select(F.col("trading_date").alias("_date"), F.col("open_ts").alias("_open"), F.col("close_ts").alias("_close"), F.col("break_start").alias("_b0"), F.col("break_end").alias("_b1"), F.col("is_shortened").alias("_short"))
     listed = listed.withColumn("_day", F.explode(F.sequence(F.to_date("_open"), F.to_date(t.from_micros(t.micros(F.col("_close")) - 1)))))
     dates = found.select(F.col("trading_date").alias("_candidate")).distinct().withColumn("_is_session_day", F.lit(True))
     out = bars.withColumns({"_day": F.to_date("open_ts"), "_candidate": candidate})
@@ -145,15 +167,18 @@ def classify(bars: DataFrame, found: DataFrame, calendar: str) -> DataFrame:
         "is_extended": kind == "extended_session",
         "session_type": kind,
         "minutes_since_open": F.when(in_session & ~on_break, t.minutes_between(F.col("_open"), F.col("open_ts"))),
+        "minutes_until_close": F.when(in_session & ~on_break, t.minutes_between(F.col("open_ts"), F.col("_close"))),
         "is_holiday": ~session_day,
+        "is_shortened": in_session & F.coalesce("_short", F.lit(False)),
     })
-    return out.drop("_day", "_candidate", "_date", "_open", "_close", "_b0", "_b1", "_is_session_day")
+    return out.withColumn("day_of_week", F.weekday("trading_date")).drop("_short", "_day", "_candidate", "_date", "_open", "_close", "_b0", "_b1", "_is_session_day")
 
 
 def unclassified(bars: DataFrame, zone: str) -> DataFrame:
-    """bars of an instrument without a calendar: local dates, flags unknown."""
-    none = F.lit(None).cast("boolean")
-    return bars.withColumns({"trading_date": F.to_date(t.local_time(F.col("open_ts"), zone)), "is_regular": none, "is_extended": none, "session_type": F.lit("unclassified_no_calendar")})
+    """bars of an instrument without a calendar: local dates, flags and minutes unknown."""
+    none, day, false = F.lit(None).cast("boolean"), F.to_date(t.local_time(F.col("open_ts"), zone)), F.lit(False)
+    minutes = F.lit(None).cast("bigint")
+    return bars.withColumns({"trading_date": day, "day_of_week": F.weekday(day), "is_regular": none, "is_extended": none, "session_type": F.lit("unclassified_no_calendar"), "minutes_since_open": minutes, "minutes_until_close": minutes, "is_holiday": false, "is_shortened": false})
 
 
 def expected_slots(found: DataFrame, start, end, minutes: int = 5) -> DataFrame:

@@ -1,16 +1,20 @@
-"""Collection: each instrument by itself, chunk by chunk, checked and merged, with an audit row and a resume point."""
+"""Collection: chunk by chunk, all instruments in one frame, checked and merged, with stored audit rows and a resume point."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import schema as S
 from ..operators import bars as B
-from ..operators import merge as M
 from ..operators import quality as Q
+from ..operators.rolls import rolls
+from ..sources import tables
 from ..sources.rest import spans
 
 KEYS = ["symbol", "open_ts", "contract", "is_continuous"]
@@ -29,47 +33,88 @@ def complete_only(bars: DataFrame, now: datetime, minutes: int = 5) -> DataFrame
     return bars.filter(F.col("open_ts") < F.lit(floor.isoformat(sep=" ")).cast("timestamp_ntz"))
 
 
-def collect(spark: SparkSession, symbols: list[str], start: datetime, end: datetime, fetch: Callable[[str, datetime, datetime], DataFrame], path: str, chunk_days: float = 30) -> list[dict]:
-    """One audit row a symbol. A failure is that symbol's alone. Each chunk is a version of the symbol's table, so a rerun inserts nothing twice."""
-    runs = []
+AUDIT = "symbol string, chunk_start timestamp_ntz, chunk_end timestamp_ntz, status string, received long, inserted long, updated long, duplicates long, rejected long, error string"
+
+
+def _fetched(spark: SparkSession, symbols: list[str], lo: datetime, hi: datetime, fetch: Callable, path: str) -> tuple[DataFrame | None, dict[str, str]]:
+    """(rows of all symbols, read back from where they were written, errors by symbol). Each symbol is fetched once, by itself only if all together fail."""
+    frames, errors = {}, {}
     for symbol in symbols:
-        run = {"symbol": symbol, "status": "succeeded", "received": 0, "inserted": 0, "updated": 0, "duplicates": 0, "rejected": 0, "error": None, "stamp": None}
         try:
-            for lo, hi in spans(start, end, chunk_days):
-                raw = B.normalise(fetch(symbol, lo, hi)).withColumn("bar_id", F.monotonically_increasing_id())
-                raw = raw.withColumn("ingest_seq", F.coalesce("ingest_seq", "bar_id"))
-                clean, issues = Q.preinsert(raw)
-                clean = clean.drop("bar_id")
-                base = _latest(spark, path, symbol)
-                counts = M.counters(base if base is not None else clean.limit(0), clean, KEYS, "ingest_seq").first()
-                merged = clean if base is None else M.merge(base, clean, KEYS)
-                merged.write.parquet(_version(spark, path, symbol))
-                for k in ("received", "inserted", "updated", "duplicates"):
-                    run[k] += counts[k]
-                run["rejected"] += issues.filter("disposition = 'excluded'").select("bar_id").distinct().count()
-                run["stamp"] = hi
-            if not run["received"]:
-                raise ValueError("no rows for a required instrument")
+            frames[symbol] = B.normalise(fetch(symbol, lo, hi))
         except Exception as e:  # noqa: BLE001  one instrument's failure leaves the others running
-            run |= {"status": "failed", "error": f"{type(e).__name__}: {e}"}
-        runs.append(run)
-    return runs
-
-
-def _versions(spark: SparkSession, path: str, symbol: str) -> list[int]:
-    """Versions of a symbol's table by Hadoop's file system, which reads what Spark reads."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{symbol}")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))] if fs.exists(folder) else []
-    return sorted(int(n[1:]) for n in names if n[1:].isdigit())
-
-
-def _latest(spark: SparkSession, path: str, symbol: str) -> DataFrame | None:
-    found = _versions(spark, path, symbol)
-    return spark.read.parquet(f"{path}/{symbol}/v{found[-1]}") if found else None
-
-
-def _version(spark: SparkSession, path: str, symbol: str) -> str:
-    found = _versions(spark, path, symbol)
-    return f"{path}/{symbol}/v{found[-1] + 1 if found else 1}"
+            errors[symbol] = f"{type(e).__name__}: {e}"
+    try:
+        if frames:
+            reduce(DataFrame.unionByName, frames.values()).write.mode("overwrite").parquet(f"{path}/all")
+            return spark.read.parquet(f"{path}/all"), errors
+    except Exception:  # noqa: BLE001  one of them can't be read: find out which
+        for k, (symbol, frame) in enumerate(frames.items()):
+            try:
+                frame.write.mode("overwrite").parquet(f"{path}/each/{k}")
+            except Exception as e:  # noqa: BLE001
+                errors[symbol] = f"{type(e).__name__}: {e}"
+                tables.remove(spark, f"{path}/each/{k}")
+        if len(errors) < len(symbols):
+            return spark.read.schema(S.BARS).option("recursiveFileLookup", True).parquet(f"{path}/each"), errors
+    return None, errors
+
+
+def collect(spark: SparkSession, symbols: list[str], start: datetime, end: datetime, fetch: Callable[[str, datetime, datetime], DataFrame], path: str, chunk_days: float = 30, now: datetime | None = None) -> list[dict]:
+    """Collects all symbols chunk by chunk; one summary a symbol.
+
+    A chunk of all symbols is one frame: fetched once, checked, merged into the partitions of the table at path/bars
+    that it touches. A failure is its symbol's alone; a rerun inserts nothing twice. path/audit has a row for each
+    symbol and chunk, path/rolls the contract changes, also those between chunks. With ``now``, bars still open are
+    left out.
+    """
+    for lo, hi in spans(start, end, chunk_days):
+        chunk = f"{lo:%Y%m%dT%H%M%S}-{hi:%Y%m%dT%H%M%S}"
+        raw, errors = _fetched(spark, symbols, lo, hi, fetch, f"{path}/fetched/{chunk}")
+        audit = spark.createDataFrame([(s, lo, hi, "failed", 0, 0, 0, 0, 0, e) for s, e in errors.items()], AUDIT)
+        if raw is not None:
+            raw = raw if now is None else complete_only(raw, now)
+            raw = raw.withColumn("bar_id", F.monotonically_increasing_id()).withColumn("ingest_seq", F.coalesce("ingest_seq", "bar_id"))
+            clean, issues = Q.preinsert(raw)
+            clean, ingested = clean.drop("bar_id").withColumn("record_id", S.record_id(*KEYS)), F.lit((now or datetime.now()).isoformat(sep=" ")).cast("timestamp_ntz")
+            base = tables.read(spark, f"{path}/bars")
+            known = clean.select("symbol", *KEYS[1:]).limit(0) if base is None else base.select(*KEYS)
+            counted = _counted(spark, symbols, raw, clean, issues, known, lo, hi)
+            counted.join(audit.select("symbol"), "symbol", "left_anti").unionByName(audit).write.mode("overwrite").parquet(f"{path}/audit/chunk={chunk}")
+            before = clean.limit(0) if base is None else base.filter(F.col("open_ts") < F.lit(lo.isoformat(sep=" ")).cast("timestamp_ntz")).groupBy("symbol").agg(F.max_by(F.struct("open_ts", "contract", "ingest_seq"), F.struct("open_ts", "ingest_seq")).alias("b")).select("symbol", "b.*")
+            series = before.select("symbol", "open_ts", "contract", "ingest_seq").unionByName(clean.select("symbol", "open_ts", "contract", "ingest_seq"))
+            rolls(series).write.mode("overwrite").parquet(f"{path}/rolls/chunk={chunk}")
+            tables.merge_into(spark, f"{path}/bars", clean.withColumn("ingested_at", ingested), KEYS, {"p_symbol": F.col("symbol"), "p_month": tables.month()}, f"{chunk}-{uuid.uuid4().hex}")
+        else:
+            audit.write.mode("overwrite").parquet(f"{path}/audit/chunk={chunk}")
+        tables.remove(spark, f"{path}/fetched/{chunk}")
+    return summary(spark, path, start, end)
+
+
+def _counted(spark: SparkSession, symbols: list[str], raw: DataFrame, clean: DataFrame, issues: DataFrame, known: DataFrame, lo: datetime, hi: datetime) -> DataFrame:
+    """A row a symbol: what came, what was new, what was known, what was there twice, what was refused."""
+    on = [F.col(f"c.{k}").eqNullSafe(F.col(f"k.{k}")) for k in KEYS]
+    marked = clean.alias("c").join(known.withColumn("_known", F.lit(1)).alias("k"), on, "left").groupBy("c.symbol").agg(F.count(F.lit(1)).alias("kept"), F.count("_known").alias("updated"))
+    refused = issues.filter("disposition = 'excluded'").groupBy("symbol").agg(F.countDistinct("bar_id").alias("rejected"))
+    out = spark.createDataFrame([(s,) for s in symbols], "symbol string")
+    for part in (raw.groupBy("symbol").agg(F.count(F.lit(1)).alias("received")), marked, refused):
+        out = out.join(part, "symbol", "left")
+    out = out.na.fill(0)
+    at = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+    return out.select("symbol", at(lo).alias("chunk_start"), at(hi).alias("chunk_end"), F.lit("succeeded").alias("status"), "received", (F.col("kept") - F.col("updated")).alias("inserted"), "updated", (F.col("received") - F.col("kept") - F.col("rejected")).alias("duplicates"), "rejected", F.lit(None).cast("string").alias("error"))
+
+
+def audit(spark: SparkSession, path: str) -> DataFrame:
+    """The stored audit rows."""
+    return spark.read.parquet(f"{path}/audit").drop("chunk")
+
+
+def summary(spark: SparkSession, path: str, start: datetime, end: datetime) -> list[dict]:
+    """One row a symbol over the chunks of a request; a symbol without any row has failed. As many rows as there are symbols reach the driver."""
+    moment = lambda x: F.lit(x.isoformat(sep=" ")).cast("timestamp_ntz")
+    rows = audit(spark, path).filter((F.col("chunk_start") >= moment(start)) & (F.col("chunk_end") <= moment(end)))
+    bad = F.col("status") == "failed"
+    out = rows.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in ("received", "inserted", "updated", "duplicates", "rejected")], F.max(F.when(bad, F.col("error"))).alias("error"), F.max(F.when(~bad, F.col("chunk_end"))).alias("stamp"))
+    none = F.when(F.col("received") == 0, "ValueError: no rows for a required instrument")
+    out = out.withColumn("error", F.coalesce("error", none)).withColumn("status", F.when(F.col("error").isNull(), "succeeded").otherwise("failed"))
+    return [r.asDict() for r in out.orderBy("symbol").collect()]

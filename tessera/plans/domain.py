@@ -93,17 +93,44 @@ def d15(spark, sf):
 
 
 _CLASSIFIED = """cls as (
-  select x.*, s.trading_date sd, s.open_ts so, cast(timezone('America/New_York', timezone('UTC', x.ots)) as date) cand from (select *, {ts} ots from {of}) x left join sess s on x.ots >= s.open_ts and x.ots < s.close_ts),
+  select x.*, s.trading_date sd, s.open_ts so, s.close_ts sc, cast(timezone('America/New_York', timezone('UTC', x.ots)) as date) cand from (select *, {ts} ots from {of}) x left join sess s on x.ots >= s.open_ts and x.ots < s.close_ts),
   c2 as (select *, coalesce(sd, cand) tdate, sd is not null is_regular, sd is null and cand in (select trading_date from sess) is_extended, cand not in (select trading_date from sess) is_holiday from cls)"""
 
 
 @query(
     "d16_sessions_classified",
     f"""with {TICKS}, {SESSIONS}, {_CLASSIFIED.format(ts='ts', of='ticks')} select seq, tdate trading_date, is_regular, is_extended, is_holiday,
-    case when is_regular then 'regular_session' when is_extended then 'extended_session' else 'outside_scheduled_market' end session_type, case when is_regular then (epoch_us(ots) - epoch_us(so)) // 60000000 end minutes_since_open from c2""",
+    case when is_regular then 'regular_session' when is_extended then 'extended_session' else 'outside_scheduled_market' end session_type, case when is_regular then (epoch_us(ots) - epoch_us(so)) // 60000000 end minutes_since_open,
+    case when is_regular then (epoch_us(sc) - epoch_us(ots)) // 60000000 end minutes_until_close, cast(isodow(tdate) - 1 as integer) day_of_week, false is_shortened from c2""",
 )
 def d16(spark, sf):
-    return S.classify(tick_bars(spark, sf), S.sessions(spark, "XNYS", FIRST, LAST), "XNYS").select(F.col("ingest_seq").alias("seq"), "trading_date", "is_regular", "is_extended", "is_holiday", "session_type", "minutes_since_open")
+    return S.classify(tick_bars(spark, sf), S.sessions(spark, "XNYS", FIRST, LAST), "XNYS").select(F.col("ingest_seq").alias("seq"), "trading_date", "is_regular", "is_extended", "is_holiday", "session_type", "minutes_since_open", "minutes_until_close", "day_of_week", "is_shortened")
+
+
+_KIND = "case when on_break then 'scheduled_break_observation' when sd is not null then 'regular_session' when cand in (select trading_date from s) then 'extended_session' else 'outside_scheduled_market' end"
+_SINCE = "case when sd is not null and not on_break then (epoch_us(ts) - epoch_us(o)) // 60000000 end minutes_since_open, case when sd is not null and not on_break then (epoch_us(c) - epoch_us(ts)) // 60000000 end minutes_until_close"
+
+
+@query(
+    "d16_lunch_break",
+    f"""with {TICKS}, s as (select cast(d as date) trading_date, cast(d as timestamp) + interval 90 minute o, cast(d as timestamp) + interval 480 minute c from (select unnest(generate_series(date '2023-12-28', date '2024-03-31', interval 1 day)) d) where isodow(d) <= 5),
+    j as (select ticks.*, s.trading_date sd, o, c, cast(ts + interval 8 hour as date) cand, coalesce(ts >= o + interval 150 minute and ts < o + interval 210 minute, false) on_break from ticks left join s on ts >= o and ts < c)
+    select seq, coalesce(sd, cand) trading_date, {_KIND} session_type, {_SINCE} from j""",
+)
+def d16_lunch(spark, sf):
+    return S.classify(tick_bars(spark, sf), S.sessions(spark, "HKEX", FIRST, LAST), "HKEX").select(F.col("ingest_seq").alias("seq"), "trading_date", "session_type", "minutes_since_open", "minutes_until_close")
+
+
+@query(
+    "d16_overnight",
+    f"""with {TICKS}, s as (select cast(d as date) trading_date, timezone('UTC', timezone('America/Chicago', cast(d as timestamp) - interval 7 hour)) o, timezone('UTC', timezone('America/Chicago', cast(d as timestamp) + interval 16 hour)) c
+      from (select unnest(generate_series(date '2023-12-28', date '2024-03-31', interval 1 day)) d) where isodow(d) <= 5 and cast(d as date) not in (date '2024-01-01', date '2024-03-29')),
+    l as (select *, timezone('America/Chicago', timezone('UTC', ts)) lt from ticks),
+    j as (select l.*, s.trading_date sd, o, c, cast(case when hour(lt) >= 17 then lt + interval 1 day else lt end as date) cand, false on_break from l left join s on ts >= o and ts < c)
+    select seq, coalesce(sd, cand) trading_date, {_KIND} session_type, {_SINCE} from j""",
+)
+def d16_overnight(spark, sf):
+    return S.classify(tick_bars(spark, sf), S.sessions(spark, "CME_Equity", FIRST, LAST), "CME_Equity").select(F.col("ingest_seq").alias("seq"), "trading_date", "session_type", "minutes_since_open", "minutes_until_close")
 
 
 def _classified(spark, sf):
@@ -121,13 +148,57 @@ _COVER = f"""with {BARS5}, {SESSIONS}, inw as (select * from bars where open_ts
 
 @query(
     "d5_coverage",
-    f"""{_COVER}, n as (select count(*) n_expected from slots)
-    select symbol, count(*) n_observed, count(distinct tdate) n_dates, min(open_ts) first_ts, max(open_ts) last_ts, count(*) filter (is_regular and open_ts in (select slot_ts from slots)) n_covering, any_value(n_expected) n_expected,
+    f"""{_COVER}, n as (select count(*) n_expected, count(distinct trading_date) n_sessions from slots),
+    w as (select symbol, trading_date, slot_ts from (select distinct symbol from inw), slots), m as (select symbol, count(*) n_missing from w where not exists (select 1 from c2 where is_regular and c2.symbol = w.symbol and c2.tdate = w.trading_date and c2.open_ts = w.slot_ts) group by symbol, trading_date),
+    ms as (select symbol, count(*) sessions_with_missing, cast(sum(n_missing) as bigint) missing_inside from m group by 1)
+    select c2.symbol, timestamp '2024-01-02' window_start, timestamp '2024-01-23' window_end, any_value(n_sessions) scheduled_sessions, coalesce(any_value(sessions_with_missing), 0) sessions_with_missing, coalesce(any_value(missing_inside), 0) missing_inside, 'calendar' expected_basis, count(*) n_observed, count(distinct tdate) n_dates, min(open_ts) first_ts, max(open_ts) last_ts, count(*) filter (is_regular and open_ts in (select slot_ts from slots)) n_covering, any_value(n_expected) n_expected,
       greatest(0, any_value(n_expected) - count(*) filter (is_regular and open_ts in (select slot_ts from slots))) missing_expected, count(*) filter (is_regular and open_ts in (select slot_ts from slots)) * 100.0::double / any_value(n_expected) coverage_percentage
-    from c2, n group by symbol""",
+    from c2 left join ms on c2.symbol = ms.symbol, n group by c2.symbol""",
 )
 def d5(spark, sf):
-    return C.coverage(_classified(spark, sf), _expected(spark))
+    return C.coverage(_classified(spark, sf), _expected(spark), start=START, end=END)
+
+
+def _without_calendar(expected: str, basis: str) -> str:
+    return f"""with {BARS5}, e as ({expected}), g as (select symbol, cast(sum(greatest(0, gap // 300000000 - 1)) as bigint) missing_inside from (select symbol, epoch_us(open_ts) - epoch_us(lag(open_ts) over (partition by symbol, cast(open_ts as date) order by open_ts)) gap from bars) where gap > 300000000 group by 1),
+    o as (select symbol, count(*) n_observed, count(distinct cast(open_ts as date)) n_dates, min(open_ts) first_ts, max(open_ts) last_ts from bars group by 1)
+    select o.symbol, first_ts window_start, last_ts + interval 5 minute window_end, n_observed, n_dates, first_ts, last_ts, cast(null as bigint) scheduled_sessions, n_observed n_covering, n_expected, greatest(0, n_expected - n_observed) missing_expected,
+      cast(null as bigint) sessions_with_missing, coalesce(missing_inside, 0) missing_inside, n_observed * 100.0::double / n_expected coverage_percentage, '{basis}' expected_basis from o join e on o.symbol = e.symbol left join g on o.symbol = g.symbol"""
+
+
+@query("d5_coverage_envelope", _without_calendar("select symbol, cast(sum(n) as bigint) n_expected from (select symbol, (epoch_us(max(open_ts)) - epoch_us(min(open_ts))) // 300000000 + 1 n from bars group by symbol, cast(open_ts as date)) group by 1", "observed_envelope"))
+def d5_envelope(spark, sf):
+    return C.coverage_without_calendar(bars5(spark, sf).withColumn("trading_date", F.to_date("open_ts")))
+
+
+@query("d5_coverage_always_open", _without_calendar("select symbol, (epoch_us(max(open_ts)) - epoch_us(min(open_ts))) // 300000000 + 1 n_expected from bars group by 1", "always_open"))
+def d5_always(spark, sf):
+    return C.coverage_without_calendar(bars5(spark, sf).withColumn("trading_date", F.to_date("open_ts")), always_open=True)
+
+
+@query("d16_unclassified", f"with {TICKS}, z as (select *, cast(timezone('Asia/Tokyo', timezone('UTC', ts)) as date) d from ticks) select seq, d trading_date, cast(isodow(d) - 1 as integer) day_of_week, 'unclassified_no_calendar' session_type, false is_holiday from z")
+def d16_unclassified(spark, sf):
+    return S.unclassified(tick_bars(spark, sf), "Asia/Tokyo").select(F.col("ingest_seq").alias("seq"), "trading_date", "day_of_week", "session_type", "is_holiday")
+
+
+@query("f15_record_ids", f"with {TICKS} select seq, sha256('=' || symbol || '|' || coalesce('=' || case when seq % 4 <> 0 then contract end, '~')) id from ticks")
+def f15(spark, sf):
+    from ..functions.schema import record_id
+
+    x = ticks(spark, sf).withColumn("c", F.when(F.col("seq") % 4 != 0, F.col("contract")))
+    return x.select("seq", record_id("symbol", "c").alias("id"))
+
+
+@query("t4_complete_only", f"with {TICKS} select symbol, open_ts from (select distinct symbol, time_bucket(interval 5 minute, ts) open_ts from ticks) where open_ts < timestamp '2024-01-20 10:05'")
+def t4(spark, sf):
+    from .collect import complete_only
+
+    return complete_only(bars5(spark, sf).select("symbol", "open_ts").distinct(), datetime(2024, 1, 20, 10, 7, 30))
+
+
+@query("t8_available_from", f"with {YIELDS} select obs_id, cast(vintage_date + 1 as timestamp) available_ts from yields")
+def t8(spark, sf):
+    return yields(spark, sf).select("obs_id", Y.available_from().alias("available_ts"))
 
 
 @query(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import align, coverage
 from ..operators.split import Split, bounds, split
 
 CSV_ROWS = 250_000
@@ -36,11 +39,38 @@ def write_json(spark: SparkSession, document: dict, path: str) -> None:
     spark.createDataFrame([(json.dumps(document, default=str, sort_keys=True),)], "value string").coalesce(1).write.text(path)
 
 
-def package(bars: DataFrame, path: str, test_days: int = 30, ts: str = "open_ts") -> Split:
-    """Discovery and untouched parts in separate places; what is computed for research reads the first alone."""
+#: What a package holds beside its tables, each worked out from the discovery part alone.
+DERIVED = {
+    "aligned": lambda x: align.aligned(x["bars"]),
+    "heatmap": lambda x: x["bars"].groupBy("symbol", F.to_date("open_ts").alias("day")).agg(F.count(F.lit(1)).alias("n")),
+    "envelope": lambda x: coverage.by_envelope(x["bars"]),
+}
+
+
+def package(bars: DataFrame, path: str, test_days: int = 30, ts: str = "open_ts", others: dict[str, tuple[DataFrame, str]] | None = None, derived: dict[str, Callable[[dict[str, DataFrame]], DataFrame]] | None = None, configuration: dict | None = None) -> Split:
+    """Discovery and untouched parts of all tables in separate places; derived tables see the discovery part alone.
+
+    ``others`` names further tables with the time column that tells their parts (a yield's is its availability). Every
+    table is Parquet and chunked CSV; the manifest has rows and schemas, the cutoff, rows left out for want of a time,
+    and a hash of the configuration; the inventory lists all files with their hashes.
+    """
+    spark = bars.sparkSession
     s = split(*bounds(bars, ts), test_days=test_days)
-    parts = {"discovery": s.discovery(bars, ts), "untouched": s.untouched(bars, ts)}
+    tables = {"bars": (bars, ts)} | (others or {})
+    parts = {name: {n: part(df, at) for n, (df, at) in tables.items()} for name, part in (("discovery", s.discovery), ("untouched", s.untouched))}
+    for name, make in (derived or {}).items():
+        parts["discovery"][name] = make(parts["discovery"])
     for name, part in parts.items():
-        write_parquet(part, f"{path}/{name}/bars")
-    write_json(bars.sparkSession, manifest(parts, {"cutoff": s.cutoff}), f"{path}/manifest")
+        for n, df in part.items():
+            write_parquet(df, f"{path}/{name}/{n}")
+            write_csv_parts(spark.read.parquet(f"{path}/{name}/{n}"), f"{path}/{name}-csv/{n}")
+    told = {f"{name}/{n}": spark.read.parquet(f"{path}/{name}/{n}") for name, part in parts.items() for n in part}
+    facts = {
+        "cutoff": s.cutoff,
+        "excluded": {n: df.count() - sum(told[f"{name}/{n}"].count() for name in parts) for n, (df, _) in tables.items()},
+        "configuration_sha256": hashlib.sha256(json.dumps(configuration or {}, sort_keys=True, default=str).encode()).hexdigest(),
+    }
+    write_json(spark, manifest(told, facts), f"{path}/manifest")
+    files = inventory(spark, f"{path}/discovery").unionByName(inventory(spark, f"{path}/untouched")).unionByName(inventory(spark, f"{path}/discovery-csv")).unionByName(inventory(spark, f"{path}/untouched-csv"))
+    write_parquet(files, f"{path}/inventory")
     return s

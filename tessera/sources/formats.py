@@ -16,7 +16,7 @@ def _utc(text: Column) -> Column:
 
 
 def paged_bars(pages: DataFrame, payload: str = "payload", page: str = "page") -> DataFrame:
-    """Bars of JSON pages. Of a bar that several pages hold the one of the last page stays; pages repeat no token, or it is an error."""
+    """Bars of JSON pages. Of a bar that several pages hold the one of the last page stays; ``repeated_tokens`` finds providers' loops."""
     parsed = pages.withColumn("_p", F.from_json(payload, _PAGE))
     rows = parsed.select("symbol", F.col(page).alias("_page"), F.posexplode("_p.bars").alias("_at", "b"))
     bars = rows.select("symbol", _utc(F.col("b.t")).alias("open_ts"), F.col("b.o").alias("open"), F.col("b.h").alias("high"), F.col("b.l").alias("low"), F.col("b.c").alias("close"), F.col("b.v").alias("volume"), F.col("b.n").alias("trade_count"), F.col("b.vw").alias("vwap"), F.struct("_page", "_at").alias("_order"))
@@ -31,12 +31,12 @@ def repeated_tokens(pages: DataFrame, payload: str = "payload") -> DataFrame:
 
 
 def candles(chunks: DataFrame, payload: str = "payload") -> DataFrame:
-    """Candles of [time, low, high, open, close, volume] with epoch seconds; short ones are left out."""
+    """Candles of [time, low, high, open, close, volume] with epoch seconds; short ones are left out, of several at one time the greatest stays."""
     c = F.col("c")
     at = lambda i: F.get(c, F.lit(i))
     rows = chunks.select("symbol", F.explode(F.from_json(payload, "array<array<double>>")).alias("c")).filter(F.size(c) >= 6)
-    out = rows.select("symbol", F.timestamp_seconds(at(0).cast("bigint")).cast("timestamp_ntz").alias("open_ts"), at(3).alias("open"), at(2).alias("high"), at(1).alias("low"), at(4).alias("close"), at(5).alias("volume"))
-    return out.dropDuplicates(["symbol", "open_ts"])
+    rows = rows.groupBy("symbol", F.get(c, F.lit(0)).alias("_at")).agg(F.max("c").alias("c"))
+    return rows.select("symbol", F.timestamp_seconds(at(0).cast("bigint")).cast("timestamp_ntz").alias("open_ts"), at(3).alias("open"), at(2).alias("high"), at(1).alias("low"), at(4).alias("close"), at(5).alias("volume"))
 
 
 def vintage_observations(payloads: DataFrame, payload: str = "payload") -> DataFrame:

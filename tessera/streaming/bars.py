@@ -1,4 +1,4 @@
-"""Bars from a stream of ticks, merged batch by batch into a versioned Parquet table."""
+"""Bars from a stream of ticks, merged batch by batch into a Parquet table by day."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.merge import merge
+from ..sources import tables
 
 KEYS = ["symbol", "open_ts"]
 
@@ -28,35 +28,38 @@ def bar_stream(ticks: DataFrame, minutes: int = 5, late: str = "30 minutes") ->
     return bars.select("symbol", F.col("w.start").cast("timestamp_ntz").alias("open_ts"), "open", "high", "low", "close", "volume", "trade_count")
 
 
-class VersionedTable:
-    """A Parquet table of which each merge writes a new version; a batch that comes again finds its version and changes nothing."""
+class MergedTable:
+    """Bars merged batch by batch, by day. Which batches are in it is kept beside the data, so a batch that comes again, also to another process, changes nothing."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.version: str | None = None
-        self.last_batch = -1
 
     def read(self) -> DataFrame | None:
-        return self.spark.read.parquet(self.version) if self.version else None
+        found = tables.read(self.spark, self.path)
+        return None if found is None else found.drop("p_day")
 
     def merge(self, batch: DataFrame, batch_id: int) -> None:
-        if batch_id <= self.last_batch:
-            return
-        base = self.read()
-        new = batch if base is None else merge(base, batch, KEYS)
-        path = f"{self.path}/v{batch_id}-{uuid.uuid4().hex}"
-        new.write.parquet(path)
-        self.version, self.last_batch = path, batch_id
+        tables.merge_into(self.spark, self.path, batch, KEYS, {"p_day": F.to_date("open_ts").cast("string")}, f"batch-{batch_id}")
 
 
 def _shared(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-stream-")).rstrip("/")
+    """The folder that driver and executors share; on a local master a temporary one will do."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="tessera-stream-")
+    return found.rstrip("/")
+
+
+def run(spark: SparkSession, directory: str, root: str, minutes: int = 5) -> MergedTable:
+    """All ticks in a directory through the stream, until none are left; goes on where an earlier run with this root ended."""
+    table = MergedTable(spark, f"{root}/bars")
+    running = bar_stream(tick_stream(spark, directory), minutes).writeStream.outputMode("update").foreachBatch(table.merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return table
 
 
 def replay(spark: SparkSession, directory: str, minutes: int = 5) -> DataFrame:
-    """All ticks in a directory through the stream, until none are left; the merged bars."""
-    root = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
-    table = VersionedTable(spark, f"{root}/bars")
-    running = bar_stream(tick_stream(spark, directory), minutes).writeStream.outputMode("update").foreachBatch(table.merge).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    running.awaitTermination()
-    return table.read()
+    """All ticks in a directory through the stream; the merged bars."""
+    return run(spark, directory, f"{_shared(spark)}/stream-{uuid.uuid4().hex}", minutes).read()

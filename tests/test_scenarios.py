@@ -187,15 +187,31 @@ def test_stream_is_idempotent(spark, sf_dir):
 
 
 def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
-    from tessera.streaming.bars import VersionedTable
+    from tessera.sources import tables
+    from tessera.streaming.bars import MergedTable
 
-    table = VersionedTable(spark, str(tmp_path))
-    one = spark.createDataFrame([("A", D, 1)], "symbol string, open_ts timestamp_ntz, n int")
-    table.merge(one, 0)
-    table.merge(one.withColumn("n", F.lit(9)), 0)
-    assert [r["n"] for r in table.read().collect()] == [1]
-    table.merge(one.withColumn("n", F.lit(2)), 1)
-    assert [r["n"] for r in table.read().collect()] == [2]
+    one = spark.createDataFrame([("A", D, 1), ("A", D + timedelta(days=1), 5)], "symbol string, open_ts timestamp_ntz, n int")
+    MergedTable(spark, str(tmp_path)).merge(one, 0)
+    MergedTable(spark, str(tmp_path)).merge(one.withColumn("n", F.lit(9)), 0)  # by another process
+    table = MergedTable(spark, str(tmp_path))
+    assert sorted(r["n"] for r in table.read().collect()) == [1, 5]
+    kept = tables.names(spark, str(tmp_path), "data", f"p_day={D.date() + timedelta(days=1)}")
+    table.merge(one.filter("n = 1").withColumn("n", F.lit(2)), 1)
+    assert sorted(r["n"] for r in table.read().collect()) == [2, 5]
+    assert tables.names(spark, str(tmp_path), "data", f"p_day={D.date() + timedelta(days=1)}") == kept  # an untouched day isn't rewritten
+    one.filter("n = 1").withColumns({"n": F.lit(3), "p_day": F.to_date("open_ts").cast("string")}).write.parquet(f"{tmp_path}/staged/batch-2")  # a process that ended before it published
+    assert sorted(r["n"] for r in MergedTable(spark, str(tmp_path)).read().collect()) == [3, 5]
+
+
+def test_a_stream_goes_on_after_a_restart(spark, sf_dir, tmp_path):
+    import shutil
+
+    from tessera.streaming import bars as live
+
+    (tmp_path / "in").mkdir()
+    shutil.copy(f"{sf_dir}/events.parquet", tmp_path / "in" / "events.parquet")
+    first = live.run(spark, str(tmp_path / "in"), str(tmp_path / "out")).read().count()
+    assert first == live.run(spark, str(tmp_path / "in"), str(tmp_path / "out")).read().count() == live.replay(spark, sf_dir).count()
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -203,11 +219,14 @@ def test_a_batch_that_comes_again_changes_nothing(spark, tmp_path):
 def test_lags_and_sums_across_days(spark, points):
     from pyspark.sql import Window
 
-    from tessera.functions.windows import lagged, running_sums
+    from tessera.functions.windows import lagged, running, running_sums
 
     rows = [(i, s, None if m is None else D + timedelta(minutes=m), v) for i, (s, m, v) in enumerate(points)]
     df = spark.createDataFrame(rows, "n int, symbol string, ts timestamp_ntz, v int")
     w = Window.partitionBy("symbol").orderBy(F.col("ts").asc_nulls_last(), "n")
     plain = df.select("n", F.lag("v").over(w).alias("before"), F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("total"))
+    filled = df.select("n", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("f"), F.max("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("m"))
+    again = running(df, "symbol", "ts", ("n",), {"f": ("last", "v"), "m": ("max", "v")}).select("n", "f", "m")
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, filled.collect()), key=str)
     ours = running_sums(lagged(df, "symbol", "ts", ("n",), {"before": "v"}), "symbol", "ts", ("n",), {"total": "v"}).select("n", "before", "total")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))

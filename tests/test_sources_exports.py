@@ -8,6 +8,7 @@ import zipfile
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.plans import export
 from tessera.sources import formats, rest
@@ -94,6 +95,18 @@ def test_packages_keep_the_untouched_part_apart(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/pkg/untouched/bars").agg({"open_ts": "min"}).first()[0] >= s.cutoff
 
 
+def test_packages_hold_all_tables(spark, tmp_path):
+    full = spark.createDataFrame([("A", datetime(2024, 1, d), float(d), d) for d in range(1, 11)], "symbol string, open_ts timestamp_ntz, close double, ingest_seq int").withColumns({c: F.col("close") for c in ("open", "high", "low", "volume")})
+    y = spark.createDataFrame([(datetime(2024, 1, d), float(d)) for d in (2, 9)] + [(None, 1.0)], "available_ts timestamp_ntz, value double")
+    s = export.package(full, f"{tmp_path}/pkg", test_days=3, others={"yields": (y, "available_ts")}, derived=export.DERIVED, configuration={"a": 1})
+    assert spark.read.parquet(f"{tmp_path}/pkg/discovery/aligned").agg({"slot_ts": "max"}).first()[0] < s.cutoff
+    assert [spark.read.parquet(f"{tmp_path}/pkg/{p}/yields").count() for p in ("discovery", "untouched")] == [1, 1]
+    told = json.loads(spark.read.text(f"{tmp_path}/pkg/manifest").first()[0])
+    assert told["excluded"] == {"bars": 0, "yields": 1} and len(told["configuration_sha256"]) == 64
+    assert {"discovery/heatmap", "discovery/envelope", "untouched/bars"} <= set(told["tables"])
+    assert spark.read.parquet(f"{tmp_path}/pkg/inventory").filter("length(sha256) = 64").count() >= 8
+
+
 def test_resume_only_for_the_same_request():
     a, b, c = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 1, 20)
     from tessera.plans.collect import resume_start
@@ -106,20 +119,36 @@ def test_resume_only_for_the_same_request():
 
 
 def test_collection_isolates_failures(spark, tmp_path):
-    from tessera.plans.collect import collect
+    from tessera.plans import collect as c
+    from tessera.sources import tables
+
+    calls = spark.sparkContext.accumulator(0)
 
     def fetch(symbol, start, end):
         if symbol == "B":
             raise OSError("down")
-        at = start
-        return spark.createDataFrame([(symbol, at, 1.0, 1.0, 1.0, 1.0)], "symbol string, open_ts timestamp_ntz, open double, high double, low double, close double")
+        schema = "symbol string, open_ts timestamp_ntz, contract string, open double, high double, low double, close double"
+        rows = [(symbol, start, "H6" if start.day < 3 else "M6", 1.0, 1.0, 1.0, 1.0)]
+
+        def counted(batches):
+            calls.add(1)
+            yield from batches
+
+        return spark.createDataFrame(rows, schema).coalesce(1).mapInArrow(counted, schema)
 
-    runs = collect(spark, ["A", "B"], datetime(2024, 1, 1), datetime(2024, 1, 5), fetch, f"{tmp_path}/bars", chunk_days=2)
+    window = datetime(2024, 1, 1), datetime(2024, 1, 5)
+    runs = c.collect(spark, ["A", "B"], *window, fetch, f"{tmp_path}/x", chunk_days=2)
     by = {r["symbol"]: r for r in runs}
-    assert by["A"]["status"] == "succeeded" and by["A"]["inserted"] == 2
+    assert by["A"]["status"] == "succeeded" and by["A"]["inserted"] == 2 and by["A"]["stamp"] == window[1]
     assert by["B"]["status"] == "failed" and "down" in by["B"]["error"]
-    again = collect(spark, ["A"], datetime(2024, 1, 1), datetime(2024, 1, 5), fetch, f"{tmp_path}/bars", chunk_days=2)
+    assert calls.value == 2  # one fetch a chunk
+    stored = c.audit(spark, f"{tmp_path}/x").orderBy("symbol", "chunk_start").collect()
+    assert [(r["symbol"], r["status"]) for r in stored] == [("A", "succeeded")] * 2 + [("B", "failed")] * 2
+    assert [(r["outgoing_contract"], r["incoming_contract"]) for r in spark.read.parquet(f"{tmp_path}/x/rolls").collect()] == [("H6", "M6")]  # between two chunks
+    again = c.collect(spark, ["A"], *window, fetch, f"{tmp_path}/x", chunk_days=2)
     assert (again[0]["inserted"], again[0]["updated"]) == (0, 2)
+    bars = tables.read(spark, f"{tmp_path}/x/bars")
+    assert bars.count() == 2 and bars.select("record_id").distinct().count() == 2 and "ingested_at" in bars.columns
 
 
 def test_catalogue_keeps_extra_keys_and_refuses_repeats(spark):
