@@ -21,21 +21,41 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share. Only on a local master, and only where the session names none, a temporary one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+#: Folders that ``stored`` wrote and nobody has removed, in order.
+_STORED: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here, and lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STORED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A place in the order of stored tables, for ``discard``."""
+    return len(_STORED)
+
+
+def discard(spark: SparkSession, since: int, until: int | None = None) -> None:
+    """Remove the stored tables from one mark up to another; nothing may read them any more."""
+    for path in _STORED[since:until]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    del _STORED[since:until]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df doesn't have, for columns that come and go."""
     while name in df.columns:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, mark, stored
 
 
 def _forest(edges: DataFrame) -> DataFrame:
@@ -52,6 +52,7 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     the edges of nodes with very many of them are not gathered, as those nodes are few enough to be broadcast. Repeated
     edges count once, and an empty table gives an empty result.
     """
+    spark, first = edges.sparkSession, mark()
     now = stored(_forest(edges.select("a", "b")).distinct(), "components")
     seen = None
     for _ in range(rounds):
@@ -65,6 +66,7 @@ def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"), F.count("*").alias("n"))
         small = _with_least(large.select(F.col("b").alias("u"), F.col("a").alias("v")), low, n_edges).withColumnRenamed("v", "a")
         now = stored(small.select(F.col("m").alias("x"), F.col("a").alias("y")).union(small.select("m", "u")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct(), "components")
+        discard(spark, first, mark() - 1)  # all but the newest edges
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == seen:
             break
