@@ -23,7 +23,7 @@ VOCABULARY = "word_bpe_49k.json"
 #: Tokens of a shard, each document counting ``DOC_TOKENS`` more; a task works through many shards, one at a time.
 SHARD_TOKENS, DOC_TOKENS = 1 << 22, 8
 #: Bytes of text that a task orders and packs, on average.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 32 << 20
 K1, B = 1.2, 0.75
 #: How many of the best unused neighbours are tried for one that fits whole before the best is cut at the window's end.
 AHEAD = 24

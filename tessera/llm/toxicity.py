@@ -29,6 +29,8 @@ REMEMBERED = 200_000
 TOGETHER = 250
 #: Range of the hash that draws rows; rows of a batch that a counting task sends; ids of confirmed documents up to which they are broadcast.
 SPREAD, SENT, BROADCAST_IDS = 1 << 30, 1 << 16, 1_000_000
+#: Rows of the sample that are worked through at once in training.
+AT_ONCE = 2_048
 
 
 #: A feature also counts by how many distinct words of a text have it (at least), and by which share of them; the first level is the feature itself.
@@ -85,25 +87,31 @@ def train(rows: Iterable[tuple[bool, np.ndarray]], size: int, prior: float, roun
 
     Where the corrected negative part is below zero, the step goes up its gradient instead, as the estimator asks.
     """
-    rows = list(rows)
-    positive = np.array([p for p, _ in rows], bool)
-    starts = np.concatenate(([0], np.cumsum([len(x) for _, x in rows])))
-    flat = np.concatenate([x for _, x in rows]).astype(np.int64) if rows else np.array([], np.int64)
-    owner = np.repeat(np.arange(len(rows)), np.diff(starts))
+    positive, features, sizes = [], [], [0]
+    for p, f in rows:
+        positive.append(p)
+        features.append(np.asarray(f, np.int32))
+        sizes.append(len(f))
+    positive, starts = np.array(positive, bool), np.cumsum(sizes)
+    flat = np.concatenate(features) if features else np.array([], np.int32)
+    del features
     w, b = np.zeros(size), 0.0
     if not positive.any() or positive.all():
         return w, -10.0
     n_p, n_u = positive.sum(), (~positive).sum()
+    blocks = [(k, min(k + AT_ONCE, len(positive))) for k in range(0, len(positive), AT_ONCE)]  # what is worked out for every feature of a row is only ever held for a block
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, rounds + 1):
-        g = _sums(w[flat], starts) + b
+        g = np.concatenate([_sums(w[flat[starts[i] : starts[j]]], starts[i : j + 1] - starts[i]) for i, j in blocks]) + b
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         loss = np.logaddexp(0, g)  # of saying "clean"
         negative = loss[~positive].mean() - prior * loss[positive].mean()
         d_negative = np.where(positive, -prior * s / n_p, s / n_u)
         d_positive = np.where(positive, prior * (s - 1) / n_p, 0)
         d = d_positive + d_negative if negative >= 0 else -d_negative
-        gradient = np.append(np.bincount(flat, d[owner], size) + DECAY * w, d.sum())
+        gradient = np.append(DECAY * w, d.sum())
+        for i, j in blocks:
+            gradient[:-1] += np.bincount(flat[starts[i] : starts[j]], np.repeat(d[i:j], np.diff(starts[i : j + 1])), size)
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient**2
         move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -141,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
 
     Unlabelled text is drawn from all of docs, confirmed documents included, so its share of toxic text is that of the
     corpus, which the class prior stands for. Features are chosen by their document frequencies over all confirmed and
-    over all documents. Only the rows that the weights are fitted on are samples, drawn by a hash of the id: about
+    over all other documents. Only the rows that the weights are fitted on are samples, drawn by a hash of the id: about
     ``positives`` confirmed and ``unlabelled`` documents at most. Null labels and ids, and labels without a document,
     count for nothing; repeated labels count once, repeated documents each.
     """
@@ -158,9 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     n_p, n_u = confirmed.count(), rows.count()
     if not n_p or not n_u:
         return none
-    p, u = F.coalesce("p", F.lit(0)), F.col("u")
+    p, u, n_rest = F.col("p"), F.col("u"), max(1, n_u - n_p)  # the confirmed are among all; they are compared with the others
     chance = u / F.lit(n_u)
-    lift = (p / F.lit(n_p) - chance) / F.sqrt(chance * (1 - chance) * F.lit(1 / n_p + 1 / n_u) + 1e-12)
+    lift = (p / F.lit(n_p) - (u - p) / F.lit(n_rest)) / F.sqrt(chance * (1 - chance) * F.lit(1 / n_p + 1 / n_rest) + 1e-12)
     counted = document_frequencies(confirmed, "text").filter(F.col("n") >= SUPPORT).withColumnRenamed("n", "p").join(document_frequencies(rows, "text").withColumnRenamed("n", "u"), "k")
     best = counted.withColumn("lift", lift).filter(F.col("lift") >= LIFT).orderBy(F.desc("lift"), "k").limit(KEPT).select("k").collect()
     kept = {r["k"]: i for i, r in enumerate(best)}
@@ -168,14 +176,13 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_i
     def extract(batches):
         look = Lookup({k // len(LEVELS) for k in kept})
         for batch in batches:
-            found = [sorted(kept[k] for k in look.levels(t.as_py()).tolist() if k in kept) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.list_(pa.int64()))], names=["positive", "f"])
+            found = [np.array(sorted(kept[k] for k in look.levels(t.as_py()).tolist() if k in kept), "<u2").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.binary())], names=["positive", "f"])
 
     sample = confirmed.filter(_drawn("id", 0, positives / n_p)).select("text", F.lit(True).alias("positive"))
     sample = sample.unionAll(rows.filter(_drawn("id", 1, unlabelled / n_u)).select("text", F.lit(False).alias("positive")))
-    drawn = [(r["positive"], np.array(r["f"], np.int64)) for r in sample.mapInArrow(extract, "positive boolean, f array<long>").collect()]
-    drawn.sort(key=lambda r: (r[0], r[1].tolist()))
-    weights, bias = train(drawn, len(kept), prior)
+    drawn = sorted((r["positive"], bytes(r["f"])) for r in sample.mapInArrow(extract, "positive boolean, f binary").toLocalIterator())
+    weights, bias = train(((p, np.frombuffer(f, "<u2")) for p, f in drawn), len(kept), prior)
     return Model(kept, weights, float(bias))
 
 
