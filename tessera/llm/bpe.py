@@ -14,7 +14,7 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 #: Distinct pre-tokens that a worker remembers from task to task; beyond it the memory starts anew.
 REMEMBERED = 400_000
 #: Distinct words whose ids a worker remembers, likewise.
-WORDS = 1_000_000
+WORDS = 700_000
 
 
 def tokenizer(path: str) -> Tokenizer:
@@ -130,7 +130,7 @@ class WordIds:
 
     ODD = re.compile(r"[^\x01-\x1b\x20-\x84\x86-\xff]")
     #: Bytes of text that are cut at once, and of a word that the table holds.
-    SLICE, LONGEST = 1 << 20, 16
+    SLICE, LONGEST = 1 << 18, 16
 
     def __init__(self, path: str):
         self.library = tokenizer(path)

@@ -21,7 +21,7 @@ from .common import stored, table
 WINDOW, END = 2048, 1
 VOCABULARY = "word_bpe_49k.json"
 #: Tokens of a shard, each document counting ``DOC_TOKENS`` more; a task works through many shards, one at a time.
-SHARD_TOKENS, DOC_TOKENS = 1 << 22, 8
+SHARD_TOKENS, DOC_TOKENS = 1 << 21, 8
 #: Bytes of text that a task orders and packs, on average.
 TASK_BYTES = 32 << 20
 K1, B = 1.2, 0.75
@@ -31,7 +31,7 @@ AHEAD = 24
 DENSE = 8
 GROUP_CHARS = 1_000_000
 #: Documents, at most about, from which the directions of closeness are learned; and those directions.
-LEARNED, DIRECTIONS = 4_000, 8
+LEARNED, DIRECTIONS = 2_000, 8
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
