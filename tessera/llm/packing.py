@@ -10,8 +10,7 @@ from typing import NamedTuple
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +31,10 @@ DENSE = 8
 GROUP_CHARS = 1_000_000
 #: Documents, at most about, from which the directions of closeness are learned; and those directions.
 LEARNED, DIRECTIONS = 2_000, 8
+#: Bits of the place along the last direction; with the sides of all directions there are at most 2 ** (DIRECTIONS + FINE) keys.
+FINE = 12
+#: Rows of one key are spread along the key's share of the order in so many steps.
+SPREAD = 1 << 20
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -201,12 +204,12 @@ class Closeness(NamedTuple):
         key = np.zeros(len(docs), np.int64)
         for j in range(x.shape[1]):
             key = key * 2 + (x[:, j] > self.middle[j])
-        return key * 4096 + np.clip((x[:, -1] + 1) * 2048, 0, 4095).astype(np.int64)
+        return (key << FINE) + np.clip((x[:, -1] + 1) * (1 << FINE) / 2, 0, (1 << FINE) - 1).astype(np.int64)
 
 
 def tokenized(df: DataFrame, text: str, vocabulary: str, close: Closeness) -> DataFrame:
-    """df, its text replaced by ``_ids``, token ids and the end mark as little-endian bytes, and ``_key``, its place in the order of closeness."""
-    schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField("_ids", T.BinaryType()), T.StructField("_key", T.LongType())])
+    """df, its text replaced by ``_ids``, token ids and the end mark as little-endian bytes, ``_key``, its place in the order of closeness, and ``_n``, how many ids."""
+    schema = T.StructType([f for f in df.schema if f.name != text] + [T.StructField("_ids", T.BinaryType()), T.StructField("_key", T.LongType()), T.StructField("_n", T.LongType())])
     shared = df.sparkSession.sparkContext.broadcast(close)
 
     def run(batches):
@@ -215,9 +218,10 @@ def tokenized(df: DataFrame, text: str, vocabulary: str, close: Closeness) -> Da
 
         def made(batch):
             found = [x + end for x in ids(batch.column(text).to_pylist())]
-            keys = shared.value.keys([np.frombuffer(x, ids.kind) for x in found])
+            docs = [np.frombuffer(x, ids.kind) for x in found]
             keep = [c for c in batch.schema.names if c != text]
-            return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(found, pa.binary()), pa.array(keys)], names=[*keep, "_ids", "_key"])
+            made = [pa.array(found, pa.binary()), pa.array(shared.value.keys(docs)), pa.array([len(d) for d in docs], pa.int64())]
+            return pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, "_ids", "_key", "_n"])
 
         for batch in batches:
             start, chars = 0, 0
@@ -257,16 +261,37 @@ def corpus_statistics(ids: DataFrame, kind: str) -> Corpus:
     return Corpus.of(df, n, tokens)
 
 
+def in_shards(ids: DataFrame, shard_tokens: int) -> tuple[DataFrame, int]:
+    """ids(_id, _ids, _key, _n) with ``_shard``, and the number of shards: equal stretches of the order of closeness, cut at exact borders.
+
+    The sizes of all keys before a row's own say where its key begins; the rows of a key, however many, are spread
+    along its share by a hash of id and text. A row's shard thus depends on the table alone, not on how it is partitioned.
+    """
+    keys = stored(ids.groupBy("_key").agg(F.sum(F.col("_n") + DOC_TOKENS).alias("_size")), "packing-keys")
+    side = F.shiftright("_key", FINE).cast("int")
+    begins, total = [0] * (1 << DIRECTIONS), 0
+    for r in sorted(keys.groupBy(side.alias("side")).agg(F.sum("_size").alias("size")).collect()):
+        begins[r["side"]] = total
+        total += r["size"]
+    shards = max(1, -(-total // shard_tokens))
+    earlier = F.sum("_size").over(Window.partitionBy(side).orderBy("_key").rowsBetween(Window.unboundedPreceding, -1))
+    begin = F.element_at(F.array(*map(F.lit, begins)).cast("array<double>"), side + 1) + F.coalesce(earlier, F.lit(0))
+    places = keys.select("_key", "_size", begin.alias("_begin"))
+    along = F.pmod(F.xxhash64("_id", "_ids"), F.lit(SPREAD)) / SPREAD
+    shard = F.least(F.floor((F.col("_begin") + F.col("_size") * along) * shards / max(1, total)), F.lit(shards - 1))
+    return ids.join(F.broadcast(places), "_key").select("_id", "_ids", "_key", shard.alias("_shard")), shards  # at most 2 ** (DIRECTIONS + FINE) keys
+
+
 def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window: int = WINDOW, vocabulary: str | None = None, shard_tokens: int = SHARD_TOKENS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """One row a piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Rows are put in an order of lexical closeness, whose directions are learned from about ``LEARNED`` rows, drawn by a
-    hash. The order is dealt by ranges to tasks and cut there into shards of about ``shard_tokens``; copies lie beside
-    each other and fill as many shards as they need. BM25 statistics are those of all rows, scores are exact over all
-    terms, and a seed's neighbours are looked for in its own shard, all of it. Only a shard's last sequence is short.
-    Equal keys are ordered by id and text, so repartitioned rows are packed alike where one task packs all. Null and
-    empty texts are the end mark alone. Repeated rows are packed each; other columns are not returned; an empty table
-    gives an empty result.
+    hash. The order is cut into equal shards of at most about ``shard_tokens``, which are dealt to tasks; copies lie
+    beside each other and fill as many shards as they need. BM25 statistics are those of all rows, scores are exact over
+    all terms, and a seed's neighbours are looked for in its own shard, all of it. Only a shard's last sequence is short.
+    Shards, and the order in them, follow from keys, ids and texts, so a table gives the same pieces however it is
+    partitioned and however many tasks pack it. Null and empty texts are the end mark alone. Repeated rows are packed
+    each; other columns are not returned; an empty table gives an empty result.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     words = word_ids(path)
@@ -280,9 +305,12 @@ def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window
     ids = stored(tokenized(rows, "_text", path, close), "packing-ids")
     shared = df.sparkSession.sparkContext.broadcast(corpus_statistics(ids, kind))
     id_type = df.schema[id].dataType.simpleString()
-    ordered = ids.repartitionByRange(max(1, -(-size // task_bytes)), "_key", "_id", F.xxhash64("_ids")).sortWithinPartitions("_key", "_id", F.xxhash64("_ids"))
+    dealt, shards = in_shards(ids, shard_tokens)
+    tasks = max(1, min(shards, -(-size // task_bytes)))
+    order = ["_shard", "_key", "_id", F.xxhash64("_ids")]
+    ordered = dealt.repartitionById(tasks, F.pmod("_shard", F.lit(tasks)).cast("int")).sortWithinPartitions(*order)
 
-    def packed(names: list, docs: list[np.ndarray], first: int) -> pa.RecordBatch:
+    def packed(names: list, docs: list[np.ndarray], shard: int) -> pa.RecordBatch:
         doc, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pack(docs, window, shared.value), strict=True))
         crc = [zlib.crc32(docs[d][a : a + n].astype("<u4").tobytes()) for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
         return pa.RecordBatch.from_pydict({
@@ -291,28 +319,28 @@ def pack_documents(df: DataFrame, text: str = "text", id: str = "doc_id", window
             "length": length,
             "ids_crc32": np.array(crc, np.int64),
             "doc_tokens": np.array([len(d) for d in docs], np.int64)[doc],
-            "sequence_id": sequence + first,
+            "sequence_id": sequence + (shard << 32),
             "offset": offset,
         })
 
     def run(batches):
-        first = TaskContext.get().partitionId() << 40
-        names, docs, held = [], [], 0
+        names, docs, now = [], [], None
         for batch in batches:
-            at = 0
-            for k, x in enumerate(batch.column("_ids")):
-                docs.append(np.frombuffer(x.as_py(), kind))
-                held += len(docs[-1]) + DOC_TOKENS
-                if held >= shard_tokens:
-                    yield (out := packed([*names, batch.column("_id").slice(at, k + 1 - at)], docs, first))
-                    first += out.column("sequence_id")[-1].as_py() - first + 1
-                    names, docs, held, at = [], [], 0, k + 1
-            if at < batch.num_rows:
-                names.append(batch.column("_id").slice(at))
+            shard = batch.column("_shard").to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if at == end:
+                    continue
+                if docs and shard[at] != now:
+                    yield packed(names, docs, now)
+                    names, docs = [], []
+                now = int(shard[at])
+                names.append(batch.column("_id").slice(at, end - at))
+                docs += [np.frombuffer(x.as_py(), kind) for x in batch.column("_ids").slice(at, end - at)]
         if docs:
-            yield packed(names, docs, first)
+            yield packed(names, docs, now)
 
-    return ordered.select("_id", "_ids").mapInArrow(run, f"`{id}` {id_type}, {PIECES}")
+    return ordered.select("_id", "_ids", "_shard").mapInArrow(run, f"`{id}` {id_type}, {PIECES}")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -260,8 +260,22 @@ def test_packing_does_not_depend_on_the_partitioning(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choices([f"w{k}" for k in range(90)], k=rng.randint(0, 400))) for _ in range(80)] + ["same"] * 30
     df = docs(spark, texts)
-    found = [sorted(map(tuple, packing.pack_documents(x, shard_tokens=9_000).collect())) for x in (df.coalesce(1), df.repartition(7, "n_chars"))]
-    assert found[0] == found[1]
+    for tasks in ((1 << 30,) * 2, (1 << 30, 8_000), (8_000,) * 2):
+        found = [sorted(map(tuple, packing.pack_documents(x, shard_tokens=2_000, task_bytes=n).collect())) for x, n in zip((df.coalesce(1), df.repartition(7, "n_chars")), tasks, strict=True)]
+        assert found[0] == found[1]
+
+
+def test_shards_are_equal_stretches_of_the_order(spark):
+    rows = [(i, np.array([i % 7 + 2, 1], "<u2").tobytes(), 5_000 if i % 3 == 0 else i % 600, 92) for i in range(3_000)]  # a third under one key
+    shards, n = packing.in_shards(spark.createDataFrame(rows, "_id bigint, _ids binary, _key bigint, _n bigint").repartition(5), 20_000)
+    found = [(r["_shard"], r["_key"]) for r in shards.select("_shard", "_key").collect()]
+    sizes = Counter(s for s, _ in found)
+    assert len(found) == 3_000 and n == 15 and set(sizes) == set(range(15)) and max(sizes.values()) < 1.5 * 200
+    by_key = defaultdict(set)
+    for s, k in found:
+        by_key[k].add(s)
+    ends = [(min(by_key[k]), max(by_key[k])) for k in sorted(by_key)]
+    assert all(a[1] <= b[0] for a, b in zip(ends, ends[1:], strict=False)) and len(by_key[5_000]) >= 5
 
 
 def test_packing_odd_tables(spark):
