@@ -42,3 +42,46 @@ which as (select doc_id, count(distinct item_id) n_items, string_agg(distinct ca
 select doc_id, len(words) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(names, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) contaminated
 from docs left join hit using (doc_id) left join which using (doc_id)
 """
+
+
+def _level(name: str, j: int) -> str:
+    """Level j of trees (tree, idx, cnt, h) as name_j+1, and each node's siblings to the left and right as name_s_j."""
+    return f"""
+{name}_{j + 1} as (select tree, idx // 8 idx, any_value((cnt + 7) // 8) cnt, case when any_value(cnt) > 1 then sha256(string_agg(h, '' order by idx)) else any_value(h) end h from {name}_{j} group by tree, idx // 8),
+{name}_s_{j} as (select a.tree, a.idx, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx < a.idx), '') l, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx > a.idx), '') r
+  from {name}_{j} a join {name}_{j} b on a.tree = b.tree and a.idx // 8 = b.idx // 8 where a.cnt > 1 group by a.tree, a.idx)"""
+
+
+def _fold(name: str, j: int, source: str, target: str, index: str) -> str:
+    return f"""
+{target} as (select f.* exclude (proof, fold), proof || coalesce(l || r, '') proof, case when l is null then fold else sha256(l || fold || r) end fold from {source} f left join {name}_s_{j} s on f.{name}_tree = s.tree and f.{index} // {8**j} = s.idx)"""
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+
+
+#: Eight steps a byte of the check sum, the first of which takes the byte in.
+_CRC32 = "xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split({x}, ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295)"
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEAF = "sha256(" + " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars"))) + " || {text})"
+#: Up to 8 ** 7 rows a language and 8 ** 3 languages.
+_DEPTH, _TOP = 7, 3
+
+MANIFEST = (
+    f"""
+with d as (select doc_id, coalesce('1' || lang, '0') tree, {_LEAF.format(text=_field("text"))} h, {_LEAF.format(text=_field(_LOWERED))} low, coalesce({_CRC32.format(x="doc_id::varchar")} % 3 = 0, false) chosen from documents),
+n_0 as (select tree, row_number() over (partition by tree order by doc_id nulls first, h) - 1 idx, count(*) over (partition by tree) cnt, h, doc_id, low, chosen from d),"""
+    + ",".join(_level("n", j) for j in range(_DEPTH))
+    + f""",
+t_0 as (select '' tree, row_number() over (order by tree) - 1 idx, count(*) over () cnt, h, tree name from n_{_DEPTH}),"""
+    + ",".join(_level("t", j) for j in range(_TOP))
+    + f""",
+f_0 as (select n.doc_id, n.h leaf, n.tree n_tree, n.idx n_idx, '' t_tree, t.idx t_idx, t.h subroot, '' proof, case when chosen then low else n.h end fold from n_0 n join t_0 t on n.tree = t.name),"""
+    + ",".join(_fold("n", j, f"f_{j}", f"f_{j + 1}", "n_idx") for j in range(_DEPTH))
+    + ","
+    + ",".join(_fold("t", j, f"f_{_DEPTH + j}", f"f_{_DEPTH + j + 1}", "t_idx") for j in range(_TOP))
+    + f"""
+select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, fold folded_root, fold = root verified from f_{_DEPTH + _TOP}, (select h root from t_{_TOP})
+"""
+)

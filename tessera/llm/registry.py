@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from . import oracle
 from .chat import op8_chat
+from .codec import op13_bpe
 from .decontaminate import op5_decontaminate
 from .language import op1_language
+from .manifest import op12_manifest
 from .packing import op10_packing
 from .pii import op2_pii
 from .quality_rules import op7_quality_rules
@@ -25,8 +27,11 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op12_manifest": op12_manifest,
+    "op13_bpe": op13_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": oracle.CONTAMINATION,
     "op7_quality_rules": oracle.QUALITY,
+    "op12_manifest": oracle.MANIFEST,
 }
