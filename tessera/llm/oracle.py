@@ -85,3 +85,20 @@ f_0 as (select n.doc_id, n.h leaf, n.tree n_tree, n.idx n_idx, '' t_tree, t.idx
 select doc_id, leaf, subroot, root, sha256(proof) proof_sha256, fold folded_root, fold = root verified from f_{_DEPTH + _TOP}, (select h root from t_{_TOP})
 """
 )
+
+DIVERGENCE = f"""
+with d as (select row_number() over () id, coalesce(lang, '') lang, coalesce(source, '') source, regexp_extract_all({_LOWER}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') words from documents),
+t as (select id, lang, source, unnest(words) term from d),
+k as (select lang, term, count(*) n from t group by lang, term having count(distinct id) >= 30),
+c as (select t.lang, t.source, t.term, count(*) n from t join k on t.lang = k.lang and t.term = k.term group by all),
+v as (select lang, count(*) terms, sum(n) total from k group by lang),
+s as (select lang, source, sum(n) total from c group by lang, source),
+g as (select x.lang, x.source, coalesce(s.total, 0) + 5 * v.terms whole, v.total + 5 * v.terms lang_whole from (select distinct lang, source from d) x left join s on x.lang = s.lang and x.source = s.source left join v on x.lang = v.lang),
+p as (select g.lang, g.source, k.term, coalesce(c.n, 0) n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 5)) // whole p, 1 + (1000000000::hugeint * (k.n + 5)) // lang_whole q
+  from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+apart as (select a.lang, a.source, b.source item, sum(abs(a.p - b.p)) value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+r as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::bigint value from g a join g b on a.lang = b.lang and a.source <> b.source left join apart x on x.lang = a.lang and x.source = a.source and x.item = b.source
+  union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
+select * from (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) rank from r) where part = 'pair' or rank <= 50
+"""

@@ -6,6 +6,7 @@ from . import oracle
 from .chat import op8_chat
 from .codec import op13_bpe
 from .decontaminate import op5_decontaminate
+from .divergence import op11_divergence
 from .language import op1_language
 from .manifest import op12_manifest
 from .packing import op10_packing
@@ -27,11 +28,13 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
     "op12_manifest": op12_manifest,
     "op13_bpe": op13_bpe,
 }
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": oracle.CONTAMINATION,
     "op7_quality_rules": oracle.QUALITY,
+    "op11_divergence": oracle.DIVERGENCE,
     "op12_manifest": oracle.MANIFEST,
 }
