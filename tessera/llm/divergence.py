@@ -224,7 +224,7 @@ def block_divergences(source: np.ndarray, term: np.ndarray, count: np.ndarray, w
     A matrix in compressed rows: a source without a term has there the share of no count. So a pair's sum is what it
     would be if b had no counts, from sorted shares and their running sums, and what b's counts change in it.
     """
-    n, terms = len(whole), int(term.max()) + 1
+    n, terms = len(whole), int(term.max()) + 1 if len(term) else 0
     order = np.lexsort((term, source))
     source, term, count = source[order], term[order], count[order]
     starts = np.searchsorted(source, np.arange(n + 1))
