@@ -18,8 +18,8 @@ MIN_DOCS, SMOOTHING, TOP = 30, 5, 50
 RANGE_BYTES = 4 << 20
 #: Distinct terms, and counts of a term in a group, that a task holds before it hands them on.
 HELD_TERMS, HELD_COUNTS = 1_000_000, 2_000_000
-#: Counts in one block of terms when sources are compared.
-BLOCK_COUNTS = 500_000
+#: Counts in one block of terms when sources are compared; as many as there are pairs of sources if that is more, so that a block's sums are fewer than its counts.
+BLOCK_COUNTS = 50_000
 
 _CODES = np.arange(256)
 _UPPER = (_CODES >= ord("A")) & (_CODES <= ord("Z"))
@@ -290,7 +290,7 @@ def divergence(df: DataFrame, text: str = "text", lang: str = "lang", source: st
             (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).alias("no"),
             (F.coalesce("total", F.lit(0)) + smooth).alias("whole"),
             (F.coalesce("lang_total", F.lit(0)) + smooth).alias("lang_whole"),
-            F.ceil(F.coalesce("counts", F.lit(0)) / BLOCK_COUNTS).alias("blocks"),
+            F.ceil(F.coalesce("counts", F.lit(0)) / F.greatest(F.lit(BLOCK_COUNTS), F.pow(F.count("*").over(Window.partitionBy("lang")), F.lit(2)))).alias("blocks"),
         ),
         "divergence-groups",
     )

@@ -66,7 +66,7 @@ def audit_rows(seed):
     return [*rows, (None, "en", None), (None, "solo", "s0"), ("a b c", "solo", "s1"), ("Ünïcode 日本", "", ""), *rows[:3], ("b " * 4000, "en", "s1"), ("x" * 70000, "de", "s2")]
 
 
-@pytest.mark.parametrize(("min_docs", "top", "block"), [(30, 50, 500_000), (5, 3, 7), (1, 50, 40)])
+@pytest.mark.parametrize(("min_docs", "top", "block"), [(30, 50, 500_000), (5, 3, 7), (1, 50, 90)])
 def test_divergence_against_brute_force(spark, monkeypatch, min_docs, top, block):
     monkeypatch.setattr(divergence, "BLOCK_COUNTS", block)
     rows = audit_rows(min_docs)
