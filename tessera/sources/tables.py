@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.merge import merge
 
@@ -31,7 +34,36 @@ def names(spark: SparkSession, *parts: str) -> list[str]:
 def read(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None before its first merge."""
     _finish(spark, path)
-    return spark.read.parquet(f"{path}/data") if exists(spark, path, "data") else None
+    if not exists(spark, path, "data"):
+        return None
+    # partition columns are text as written: a guessed type would turn 0700 into 700
+    found = spark.read.parquet(f"{path}/data").schema
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name.startswith("p_") else f for f in found])
+    return spark.read.schema(schema).parquet(f"{path}/data")
+
+
+def partition(value: Column) -> Column:
+    """A value as text that is neither null nor empty, the same for the same values only."""
+    text = value.cast("string")
+    marked = F.when(text.rlike("^(~|__HIVE)"), F.concat(F.lit("~~"), text)).otherwise(text)
+    return F.when(text.isNull(), "~null").when(text == "", "~empty").otherwise(marked)
+
+
+#: Partitions that a merge names one by one to the scan; where it touches more, only the join tells them.
+NAMED = 2000
+
+
+def touched(spark: SparkSession, path: str, rows: DataFrame, by: dict[str, Column]) -> DataFrame | None:
+    """The table's rows in the partitions that ``rows`` fall into, other partitions unread; None before the first merge."""
+    base = read(spark, path)
+    if base is None:
+        return None
+    places = rows.select(*[partition(c).alias(p) for p, c in by.items()]).distinct()
+    named = places.limit(NAMED + 1).collect()
+    if len(named) <= NAMED:
+        for p in by:
+            base = base.filter(F.col(p).isin(sorted({r[p] for r in named})))
+    return base.join(places, list(by), "left_semi")
 
 
 def _finish(spark: SparkSession, path: str) -> None:
@@ -47,28 +79,38 @@ def _publish(spark: SparkSession, path: str, token: str) -> None:
     if not exists(spark, path, "done", token):
         staged = spark.read.parquet(f"{path}/staged/{token}")
         by = [c for c in staged.columns if c.startswith("p_")]
-        staged.repartition(*by).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/data")
+        if not staged.isEmpty():
+            staged.hint("rebalance", *by).write.partitionBy(*by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/data")
         fs, mark = _path(spark, path, "done", token)
         fs.create(mark).close()
     remove(spark, path, "staged", token)
 
 
-def merge_into(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], by: dict, token: str, policy: dict[str, str] | None = None) -> bool:
+def merge_into(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], by: dict[str, Column], token: str | None = None, policy: dict[str, str] | None = None) -> bool:
     """Merge updates, unique by keys, into the table at path; False if a merge of this token is already in it.
 
     ``by`` names the partition columns, which begin with p_, and gives their expressions over the keys, so that equal
-    keys share a partition. Only touched partitions are read and replaced. The result is staged whole before anything is
-    replaced, and an interrupted replacement is repeated by whoever reads or merges next.
+    keys share a partition. Keys and partition values may be null. Only touched partitions are read and replaced. The
+    result is staged whole, and refused if a key comes twice in it, before anything is replaced; an interrupted
+    replacement is repeated by whoever reads or merges next. A merge without a token can't be told from another and
+    leaves no mark. One process at a time may write.
     """
-    base = read(spark, path)
-    if exists(spark, path, "done", token):
+    _finish(spark, path)
+    if token and exists(spark, path, "done", token):
         return False
-    updates = updates.withColumns(by)
+    once, token = token is None, token or f"once-{uuid.uuid4().hex}"
+    base = touched(spark, path, updates, by)
+    updates = updates.withColumns({p: partition(c) for p, c in by.items()})
     if base is not None:
-        touched = updates.select(*by).distinct()
-        updates = merge(base.join(touched, list(by), "left_semi").select(*updates.columns), updates, [*by, *keys], policy)
+        added = [f for f in updates.schema if f.name not in base.columns]
+        updates = merge(base.withColumns({f.name: F.lit(None).cast(f.dataType) for f in added}), updates, keys, policy)
     updates.write.mode("overwrite").parquet(f"{path}/staged/{token}")
+    if spark.read.parquet(f"{path}/staged/{token}").groupBy(*keys).count().filter("count > 1").limit(1).count():
+        remove(spark, path, "staged", token)
+        raise ValueError(f"keys come twice: {', '.join(keys)}")
     _publish(spark, path, token)
+    if once:
+        remove(spark, path, "done", token)
     return True
 
 

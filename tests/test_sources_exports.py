@@ -5,7 +5,7 @@ import hashlib
 import json
 import urllib.error
 import zipfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,13 +144,90 @@ def test_collection_isolates_failures(spark, tmp_path):
     assert calls.value == 2  # one fetch a chunk
     stored = c.audit(spark, f"{tmp_path}/x").orderBy("symbol", "chunk_start").collect()
     assert [(r["symbol"], r["status"]) for r in stored] == [("A", "succeeded")] * 2 + [("B", "failed")] * 2
-    assert [(r["outgoing_contract"], r["incoming_contract"]) for r in spark.read.parquet(f"{tmp_path}/x/rolls").collect()] == [("H6", "M6")]  # between two chunks
+    assert [(r["outgoing_contract"], r["incoming_contract"]) for r in tables.read(spark, f"{tmp_path}/x/rolls").collect()] == [("H6", "M6")]  # between two chunks
     again = c.collect(spark, ["A"], *window, fetch, f"{tmp_path}/x", chunk_days=2)
     assert (again[0]["inserted"], again[0]["updated"]) == (0, 2)
     bars = tables.read(spark, f"{tmp_path}/x/bars")
     assert bars.count() == 2 and bars.select("record_id").distinct().count() == 2 and "ingested_at" in bars.columns
 
 
+def test_merges_into_a_keyed_table(spark, tmp_path):
+    """Random merges against a dictionary: null and empty keys, symbols that look like numbers or like our own marks."""
+    import random
+
+    from tessera.sources import tables
+
+    rng, path, want = random.Random(7), f"{tmp_path}/t", {}
+    symbols = [None, "", "0700", "700", "9988", "AAPL", "~null", "~empty", "__HIVE_DEFAULT_PARTITION__", "a/b=c d%", "1e3"]
+    by = {"p_symbol": F.col("symbol"), "p_month": F.date_format("ts", "yyyy-MM")}
+    for step in range(6):
+        keys = {(rng.choice(symbols), rng.choice([None, datetime(2024, rng.randint(1, 2), rng.randint(1, 3))])) for _ in range(25)}
+        rows = {k: (step * 100 + n, rng.choice([None, "x"])) for n, k in enumerate(sorted(keys, key=str))}
+        df = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "symbol string, ts timestamp_ntz, value long, note string")
+        assert tables.merge_into(spark, path, df, ["symbol", "ts"], by, f"m{step}" if step % 2 else None)
+        want |= rows
+        assert not step % 2 or not tables.merge_into(spark, path, df, ["symbol", "ts"], by, f"m{step}")
+        got = tables.read(spark, path).collect()
+        assert len(got) == len(want) and {(r["symbol"], r["ts"]): (r["value"], r["note"]) for r in got} == want
+    assert tables.names(spark, path, "done") == ["m1", "m3", "m5"] and not tables.names(spark, path, "staged")
+    twice = spark.createDataFrame([("AAPL", None, 1, "x"), ("AAPL", None, 2, "x")], "symbol string, ts timestamp_ntz, value long, note string")
+    with pytest.raises(ValueError, match="twice"):
+        tables.merge_into(spark, path, twice, ["symbol", "ts"], by)
+    assert tables.read(spark, path).count() == len(want)
+    one = tables.touched(spark, path, twice.withColumn("ts", F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz")), by)
+    assert {r["symbol"] for r in one.collect()} <= {"AAPL"} and "PartitionFilters: [p_symbol" in one._jdf.queryExecution().toString().replace("isnotnull(p_symbol", "p_symbol")
+
+
+def _one_bar_a_day(spark, asked):
+    def fetch(symbol, start, end):
+        asked.append((symbol, start, end))
+        schema = "symbol string, open_ts timestamp_ntz, contract string, open double, high double, low double, close double"
+        days = [start.replace(hour=0, minute=0) + timedelta(days=n, hours=12) for n in range((end - start).days + 2)]
+        return spark.createDataFrame([(symbol, d, f"C{d.day // 4}", 1.0, 1.0, 1.0, 1.0) for d in days if start <= d < end], schema)
+
+    return fetch
+
+
+def test_collection_of_symbols_that_look_like_numbers(spark, tmp_path):
+    from tessera.plans import collect as c
+    from tessera.sources import tables
+
+    runs = c.collect(spark, ["0700", "9988", "AAPL"], datetime(2024, 1, 31), datetime(2024, 2, 2), _one_bar_a_day(spark, []), f"{tmp_path}/hk", chunk_days=1)
+    assert [(r["symbol"], r["inserted"]) for r in runs] == [("0700", 2), ("9988", 2), ("AAPL", 2)]
+    bars = tables.read(spark, f"{tmp_path}/hk/bars")
+    assert bars.count() == 6 == bars.select("symbol", "open_ts").distinct().count() and {r["symbol"] for r in bars.collect()} == {"0700", "9988", "AAPL"}
+
+
+def test_collection_goes_on_from_its_checkpoint(spark, tmp_path):
+    from tessera.plans import collect as c
+    from tessera.sources import tables
+
+    start, end, path, asked = datetime(2024, 1, 1), datetime(2024, 1, 13), f"{tmp_path}/r", []
+    fetch = _one_bar_a_day(spark, asked)
+
+    def broken(symbol, lo, hi):
+        if lo >= datetime(2024, 1, 9) and symbol == "A":
+            raise OSError("down")
+        return fetch(symbol, lo, hi)
+
+    first = c.collect(spark, ["A", "B"], start, end, broken, path, chunk_days=4, job="backfill")
+    assert [r["status"] for r in first] == ["failed", "succeeded"]
+    kept = c.checkpoints(spark, path)
+    assert kept["A"]["stamp"] == datetime(2024, 1, 8, 12, 5) and kept["B"]["stamp"] == datetime(2024, 1, 12, 12, 5)
+    asked.clear()
+    again = c.collect(spark, ["A", "B"], start, end, fetch, path, chunk_days=4, job="backfill")
+    assert asked == [("A", datetime(2024, 1, 8, 11, 35), datetime(2024, 1, 9)), ("A", datetime(2024, 1, 9), end), ("B", datetime(2024, 1, 12, 11, 35), end)]
+    assert [r["status"] for r in again] == ["succeeded", "succeeded"]
+    assert tables.read(spark, f"{path}/bars").count() == 24
+    whole = _one_bar_a_day(spark, [])
+    c.collect(spark, ["A", "B"], start, end, whole, f"{tmp_path}/w", chunk_days=12)
+    read = lambda p: sorted(tuple(r) for r in tables.read(spark, f"{p}/rolls").select("symbol", "roll_ts", "outgoing_contract", "incoming_contract").collect())
+    assert read(path) == read(f"{tmp_path}/w") and len(read(path)) == 6
+    asked.clear()
+    c.collect(spark, ["A"], start, end, fetch, path, chunk_days=12, job="another")
+    assert asked == [("A", start, end)]
+
+
 def test_catalogue_keeps_extra_keys_and_refuses_repeats(spark):
     from tessera.functions.schema import overlay
     from tessera.sources.catalogue import load_catalogue
