@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Modulus and remainder of the held-out fold: crc32(doc_id as text) mod 3 = 1.
 FOLDS, HELD_OUT = 3, 1
@@ -39,8 +40,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: lineage ends here, and lost executors cost no recomputation."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return listed(df.sparkSession.read.schema(df.schema).parquet(path), path)
+
+
+def listed(df: DataFrame, path: str) -> DataFrame:
+    """df, read from path, which ``discard`` may remove later."""
     _STORED.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df
 
 
 def mark() -> int:
@@ -63,6 +69,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _hashable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_hashable(f.dataType) for f in kind)
+    return _hashable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, (T.MapType, T.VariantType))
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of the whole row; columns with maps, which Spark doesn't hash, count by their JSON."""
+    named = {f.name: F.col(f"`{f.name}`") for f in df.schema}
+    return F.xxhash64(*[named[f.name] if _hashable(f.dataType) else F.to_json(F.struct(named[f.name])) for f in df.schema])
+
+
 def let(value: Column, use) -> Column:
     """use(value) with value computed once a row, also where use() refers to it inside a lambda."""
     return F.transform(F.array(value), use)[0]

@@ -30,13 +30,11 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 #: What a scan adds to a row: words in all, merged half-open ranges of hit words, and the items found.
-HITS = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("hits", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.LongType())),
-    ]
-)
+RANGES = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def _hits(items: DataFrame) -> T.StructType:
+    return T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", RANGES), T.StructField("items", T.ArrayType(items.schema["id"].dataType))])
 
 
 def words(text: str | None) -> list[bytes]:
@@ -208,14 +206,14 @@ def _added(batch: pa.RecordBatch, into: str, values: pa.Array) -> pa.RecordBatch
 def _scanned(df: DataFrame, text: str, into: str, items: DataFrame, n: int) -> DataFrame:
     """Benchmarks of a bounded size: their windows are broadcast, and one scan finds all."""
     shared = df.sparkSession.sparkContext.broadcast(_Block([tuple(r) for r in items.toLocalIterator()], n))
-    kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
+    kind = pa.struct([("n_words", pa.int64()), ("hits", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string() if isinstance(items.schema["id"].dataType, T.StringType) else pa.int64()))])
 
     def run(batches):
         index = shared.value.index()
         for batch in batches:
             yield _added(batch, into, pa.array(_scan(index, batch.column(text).to_pylist()), kind))
 
-    return df.mapInArrow(run, _with(df, into, HITS))
+    return df.mapInArrow(run, _with(df, into, _hits(items)))
 
 
 def _hashed(found: list[bytes], known: _WordHashes) -> np.ndarray:
@@ -236,9 +234,9 @@ def _item_windows(items: DataFrame, n: int) -> DataFrame:
                     hashes = _hash(h[k : k + many] for k in range(size)).view(np.int64)
                     for at in range(0, many, 10_000):
                         some = range(at, min(many, at + 10_000))
-                        yield pa.RecordBatch.from_pydict({"id": np.full(len(some), item), "size": np.full(len(some), size, np.int32), "window": pa.array([b" ".join(found[i : i + size]) for i in some], pa.binary()), "hash": hashes[some.start : some.stop]})
+                        yield pa.RecordBatch.from_pydict({"id": pa.array([item] * len(some), batch.column("id").type), "size": np.full(len(some), size, np.int32), "window": pa.array([b" ".join(found[i : i + size]) for i in some], pa.binary()), "hash": hashes[some.start : some.stop]})
 
-    return items.mapInArrow(run, "id long, size int, window binary, hash long").distinct()
+    return items.mapInArrow(run, f"id {items.schema['id'].dataType.simpleString()}, size int, window binary, hash long").distinct()
 
 
 def _joined(df: DataFrame, text: str, into: str, items: DataFrame, n: int, filter_bits: int) -> DataFrame:
@@ -281,14 +279,14 @@ def _joined(df: DataFrame, text: str, into: str, items: DataFrame, n: int, filte
             ranges = [_merged((x["start"], x["end"]) for x in r) for r in batch.column("hits").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(ranges, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), batch.column("items")], names=["_hit_row", "_hit_ranges", "_hit_items"])
 
-    merged = hits.mapInArrow(merge, T.StructType([T.StructField("_hit_row", T.LongType()), T.StructField("_hit_ranges", HITS["hits"].dataType), T.StructField("_hit_items", HITS["items"].dataType)])).alias("hit")
-    value = F.struct(F.col(f"doc.{into}.n_words").alias("n_words"), F.coalesce("hit._hit_ranges", F.array().cast(HITS["hits"].dataType)).alias("hits"), F.coalesce("hit._hit_items", F.array().cast(HITS["items"].dataType)).alias("items"))
+    merged = hits.mapInArrow(merge, T.StructType([T.StructField("_hit_row", T.LongType()), T.StructField("_hit_ranges", RANGES), T.StructField("_hit_items", _hits(items)["items"].dataType)])).alias("hit")
+    value = F.struct(F.col(f"doc.{into}.n_words").alias("n_words"), F.coalesce("hit._hit_ranges", F.array().cast(RANGES)).alias("hits"), F.coalesce("hit._hit_items", F.array().cast(_hits(items)["items"].dataType)).alias("items"))
     out = scanned.alias("doc").join(merged, F.col(f"doc.{row}") == F.col("hit._hit_row"), "left")
     return out.select(*[F.col(f"doc.`{c}`") for c in df.columns if c != into], value.alias(into))
 
 
 def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", into: str = "contamination", n: int = N, block_bytes: int = BLOCK_BYTES, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """df with a struct ``into``: n_words, merged word ranges that benchmark windows hit, and the items found.
+    """df with a struct ``into``: n_words, merged word ranges that benchmark windows hit, and the ids of items found, in order: whole numbers, or else texts.
 
     The benchmark's size is measured first. Up to ``block_bytes`` its windows are broadcast; beyond, what is broadcast
     is a bit array of at most 2 ** ``filter_bits`` bits over all window hashes, and the document windows that pass it
@@ -297,7 +295,7 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, text: str = "text",
     each count for themselves. Empty tables give empty results. Other columns pass through, one named ``into`` is
     replaced.
     """
-    items = benchmark.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text"))
+    items = benchmark.filter(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long" if isinstance(benchmark.schema[item_id].dataType, T.IntegralType) else "string").alias("id"), F.col(item_text).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size <= block_bytes:
         return _scanned(df, text, into, items, n)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import uuid
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import listed, shared_dir, stored, table
 
 SHARDS = 40
 #: Size that each row adds to that of its text.
@@ -20,17 +23,18 @@ PIECE_ROWS = 50_000
 HOT = 10_000
 #: Size classes up to which their table is broadcast.
 BROADCAST_CLASSES = 100_000
+#: Size classes whose schedule the driver holds at once.
+PART_CLASSES = 20_000
 
 
-def schedule(classes: list[tuple[int, int]], shards: int) -> list[list[tuple[int, int]]]:
-    """Longest processing time over classes of (size, groups of that size): for each class, largest first, (shard, groups) in order of shard.
+def schedule(classes: Iterable[tuple[int, int]], shards: int) -> Iterator[list[tuple[int, int]]]:
+    """Longest processing time over classes of (size, groups of that size), largest first: for each, (shard, groups) in order of shard. Holds the shards' loads alone.
 
     Groups of one size are interchangeable, so a class is placed at once: the shards that its groups would be popped to,
     one by one, are those of the least loads that the heap would show.
     """
     heap = [(0, k) for k in range(shards)]
-    out = []
-    for size, many in sorted(classes, reverse=True):
+    for size, many in classes:
         taken: dict[int, int] = {}
         if size and many > 4 * shards:
             loads = np.zeros(shards, np.int64)
@@ -52,8 +56,7 @@ def schedule(classes: list[tuple[int, int]], shards: int) -> list[list[tuple[int
             load, k = heap[0]
             heapq.heapreplace(heap, (load + size, k))
             taken[k] = taken.get(k, 0) + 1
-        out.append(sorted(taken.items()))
-    return out
+        yield sorted(taken.items())
 
 
 def assign_shards(df: DataFrame, size: Column, group: Column, shards: int = SHARDS) -> DataFrame:
@@ -62,7 +65,7 @@ def assign_shards(df: DataFrame, size: Column, group: Column, shards: int = SHAR
     Rows of an equal ``group`` share a shard, null being a group of its own; a group above the mean load is alone in its
     shard as far as loads allow. Every group is scheduled, at every size of the input: what the driver holds is the number
     of groups of each size, at most the square root of twice all bytes. Group sizes are combined before the shuffle, so a
-    group with a third of all rows is one number; no text and no group is ever gathered. Null and negative sizes count 0;
+    group with a third of all rows is one number; the schedule is written in parts of ``PART_CLASSES`` sizes; no text and no group is ever gathered. Null and negative sizes count 0;
     repeated rows each count; an empty table gives an empty result. Other columns pass through, those named shard or
     slot are replaced.
     """
@@ -73,11 +76,8 @@ def assign_shards(df: DataFrame, size: Column, group: Column, shards: int = SHAR
     groups = stored(rows.groupBy("g").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sharding-groups")
     n_groups, n_rows = groups.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     classes = groups.groupBy("size").agg(F.count("*").alias("n")).toPandas().sort_values("size", ascending=False)
-    spark = df.sparkSession
-    plan = schedule(list(zip(classes["size"].tolist(), classes["n"].tolist(), strict=True)), shards)
-    placed = pd.DataFrame({"size": classes["size"].to_numpy(), "ends": [np.cumsum([n for _, n in x]).tolist() for x in plan], "shards": [[k for k, _ in x] for x in plan]})
-    placed = spark.createDataFrame(placed, "size long, ends array<long>, shards array<int>")
-    numbered = _numbered(groups, "size", max(4, n_groups // PIECE_ROWS), "rank").join(F.broadcast(placed) if len(plan) <= BROADCAST_CLASSES else placed, "size")
+    placed = _placed(df.sparkSession, classes["size"].to_numpy(), classes["n"].to_numpy(), shards)
+    numbered = _numbered(groups, "size", max(4, n_groups // PIECE_ROWS), "rank").join(F.broadcast(placed) if len(classes) <= BROADCAST_CLASSES else placed, "size")
     where = stored(numbered.select("g", "n", F.get("shards", F.size(F.filter("ends", lambda e: e <= F.col("rank")))).alias("shard")), "sharding-where")
     hot = F.broadcast(where.filter(F.col("n") * HOT >= n_rows).select("g", "shard"))
     cold = where.filter(F.col("n") * HOT < n_rows).select("g", "shard")
@@ -86,9 +86,20 @@ def assign_shards(df: DataFrame, size: Column, group: Column, shards: int = SHAR
     return numbered.select(*[F.col(f"row.`{c}`") for c in df.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
+def _placed(spark: SparkSession, sizes: np.ndarray, many: np.ndarray, shards: int) -> DataFrame:
+    """The schedule as (size, ends, shards): in a size class, the groups of rank below ends[k] and not below ends[k - 1] go to shards[k]. Written in parts, so that the driver holds one part."""
+    path = f"{shared_dir(spark)}/sharding-schedule-{uuid.uuid4().hex}"
+    plan, schema = schedule(zip(sizes.tolist(), many.tolist(), strict=True), shards), "size long, ends array<long>, shards array<int>"
+    for at in range(0, max(1, len(sizes)), PART_CLASSES):
+        part = list(islice(plan, PART_CLASSES))
+        rows = pd.DataFrame({"size": sizes[at : at + len(part)], "ends": [np.cumsum([n for _, n in x]).tolist() for x in part], "shards": [[k for k, _ in x] for x in part]})
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(path)
+    return listed(spark.read.schema(schema).parquet(path), path)
+
+
 def _numbered(df: DataFrame, key: str, pieces: int, into: str) -> DataFrame:
     """df with gapless numbers from 0 in each key without gathering a key: rows are numbered in hashed pieces of it, and each piece starts where those before it end."""
-    dealt = stored(df.withColumn("piece", F.pmod(F.xxhash64(*df.columns, F.monotonically_increasing_id()), F.lit(pieces)).cast("int")), "sharding-dealt")
+    dealt = stored(df.withColumn("piece", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(pieces)).cast("int")), "sharding-dealt")
     counts = dealt.groupBy(key, "piece").agg(F.count("*").alias("n_piece"))
     before = counts.withColumn("start", F.coalesce(F.sum("n_piece").over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n_piece")
     place = F.row_number().over(Window.partitionBy(key, "piece").orderBy("g")) - 1

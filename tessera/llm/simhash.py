@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, stored, table
+from .common import free_name, row_hash, stored, table
 from .components import connected_components
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -310,16 +310,18 @@ def near_duplicates(df: DataFrame, text: str = "text", id: str = "doc_id", dista
 def keep_first(df: DataFrame, text: str = "text", id: str = "doc_id", **options) -> DataFrame:
     """One row of each group of near-duplicates, with the columns of df: the one of the smallest id.
 
-    Rows without an id come after those with one; among equal ids a hash of the whole row decides, and of wholly equal
-    rows one stays. Only ids and hashes travel to find the rows that stay.
+    Ids may be of any type that has an order. Rows without one come after those with one; among equal ids a hash of the
+    whole row decides, and of wholly equal rows one stays. Null and empty texts are near-duplicates of each other; an
+    empty table stays empty. Only ids and hashes travel to find the rows that stay.
     """
-    # rows are told apart by their hash with their id
-    parts = {"_n": F.col(id).isNull(), "_i": F.coalesce(F.col(id), F.lit(0)), "_h": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])}
+    # rows are told apart by their hash with their id; _i keeps the id's own order, _t stands for it where null must equal null
+    parts = {"_n": F.col(id).isNull(), "_i": F.col(id), "_t": F.coalesce(F.col(id).cast("string"), F.lit("")), "_h": row_hash(df)}
     own = {free_name(df, k): c for k, c in parts.items()}
     named = df.select(F.struct(*[c.alias(k) for k, c in own.items()]).alias("_id"), F.col(text).alias("_text"))
     found = near_duplicates(named, "_text", "_id", **options)
-    kept = found.filter(F.col("_id") == F.col("component_id")).select("_id.*").distinct()
-    return df.withColumns(own).join(kept, list(own), "left_semi").dropDuplicates(list(own)).select(*[F.col(f"`{c}`") for c in df.columns])
+    alike = [k for k in own if k != list(own)[1]]
+    kept = found.filter(F.col("_id") == F.col("component_id")).select("_id.*").select(*alike).distinct()
+    return df.withColumns({k: own[k] for k in alike}).join(kept, alike, "left_semi").dropDuplicates(alike).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
