@@ -133,10 +133,11 @@ def flagged_bars(bars: DataFrame, settings: Settings = Settings(), only: tuple[s
     return step.withColumns(flags).drop("_before", "_zero", "_zero_before", "_new_price_run", "_new_zero_run", "_price_run", "_zero_run")
 
 
-def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | None = None, always_open: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
-    """The issues of bars, one row each; with ``only``, of those types."""
+def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | Column | None = None, always_open: bool | Column = False, only: tuple[str, ...] | None = None) -> DataFrame:
+    """The issues of bars, one row each; with ``only``, of those types. Zone and whether the market never closes hold for all bars, or are columns."""
     prices = _json(*PRICES)
-    mismatch = (F.to_date(t.local_time(F.col("open_ts"), zone)) != F.col("trading_date")) if zone else F.lit(False)
+    mismatch = F.lit(False) if zone is None else F.to_date(t.local_time(F.col("open_ts"), zone)) != F.col("trading_date")
+    never = always_open if isinstance(always_open, Column) else F.lit(always_open)
     rule = lambda issue, severity, when, observed, expected: Rule(issue, severity, "retained", when if isinstance(when, Column) else F.col(when), observed, expected)
     rules = [
         rule("missing_or_malformed_required_field", "error", "malformed", prices, "all required fields present"),
@@ -149,7 +150,7 @@ def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | None
         rule("inconsistent_bar_boundary", "error", "boundary", F.col("open_ts").cast("string"), "open time on a five-minute boundary"),
         rule("extreme_return", "warning", "extreme", F.col("close").cast("string"), f"absolute return <= {settings.extreme_return}"),
         rule("contract_roll_jump", "warning", "roll_jump", F.col("close").cast("string"), "jump explained by a roll"),
-        rule("unexpected_weekend_observation", "warning", F.lit(False) if always_open else F.col("weekend"), F.date_format("open_ts", "EEEE"), "no weekend trading"),
+        rule("unexpected_weekend_observation", "warning", F.col("weekend") & ~never, F.date_format("open_ts", "EEEE"), "no weekend trading"),
         rule("timezone_or_trading_date_mismatch", "warning", mismatch, F.col("trading_date").cast("string"), "local date equals trading date"),
         rule("timestamp_inside_scheduled_break", "error", "on_break", F.col("session_type"), "no bars in a break"),
         rule("timestamp_outside_expected_session", "warning", "outside", F.col("session_type"), "bars within sessions"),

@@ -134,6 +134,9 @@ def overlapping(found: DataFrame, start, end) -> DataFrame:
     return found.filter((F.col("close_ts") > t.moment(start)) & (F.col("open_ts") < t.moment(end)))
 
 
+ADDED = ("trading_date", "day_of_week", "is_regular", "is_extended", "session_type", "minutes_since_open", "minutes_until_close", "is_holiday", "is_shortened")
+
+
 def classify(bars: DataFrame, found: DataFrame, calendar: str | Calendar) -> DataFrame:
     """bars with trading_date, day_of_week, is_regular, is_extended, session_type, minutes_since_open, minutes_until_close, is_holiday, is_shortened.
 
@@ -143,20 +146,28 @@ def classify(bars: DataFrame, found: DataFrame, calendar: str | Calendar) -> Dat
     the day with the hours as a further condition, and sessions across midnight are found.
     """
     c = CALENDARS[calendar] if isinstance(calendar, str) else calendar
-    added = ("trading_date", "day_of_week", "is_regular", "is_extended", "session_type", "minutes_since_open", "minutes_until_close", "is_holiday", "is_shortened")
-    bars = bars.drop(*[x for x in added if x in bars.columns])
-    local = t.local_time(F.col("open_ts"), c.zone)
+    roll = F.lit(60 * c.roll[0] + c.roll[1]) if c.roll else None
+    return _classified(bars.withColumn("_cal", F.lit("")), found.withColumn("calendar", F.lit("")), F.lit(c.zone), roll).drop("_cal")
+
+
+def by_day(found: DataFrame) -> DataFrame:
+    """Each session once for each UTC day that it touches, as ``_day``."""
+    return found.withColumn("_day", F.explode(F.sequence(F.to_date("open_ts"), F.to_date(t.from_micros(t.micros(F.col("close_ts")) - 1)))))
+
+
+def _classified(bars: DataFrame, found: DataFrame, zone: Column, roll: Column | None) -> DataFrame:
+    """bars, which name their calendar in ``_cal``, classified against its sessions; zone and roll, in minutes of the local day, may be columns."""
+    bars = bars.drop(*[x for x in ADDED if x in bars.columns])
+    local = t.local_time(F.col("open_ts"), zone)
     candidate = F.to_date(local)
-    if c.roll:
-        clock = F.hour(local) * 60 + F.minute(local)
-        candidate = F.when(clock >= 60 * c.roll[0] + c.roll[1], F.date_add(candidate, 1)).otherwise(candidate)
-    listed = found.select(F.col("trading_date").alias("_date"), F.col("open_ts").alias("_open"), F.col("close_ts").alias("_close"), F.col("break_start").alias("_b0"), F.col("break_end").alias("_b1"), F.col("is_shortened").alias("_short"))
-    listed = listed.withColumn("_day", F.explode(F.sequence(F.to_date("_open"), F.to_date(t.from_micros(t.micros(F.col("_close")) - 1)))))
-    dates = found.select(F.col("trading_date").alias("_candidate")).distinct().withColumn("_is_session_day", F.lit(True))
+    if roll is not None:
+        candidate = F.when(F.hour(local) * 60 + F.minute(local) >= roll, F.date_add(candidate, 1)).otherwise(candidate)
+    listed = by_day(found).select(F.col("calendar").alias("_of"), F.col("_day").alias("_on"), F.col("trading_date").alias("_date"), F.col("open_ts").alias("_open"), F.col("close_ts").alias("_close"), F.col("break_start").alias("_b0"), F.col("break_end").alias("_b1"), F.col("is_shortened").alias("_short"))
+    dates = found.select(F.col("calendar").alias("_dated"), F.col("trading_date").alias("_date_of")).distinct().withColumn("_is_session_day", F.lit(True))
     out = bars.withColumns({"_day": F.to_date("open_ts"), "_candidate": candidate})
     inside = (F.col("open_ts") >= F.col("_open")) & (F.col("open_ts") < F.col("_close"))
-    out = out.alias("x").join(listed.alias("s"), (F.col("x._day") == F.col("s._day")) & inside, "left").drop(F.col("s._day"))
-    out = out.join(dates, "_candidate", "left")
+    out = out.join(listed, (F.col("_cal") == F.col("_of")) & (F.col("_day") == F.col("_on")) & inside, "left").drop("_of", "_on")
+    out = out.join(dates, (F.col("_cal") == F.col("_dated")) & (F.col("_candidate") == F.col("_date_of")), "left").drop("_dated", "_date_of")
     in_session = F.col("_date").isNotNull()
     on_break = in_session & F.coalesce((F.col("open_ts") >= F.col("_b0")) & (F.col("open_ts") < F.col("_b1")), F.lit(False))
     session_day = F.coalesce("_is_session_day", F.lit(False))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, domain, quality
+from . import analytics, domain, markets, quality
 
-QUERIES: dict = {**analytics.QUERIES, **domain.QUERIES, **quality.QUERIES}
-ORACLE_SQL: dict[str, str] = {**analytics.ORACLE_SQL, **domain.ORACLE_SQL, **quality.ORACLE_SQL}
+_PARTS = (analytics, domain, markets, quality)
+QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
