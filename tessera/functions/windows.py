@@ -71,7 +71,7 @@ def running_sums(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], column
 
 
 def over_days(df: DataFrame, keys: tuple[str, ...], ts: str, back: int, on: int, columns) -> DataFrame:
-    """df with ``columns(window)``, a window by keys and day that also sees the rows of neighbouring days which lie within ``back`` microseconds before or ``on`` after a row.
+    """df with ``columns(window)``, a window by keys and day that also sees the rows of neighbouring days which lie within ``back`` microseconds before or ``on`` after a row. A list of columns is worked out step by step.
 
     For frames of so many steps on a grid without holes. Only rows near midnight are copied, so a key is as many tasks
     as it has days.
@@ -79,4 +79,7 @@ def over_days(df: DataFrame, keys: tuple[str, ...], ts: str, back: int, on: int,
     day = F.to_date(ts)
     copies = F.sequence(F.to_date(t.from_micros(t.micros(F.col(ts)) - on)), F.to_date(t.from_micros(t.micros(F.col(ts)) + back)))
     seen = df.withColumn("_day", F.explode(copies)).withColumn("_own", F.col("_day") == day)
-    return seen.withColumns(columns(Window.partitionBy(*keys, "_day").orderBy(ts))).filter("_own").drop("_day", "_own")
+    steps = columns(Window.partitionBy(*keys, "_day").orderBy(ts))
+    for step in steps if isinstance(steps, list) else [steps]:
+        seen = seen.withColumns(step)
+    return seen.filter("_own").drop("_day", "_own")
