@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import analytics, domain, markets, quality, study
+from . import analytics, domain, feeds, markets, quality, study
 
-_PARTS = (analytics, domain, markets, quality, study)
+_PARTS = (analytics, domain, feeds, markets, quality, study)
 QUERIES: dict = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

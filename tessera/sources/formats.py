@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +63,79 @@ def nearest_column(maturities: list[float], target: float, tolerance: float = 0.
     return min(near, key=lambda m: abs(m - target)) if near else None
 
 
+#: Names of the columns of an official series, in capitals.
+DATE_NAMES, VALUE_NAMES = ("TIME_PERIOD", "DATE", "TIME"), ("OBS_VALUE", "VALUE")
+
+
+def _fields(line: Column, sep: str) -> Column:
+    """The fields of a delimited line, quotes taken off; a separator between quotes belongs to its field."""
+    return F.transform(F.split(line, f'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)', -1), lambda x: F.regexp_replace(F.trim(x), '^"|"$', ""))
+
+
+def discovered_series(lines: DataFrame, file: str = "file", line: str = "line") -> DataFrame:
+    """(file, observation_date, value) from the lines of delimited files: each file's separator and columns are found from its header, once.
+
+    The header is the line that names both a date and a value column, wherever they stand; a file without one is an
+    error. Rows whose date or value can't be read are missing observations and left out. Lines may come in any order and
+    from files of any size: a header is one small row a file, joined to the lines.
+    """
+    def found(sep: str) -> Column:
+        names = F.transform(_fields(F.col(line), sep), F.upper)
+        at = lambda wanted: F.coalesce(*[F.nullif(F.array_position(names, w), F.lit(0)) for w in wanted])
+        return F.when(at(DATE_NAMES).isNotNull() & at(VALUE_NAMES).isNotNull(), F.struct(F.lit(sep).alias("sep"), at(DATE_NAMES).alias("date_at"), at(VALUE_NAMES).alias("value_at")))
+
+    headers = lines.select(F.col(file).alias("_f"), F.coalesce(*[found(sep) for sep in (";", "\t", ",")]).alias("h")).groupBy("_f").agg(F.min("h").alias("h"))
+    absent = F.raise_error(F.concat(F.lit("no date and value columns in "), F.col("_f")))
+    headers = headers.select("_f", F.coalesce("h", absent.cast("struct<sep:string,date_at:bigint,value_at:bigint>")).alias("h"))
+    rows = lines.join(headers, F.col(file) == F.col("_f"))
+    seps = {sep: F.col("h.sep") == sep for sep in (";", "\t", ",")}
+    parts = F.lit(None).cast("array<string>")
+    for sep, is_it in seps.items():
+        parts = F.when(is_it, _fields(F.col(line), sep)).otherwise(parts)
+    out = rows.select(F.col(file), parts.alias("_p"), "h")
+    out = out.select(file, F.get("_p", F.col("h.date_at") - 1).try_cast("date").alias("observation_date"), F.get("_p", F.col("h.value_at") - 1).try_cast("double").alias("value"))
+    return out.filter(F.col("observation_date").isNotNull() & F.col("value").isNotNull())
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """``discovered_series`` of the files at a path."""
+    return discovered_series(spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("line")))
+
+
+def maturity_of(column: object) -> float | None:
+    """The years that a column's name tells: its only number, as in ``10``, ``10.0``, ``10 years`` or ``spot 10y``."""
+    found = re.findall(r"[0-9]+(?:\.[0-9]+)?", str(column))
+    return float(found[0]) if len(found) == 1 else None
+
+
+def best_frame(members: dict[str, bytes], least_columns: int = 3):
+    """(name, table) of the CSV member of an archive with the most maturity columns; of equals the one whose name tells of nominal, then of spot curves, then the shorter name.
+
+    Separators are found from each header. Members that can't be read or have fewer than ``least_columns`` columns don't count; none left is an error.
+    """
+    import io
+
+    import pandas as pd
+
+    rank = lambda n: ("nominal" not in n.lower(), "spot" not in n.lower(), len(n), n)
+    best = None
+    for name in sorted(members, key=rank):
+        header = members[name].split(b"\n", 1)[0].decode("utf-8-sig", "replace")
+        sep = max(";\t,", key=header.count)
+        try:
+            table = pd.read_csv(io.BytesIO(members[name]), sep=sep, encoding="utf-8-sig")
+        except (ValueError, UnicodeDecodeError):
+            continue
+        score = sum(maturity_of(c) is not None for c in table.columns[1:])
+        if len(table.columns) >= least_columns and score and (best is None or score > best[0]):
+            best = (score, name, table)
+    if best is None:
+        raise ValueError("no table of maturities in the archive")
+    return best[1:]
+
+
 def zipped_curves(spark: SparkSession, path: str, targets: dict[str, float], member: str = ".csv") -> DataFrame:
-    """Curves from ZIP archives of CSV files with a date column and one column a maturity in years: for each target its nearest column.
+    """Curves from ZIP archives of CSV files with a date column and one column a maturity in years: of each archive its best table (``best_frame``), for each target its nearest column.
 
     Archives are opened inside tasks, one row of the result for each date and target; archives must fit a task's memory.
     """
@@ -76,16 +149,13 @@ def zipped_curves(spark: SparkSession, path: str, targets: dict[str, float], mem
         for pdf in batches:
             for content in pdf["content"]:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if not name.lower().endswith(member):
-                            continue
-                        table = pd.read_csv(z.open(name))
-                        years = {c: float(c) for c in table.columns[1:] if str(c).replace(".", "", 1).isdigit()}
-                        for symbol, target in targets.items():
-                            if (best := nearest_column(list(years.values()), target)) is None:
-                                continue
-                            column = next(c for c, y in years.items() if y == best)
-                            yield pd.DataFrame({"symbol": symbol, "observation_date": pd.to_datetime(table.iloc[:, 0], errors="coerce").dt.date, "maturity": best, "value": pd.to_numeric(table[column], errors="coerce")}).dropna()
+                    _, table = best_frame({n: z.read(n) for n in z.namelist() if n.lower().endswith(member)})
+                years = {c: y for c in table.columns[1:] if (y := maturity_of(c)) is not None}
+                for symbol, target in targets.items():
+                    if (best := nearest_column(list(years.values()), target)) is None:
+                        continue
+                    column = next(c for c, y in years.items() if y == best)
+                    yield pd.DataFrame({"symbol": symbol, "observation_date": pd.to_datetime(table.iloc[:, 0], errors="coerce").dt.date, "maturity": best, "value": pd.to_numeric(table[column], errors="coerce")}).dropna()
 
     files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, "symbol string, observation_date date, maturity double, value double")

@@ -71,7 +71,7 @@ class PagedBarsReader(DataSourceReader):
 
     def partitions(self) -> list[Span]:
         start, end = (datetime.fromisoformat(self.options[k]) for k in ("start", "end"))
-        days = float(self.options.get("chunkDays", "30"))
+        days = float(self.options.get("chunkdays", "30"))
         return [Span(s.strip(), a, b) for s in self.options["symbols"].split(",") for a, b in spans(start, end, days)]
 
     def read(self, partition: Span):
