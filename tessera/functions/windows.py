@@ -33,9 +33,9 @@ def _joined(df: DataFrame, days: DataFrame, key: str) -> DataFrame:
     return df.join(days, F.col(key).eqNullSafe(F.col("_k")) & F.col("_day").eqNullSafe(F.col("_d")), "left").drop("_k", "_d")
 
 
-def lagged(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], columns: dict[str, str]) -> DataFrame:
-    """df with, for each name in ``columns``, the value of that column in the key's row before; null for the first row."""
-    df = df.withColumn("_day", F.to_date(ts))
+def lagged(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], columns: dict[str, str], piece: Column | None = None) -> DataFrame:
+    """df with, for each name in ``columns``, the value of that column in the key's row before; null for the first row. ``piece`` as in ``running``."""
+    df = df.withColumn("_day", F.to_date(ts) if piece is None else piece)
     values = F.struct(*[F.col(c).alias(n) for n, c in columns.items()])
     days = _per_day(df, key, F.max_by(values, _rank(ts, ties)), F.lag("_own").over(_days_before(key)))
     w = Window.partitionBy(key, "_day").orderBy(*_order(ts, ties))
@@ -70,6 +70,15 @@ def running_sums(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], column
     return running(df, key, ts, ties, {n: ("sum", c) for n, c in columns.items()})
 
 
+def run_lengths(df: DataFrame, key: str, ts: str, run: str, into: str) -> DataFrame:
+    """df with the number of rows of each run of a key. A run is counted day by day and met by day, so one that never ends is as many tasks as it has days."""
+    df = df.withColumn("_day", F.to_date(ts))
+    days = df.groupBy(F.col(key).alias("_k"), F.col(run).alias("_r"), F.col("_day").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    days = days.select("_k", "_r", "_d", F.sum("_n").over(Window.partitionBy("_k", "_r")).alias(into))
+    on = F.col(key).eqNullSafe(F.col("_k")) & F.col(run).eqNullSafe(F.col("_r")) & F.col("_day").eqNullSafe(F.col("_d"))
+    return df.join(days, on, "left").drop("_k", "_r", "_d", "_day")
+
+
 def over_days(df: DataFrame, keys: tuple[str, ...], ts: str, back: int, on: int, columns) -> DataFrame:
     """df with ``columns(window)``, a window by keys and day that also sees the rows of neighbouring days which lie within ``back`` microseconds before or ``on`` after a row. A list of columns is worked out step by step.
 

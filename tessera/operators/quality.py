@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeops as t
-from ..functions.windows import lagged, running_sums
+from ..functions.windows import lagged, run_lengths, running_sums
 from .dedupe import flag_duplicates, keep_last
 
 PRICES = ("open", "high", "low", "close")
@@ -86,10 +86,12 @@ def preinsert(df: DataFrame, seq: str = "ingest_seq") -> tuple[DataFrame, DataFr
 
 
 def reversed_batches(df: DataFrame, batch: str = "symbol", seq: str = "ingest_seq") -> DataFrame:
-    """Batches of more than one row whose known times never rise in order of arrival; at least one time must be known."""
-    known = df.filter(F.col("open_ts").isNotNull())
-    rises = F.col("open_ts") > F.lag("open_ts").over(Window.partitionBy(batch).orderBy(seq))
-    falling = known.withColumn("_rises", F.coalesce(rises, F.lit(False))).groupBy(batch).agg(F.bool_or("_rises").alias("_any"), F.min_by("open_ts", seq).alias("issue_ts"))
+    """Batches of more than one row whose known times never rise in order of arrival; at least one time must be known.
+
+    Rows are dealt by batch and stretches of 131072 sequence numbers, so a batch of any size is many tasks.
+    """
+    known = lagged(df.filter(F.col("open_ts").isNotNull()), batch, seq, (), {"_was": "open_ts"}, F.shiftright(F.col(seq).cast("long"), 17))
+    falling = known.groupBy(batch).agg(F.bool_or(F.coalesce(F.col("open_ts") > F.col("_was"), F.lit(False))).alias("_any"), F.min_by("open_ts", seq).alias("issue_ts"))
     many = df.groupBy(batch).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     return falling.filter(~F.col("_any")).join(many.select(batch), batch).select(batch, "issue_ts", F.lit("provider_rows_reverse_order").alias("issue_type"), F.lit("warning").alias("severity"))
 
@@ -121,16 +123,18 @@ def flagged_bars(bars: DataFrame, settings: Settings = Settings(), only: tuple[s
     runs = {}
     if need("stale"):
         runs["_price_run"] = F.coalesce(F.col("close") != F.col("_before"), F.lit(True))
-        flags["stale"] = (F.count(F.lit(1)).over(Window.partitionBy("symbol", "_price_run")) >= settings.stale_run) & F.col("close").isNotNull()
+        flags["stale"] = (F.col("_price_length") >= settings.stale_run) & F.col("close").isNotNull()
     if need("zero_run"):
         runs["_zero_run"] = F.coalesce(F.col("_zero") != F.col("_zero_before"), F.lit(True))
-        flags["zero_run"] = F.col("_zero") & (F.count(F.lit(1)).over(Window.partitionBy("symbol", "_zero_run")) >= settings.zero_volume_run)
+        flags["zero_run"] = F.col("_zero") & (F.col("_zero_length") >= settings.zero_volume_run)
     if runs:
         step = running_sums(step.withColumns({f"_new{n}": c.cast("int") for n, c in runs.items()}), "symbol", "open_ts", ties, {n: f"_new{n}" for n in runs})
+        for n in runs:
+            step = run_lengths(step, "symbol", "open_ts", n, n.replace("_run", "_length"))
     if need("duplicate"):
         step = flag_duplicates(step, ["symbol", "open_ts", "contract", "is_continuous"], "duplicate")
         del flags["duplicate"]
-    return step.withColumns(flags).drop("_before", "_zero", "_zero_before", "_new_price_run", "_new_zero_run", "_price_run", "_zero_run")
+    return step.withColumns(flags).drop("_before", "_zero", "_zero_before", "_new_price_run", "_new_zero_run", "_price_run", "_zero_run", "_price_length", "_zero_length")
 
 
 def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | Column | None = None, always_open: bool | Column = False, only: tuple[str, ...] | None = None) -> DataFrame:

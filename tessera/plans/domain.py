@@ -87,9 +87,18 @@ def d14(spark, sf):
     return B.raw_contracts(bars5(spark, sf)).groupBy("symbol", "contract").agg(F.count("*").alias("n"), F.min("open_ts").alias("first_ts"), F.max("open_ts").alias("last_ts"))
 
 
-@query("d15_sessions", f"with {SESSIONS} select trading_date, open_ts, close_ts, false is_shortened from sess")
+_SPAN = "(select cast(min(ts) as date) lo, cast(max(ts) as date) hi from events)"
+
+
+def _span(spark, sf):
+    """First and last day of the events: one row."""
+    return read(spark, sf, "events").agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+
+
+@query("d15_sessions", f"with {SESSIONS} select trading_date, open_ts, close_ts, false is_shortened from sess, {_SPAN} where trading_date between lo and hi")
 def d15(spark, sf):
-    return S.sessions(spark, "XNYS", FIRST, LAST).select("trading_date", "open_ts", "close_ts", "is_shortened")
+    """The sessions of the days that the events span."""
+    return S.sessions(spark, "XNYS", *_span(spark, sf)).select("trading_date", "open_ts", "close_ts", "is_shortened")
 
 
 _CLASSIFIED = """cls as (
@@ -189,8 +198,8 @@ def f15(spark, sf):
     return x.select("seq", record_id("symbol", "c").alias("id"))
 
 
-@query("t4_complete_only", f"with {TICKS} select symbol, open_ts from (select distinct symbol, time_bucket(interval 5 minute, ts) open_ts from ticks) where open_ts < timestamp '2024-01-20 10:05'")
-def t4(spark, sf):
+@query("t6_complete_only", f"with {TICKS} select symbol, open_ts from (select distinct symbol, time_bucket(interval 5 minute, ts) open_ts from ticks) where open_ts < timestamp '2024-01-20 10:05'")
+def t6(spark, sf):
     from .collect import complete_only
 
     return complete_only(bars5(spark, sf).select("symbol", "open_ts").distinct(), datetime(2024, 1, 20, 10, 7, 30))
@@ -469,15 +478,23 @@ def t1(spark, sf):
     return live.replay(spark, sf).select("symbol", "open_ts", "open", "high", "low", "close", "volume", "trade_count")
 
 
-@query("p7_overlapping_sessions", f"with {SESSIONS} select trading_date, open_ts, close_ts from sess where close_ts > timestamp '2024-01-05 15:00' and open_ts < timestamp '2024-01-12 14:30'")
+@query("p7_overlapping_sessions", f"with {SESSIONS}, w as (select min(ts) lo, max(ts) hi from events where event_type = 'error') select trading_date, open_ts, close_ts from sess, w where close_ts > lo and open_ts < hi")
 def p7(spark, sf):
-    return S.overlapping(S.sessions(spark, "XNYS", FIRST, LAST), datetime(2024, 1, 5, 15), datetime(2024, 1, 12, 14, 30)).select("trading_date", "open_ts", "close_ts")
+    """The sessions with a moment in common with the time from the first to the last error."""
+    lo, hi = read(spark, sf, "events").filter("event_type = 'error'").agg(F.min("ts"), F.max("ts")).first()
+    return S.overlapping(S.sessions(spark, "XNYS", FIRST, LAST), lo, hi).select("trading_date", "open_ts", "close_ts")
 
 
-@query("u7_merge_sessions", f"with {SESSIONS} select trading_date, open_ts, case when day(trading_date) % 2 = 0 then close_ts - interval 180 minute else close_ts end close_ts from sess")
+@query(
+    "u7_merge_sessions",
+    f"""with {TICKS}, {SESSIONS}, seen as (select cast(ts as date) d, min(ts) o, max(ts) c from ticks group by 1), r as (select s.* from sess s, {_SPAN} where trading_date between lo and hi)
+    select coalesce(trading_date, d) trading_date, coalesce(o, open_ts) open_ts, coalesce(c, close_ts) close_ts from r full join seen on d = trading_date""",
+)
 def u7(spark, sf):
-    x = S.sessions(spark, "XNYS", FIRST, LAST).select("trading_date", "open_ts", "close_ts")
-    return M.merge(x, x.filter(F.day("trading_date") % 2 == 0).withColumn("close_ts", t.plus_minutes(F.col("close_ts"), -180)), ["trading_date"])
+    """The scheduled sessions, replaced by what was traded on each day, with days that no schedule knows."""
+    scheduled = S.sessions(spark, "XNYS", *_span(spark, sf)).select("trading_date", "open_ts", "close_ts")
+    seen = ticks(spark, sf).groupBy(F.to_date("ts").alias("trading_date")).agg(F.min("ts").alias("open_ts"), F.max("ts").alias("close_ts"))
+    return M.merge(scheduled, seen, ["trading_date"])
 
 
 @query("u9_merge_instruments", "select case when n_regionkey = 2 then n_nationkey + 1000 else n_nationkey end n_nationkey, n_name || '_new' n_name, n_regionkey from nation union all select n_nationkey, n_name, n_regionkey from nation where n_regionkey = 2")
