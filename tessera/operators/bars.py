@@ -19,9 +19,9 @@ def _last(value: str, order: str) -> Column:
 
 
 def normalise(df: DataFrame, minutes: int = 5) -> DataFrame:
-    """Canonical bars: rows without an opening time go, closing time is opening time plus the interval, flags default to false."""
+    """Canonical bars: a table without symbols or opening times is an error, rows without an opening time go, closing time is opening time plus the interval, flags default to false."""
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("is_partial", "is_roll_affected", "is_stale", "is_continuous")}
-    bars = S.conform(df, S.BARS).dropna(subset=["open_ts"])
+    bars = S.conform(S.require(df, ["symbol", "open_ts"]), S.BARS).dropna(subset=["open_ts"])
     return bars.withColumns(flags | {"close_ts": t.plus_minutes(F.col("open_ts"), minutes)})
 
 
@@ -81,11 +81,23 @@ def observed_bars(bars: DataFrame, minutes: int = 15, part_minutes: int = 5) ->
 
 def raw_contracts(bars: DataFrame) -> DataFrame:
     """A copy of a continuous series under each of its contracts' own names; bars without a contract have none."""
-    safe = F.upper(F.regexp_replace(F.trim("contract"), "[^A-Za-z0-9]+", "_"))
+    safe = F.upper(F.btrim(F.regexp_replace("contract", "[^A-Za-z0-9]+", "_"), F.lit("_")))
     own = bars.filter(F.col("contract").isNotNull() & (F.trim("contract") != ""))
     return own.withColumns({"symbol": F.concat("symbol", F.lit("__RAW__"), safe), "is_continuous": F.lit(False)})
 
 
+def contract_rows(bars: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Catalogue rows for the contracts of continuous series: those of the parent, under the names that ``raw_contracts`` gives the bars, with the contract as what a provider is asked for and its last known expiry, if bars tell one. Required columns and names as in the catalogue; contracts of instruments that it doesn't list have none."""
+    S.require(catalogue, ["symbol"])
+    named = bars if "expiry" in bars.columns else bars.withColumn("expiry", F.lit(None).cast("date"))
+    own = named.filter(F.coalesce(F.col("is_continuous"), F.lit(False))) if "is_continuous" in bars.columns else named
+    own = own.withColumn("_code", F.col("contract")).withColumn("_parent", F.col("symbol"))
+    found = raw_contracts(own).groupBy("_parent", "_code", F.col("symbol").alias("_name")).agg(_last("expiry", "struct(open_ts, ingest_seq)").alias("_expiry"))
+    out = catalogue.join(found, F.col("symbol") == F.col("_parent"))
+    made = {"symbol": F.col("_name"), "instrument_type": F.lit("future_contract"), "provider_symbol": F.col("_code"), "contract": F.col("_code"), "expiry": F.col("_expiry"), "is_continuous": F.lit(False), "enabled": F.lit(True), "required": F.lit(False)}
+    return out.withColumns(made).drop("_parent", "_code", "_name", "_expiry")
+
+
 def contract_expiry(bars: DataFrame) -> DataFrame:
     """The last known expiry of each contract."""
     return bars.groupBy("symbol", "contract").agg(_last("expiry", "struct(open_ts, ingest_seq)").alias("expiry"))

@@ -134,3 +134,13 @@ def d4_zones(spark, sf):
     listed = spark.createDataFrame(_ZONED, COLUMNS)
     found = M.evaluate(raw_bars(spark, sf), listed, only=("timezone_or_trading_date_mismatch", "unexpected_weekend_observation", "invalid_exchange_timezone"))
     return found.select("bar_id", "symbol", "issue_ts", "issue_type", "observed_value")
+
+
+@query(
+    "d14_contract_rows",
+    f"""with {_BARS}, {_MARKETS}, k as (select symbol parent, contract, max(open_ts) last_ts from bars group by 1, 2)
+    select parent || '__RAW__' || k.contract symbol, cal session_calendar, never always_open, 'future_contract' instrument_type, k.contract provider_symbol, k.contract, cast(last_ts as date) expiry, false is_continuous, true enabled, false required from k join cat on cat.symbol = parent""",
+)
+def d14_rows(spark, sf):
+    bars = B.resample(ticks(spark, sf), 5, expected=2).withColumns({"expiry": F.to_date("open_ts"), "is_continuous": F.lit(True)})
+    return B.contract_rows(bars, catalogue(spark)).drop("exchange_timezone")

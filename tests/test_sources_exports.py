@@ -107,6 +107,35 @@ def test_packages_hold_all_tables(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/pkg/inventory").filter("length(sha256) = 64").count() >= 8
 
 
+def test_files_have_the_names_of_a_package(spark, tmp_path):
+    from pathlib import Path
+
+    df = spark.range(25, numPartitions=1).selectExpr("id")
+    export.write_csv_parts(df, f"{tmp_path}/csv", rows=10, stem="bars")
+    assert sorted(p.name for p in Path(tmp_path, "csv").iterdir() if not p.name.startswith(".")) == [f"bars_part_00{k}.csv.gz" for k in (1, 2, 3)]
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == 25
+    assert export.write_single(df, f"{tmp_path}/one.csv") and Path(tmp_path, "one.csv").read_text().splitlines()[:2] == ["id", "0"]
+    assert not export.write_single(df, f"{tmp_path}/two.csv", rows=24) and not Path(tmp_path, "two.csv").exists()
+
+
+def test_a_package_by_catalogue(spark, tmp_path, sf_dir):
+    from tessera.plans import markets as q
+
+    bars, listed, found = q.classified(spark, sf_dir)
+    window = datetime(2024, 1, 2), datetime(2024, 1, 20)
+    export.package(bars.withColumn("is_continuous", F.lit(True)), f"{tmp_path}/pkg", test_days=3, derived=export.derived(listed, found, *window))
+    csv = lambda n: spark.read.option("header", True).csv(f"{tmp_path}/pkg/discovery-csv/{n}.csv")
+    assert csv("coverage").count() == len(q.LISTED) and csv("sessions").count() > 50
+    assert {"issue_type", "severity"} <= set(csv("issues").columns) and csv("decision_times").count() > 0 and csv("rolls").count() > 0
+
+
+def test_bars_without_needed_columns_are_refused(spark):
+    from tessera.operators import bars as B
+
+    with pytest.raises(ValueError, match="open_ts"):
+        B.normalise(spark.range(1).selectExpr("'A' symbol"))
+
+
 def test_resume_only_for_the_same_request():
     a, b, c = datetime(2024, 1, 1), datetime(2024, 2, 1), datetime(2024, 1, 20)
     from tessera.plans.collect import resume_start
