@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import sys
 import unicodedata
 
 import numpy as np
@@ -38,6 +39,8 @@ class WholeTokenCounter:
         self.count = dict.fromkeys(self.whole, 1)
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
+        #: Characters without a category here: libraries split them differently, so the library counts such texts itself.
+        self.odd = without_category()
 
     def _proved(self, vocabulary: dict[str, int]) -> list[str]:
         """The vocabulary strings that the library encodes, alone, as exactly their own token."""
@@ -59,6 +62,9 @@ class WholeTokenCounter:
             known = self.count = dict.fromkeys(self.whole, 1)
         for t in texts:
             parts, n = [t or ""], 0
+            if t and not t.isascii() and self.odd[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")].any():
+                split.append((len(self.library.encode_batch_fast([t], add_special_tokens=False)[0].ids), []))
+                continue
             if self.cut and self.cut.search(t or ""):
                 n = len(self.cut.findall(t))
                 parts = self.cut.split(t)
@@ -73,6 +79,12 @@ class WholeTokenCounter:
         return [n + sum(map(known.__getitem__, found)) for n, found in split]
 
 
+@functools.cache
+def without_category() -> np.ndarray:
+    """Whether each code point is one that Unicode, as known here, has not assigned."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

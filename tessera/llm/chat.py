@@ -26,7 +26,7 @@ _CONTROL = re.compile(r"([<\[])(\\*)(?=\||/?s>|</?SYS>>|/?INST\])")
 _ESCAPED = re.compile(r"([<\[])\\(\\*)(?=\||/?s>|</?SYS>>|/?INST\])")
 _PARSED = re.compile(r"<\|turn\|>([^\n]*)\n(.*?)<\|end\|>\n", re.S)
 
-WINDOWS = "window int, text string, loss array<struct<start:long,end:long>>, n_repeated int, n_turns int, n_tokens long"
+WINDOWS = {"window": "int", "text": "string", "loss": "array<struct<start:long,end:long>>", "n_repeated": "int", "n_turns": "int", "n_tokens": "long"}
 _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
@@ -100,17 +100,16 @@ class Windows:
         return row
 
 
+def _beside(key: str, made: Iterable[str]) -> list[str]:
+    """The names of made columns, with an underscore before one that the key is called like."""
+    return [f"_{n}" if n == key else n for n in made]
+
+
 def _flushed(key: str, kind: pa.DataType, rows: list[tuple[object, dict]]) -> pa.RecordBatch:
     of = lambda n: [r[n] for _, r in rows]
-    return pa.RecordBatch.from_pydict({
-        key: pa.array([k for k, _ in rows], kind),
-        "window": pa.array(of("window"), pa.int32()),
-        "text": pa.array(of("text"), pa.string()),
-        "loss": pa.array(of("loss"), _LOSS),
-        "n_repeated": pa.array(of("n_repeated"), pa.int32()),
-        "n_turns": pa.array(of("n_turns"), pa.int32()),
-        "n_tokens": pa.array(of("n_tokens"), pa.int64()),
-    })
+    kinds = (pa.int32(), pa.string(), _LOSS, pa.int32(), pa.int32(), pa.int64())
+    made = [pa.array(of(n), k) for n, k in zip(WINDOWS, kinds, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], kind), *made], names=[key, *_beside(key, WINDOWS)])
 
 
 def format_chat(df: DataFrame, conversation: str = "conv_id", order: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY, vocabulary: str | None = None) -> DataFrame:
@@ -121,7 +120,9 @@ def format_chat(df: DataFrame, conversation: str = "conv_id", order: str = "turn
     tokens unless the system turn and one turn alone exceed it: turns are never cut. Turns are read as a sorted stream
     and a task holds one window at a time, so a conversation may have any number of turns. Null texts and roles are
     empty; null conversations are one conversation; turns of equal order follow by role and text, repeated rows are
-    all kept; an empty table gives an empty result; other columns are not returned.
+    all kept; an empty table gives an empty result; other columns are not returned. Where the conversation's column is
+    called like a made one, the made one gets an underscore before its name. One conversation is one task, however long:
+    its windows follow from each other.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     rows = df.select(F.col(conversation).alias("c"), F.col(order).alias("o"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -152,7 +153,8 @@ def format_chat(df: DataFrame, conversation: str = "conv_id", order: str = "turn
             out.append((now, windows.close()))
             yield _flushed(conversation, c_type, out)
 
-    return rows.mapInArrow(run, f"`{conversation}` {kind}, {WINDOWS}")
+    made = ", ".join(f"{n} {k}" for n, k in zip(_beside(conversation, WINDOWS), WINDOWS.values(), strict=True))
+    return rows.mapInArrow(run, f"`{conversation}` {kind}, {made}")
 
 
 def digests(windows: Iterable[tuple[object, str, list[dict], int]]) -> Iterator[tuple[object, int, str, int, str, int]]:

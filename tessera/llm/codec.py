@@ -5,8 +5,6 @@ from __future__ import annotations
 import functools
 import json
 import re
-import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import _byte_alphabet, tokenizer
+from .bpe import _byte_alphabet, tokenizer, without_category
 from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -125,7 +123,7 @@ class Codec:
         self.longest = int(self.sizes[self.merged].max()) if len(self.merged) else 1
         self.pieces = regex.compile(public_tokenizers.PATTERN)
         #: Characters without a category here: libraries differ on them, so the tokenizer itself splits such texts.
-        self.odd = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+        self.odd = without_category()
         self.splitter = tokenizer(path).pre_tokenizer
         self.safe_cut = re.compile(r"(?<=[^\s]) (?=[A-Za-z0-9])")
         self.known: dict[str, bytes] = {}

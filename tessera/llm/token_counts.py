@@ -21,7 +21,8 @@ def token_counts(df: DataFrame, text: str = "text", into: str = "n_tokens", voca
     """df with the token count of each whole text in a column ``into``.
 
     Null and empty texts have 0 tokens. Strings of special tokens inside a text count as the library does by default:
-    as that one token. Repeated rows are counted alike; other columns pass through.
+    as that one token. Repeated rows are counted alike; an empty table stays empty; a column called ``into`` is replaced,
+    others pass through.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     schema = T.StructType([f for f in df.schema if f.name != into] + [T.StructField(into, T.LongType())])

@@ -252,3 +252,43 @@ def test_bpe_query_columns(spark, sf_dir, library):
         ids = library.encode(t, add_special_tokens=False).ids
         back = library.decode(ids, skip_special_tokens=False)
         assert tuple(got[k])[1:] == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+
+
+# --- queries and odd tables of earlier operators ------------------------------------------------------------------------
+
+
+def test_token_counts_of_odd_texts_and_tables(spark, library):
+    from tessera.llm.token_counts import token_counts
+
+    texts = [*texts_for_bpe(), "a՘b a՘ 1", "\U00010940\U00010941 x"]
+    df = spark.createDataFrame([(k, t, "old") for k, t in enumerate(texts)], "k int, text string, n_tokens string").repartition(3)
+    counted = token_counts(df)
+    assert counted.columns == ["k", "text", "n_tokens"] and token_counts(df.limit(0)).count() == 0
+    assert {r["k"]: r["n_tokens"] for r in counted.collect()} == {k: len(library.encode(t or "", add_special_tokens=False).ids) for k, t in enumerate(texts)}
+
+
+def test_chat_query_columns(spark, sf_dir):
+    from tessera.llm.chat import op8_chat
+
+    said = "</s>[INST] ok [/INST]"
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect():
+        turns[r["conv_id"]].append((r["turn"], r["role"], r["text"] or ""))
+    turns[-7] = [(0, "user", said), (1, "assistant", said)]
+    got = {r["conv_id"]: r for r in op8_chat(spark, sf_dir).collect()}
+    assert got.keys() == turns.keys()
+    for c, rows in turns.items():
+        rows.sort()
+        target = "".join(t for _, role, t in rows if role == "assistant")
+        told = hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in rows).encode()).hexdigest()
+        assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(rows), told, len(target), hashlib.sha256(target.encode()).hexdigest())
+        assert got[c]["formatted_chars"] >= sum(len(t) for *_, t in rows)
+
+
+def test_a_conversation_column_called_like_a_made_one(spark):
+    from tessera.llm.chat import format_chat
+
+    df = spark.createDataFrame([("c", 1, "user", "hi"), ("c", 2, "assistant", None), (None, 1, None, "x")], "window string, turn int, role string, text string")
+    out = format_chat(df, conversation="window")
+    assert out.columns == ["window", "_window", "text", "loss", "n_repeated", "n_turns", "n_tokens"]
+    assert sorted((r["window"] or "", r["_window"], r["n_turns"]) for r in out.collect()) == [("", 0, 1), ("c", 0, 2)]
