@@ -41,16 +41,29 @@ def coverage(bars: DataFrame, expected: DataFrame, catalogue: DataFrame | None =
     ``expected`` has (symbol, trading_date, slot_ts) or, for a calendar all symbols share, (trading_date, slot_ts).
     """
     own = "symbol" in expected.columns
-    keys = ["symbol", "slot_ts"] if own else ["slot_ts"]
-    slots = expected.select(*keys).distinct()
-    sums = [F.count(F.lit(1)).alias("n_expected"), F.countDistinct("trading_date").alias("scheduled_sessions")]
-    per = expected.groupBy("symbol").agg(*sums) if own else expected.agg(*sums)
-    inside = bars.filter("is_regular").withColumn("slot_ts", F.col("open_ts")).join(slots, keys, "left_semi").groupBy("symbol").agg(F.count(F.lit(1)).alias("n_covering"))
-    gone = missing_slots(bars, expected).groupBy("symbol").agg(F.count(F.lit(1)).alias("sessions_with_missing"), F.sum("n_missing").alias("missing_inside"))
-    base = _observed(bars, catalogue).join(inside, "symbol", "left").join(gone, "symbol", "left")
+    per_symbol = ["symbol"] if own else []
+    slots = expected.groupBy(*per_symbol, "slot_ts").agg(F.collect_set("trading_date").alias("_dates")).select(*[F.col(c).alias("_s") for c in per_symbol], F.col("slot_ts").alias("_slot"), "_dates")
+    on = [F.col("open_ts") == F.col("_slot"), *[F.col("symbol") == F.col("_s") for _ in per_symbol]]
+    rows = bars.select("symbol", "open_ts", "trading_date", "is_regular").join(slots, on, "left")
+    hit = F.col("_slot").isNotNull() & F.coalesce("is_regular", F.lit(False))
+    rows = rows.select("symbol", "open_ts", "trading_date", hit.alias("_hit"), (hit & F.coalesce(F.array_contains("_dates", F.col("trading_date")), F.lit(False))).alias("_dated"))
+    # of several bars in one slot one is told as new, a dated one if there is any
+    w = Window.partitionBy("symbol", "trading_date").orderBy("open_ts", F.desc("_dated"))
+    rows = rows.withColumn("_new", F.coalesce(F.col("open_ts") != F.lag("open_ts").over(w), F.lit(True)))
+    dates = rows.groupBy("symbol", "trading_date").agg(F.count("*").alias("n"), F.min("open_ts").alias("lo"), F.max("open_ts").alias("hi"), F.count_if("_hit").alias("hits"), F.count_if(F.col("_dated") & F.col("_new")).alias("seen"))
+    per_date = expected.groupBy(*per_symbol, "trading_date").agg(F.count(F.lit(1)).alias("slots"))
+    due = per_date.select(*[F.col(c).alias("_s") for c in per_symbol], F.col("trading_date").alias("_date"), "slots")
+    dates = dates.join(due, [F.col("trading_date") == F.col("_date"), *[F.col("symbol") == F.col("_s") for _ in per_symbol]], "left")
+    seen = dates.groupBy("symbol").agg(
+        F.sum("n").alias("n_observed"), F.count("trading_date").alias("n_dates"), F.min("lo").alias("first_ts"), F.max("hi").alias("last_ts"), F.sum("hits").alias("n_covering"), F.sum("seen").alias("_seen"), F.count_if(F.col("seen") == F.col("slots")).alias("_whole")
+    )
+    sums = [F.sum("slots").alias("n_expected"), F.count(F.lit(1)).alias("scheduled_sessions")]
+    per = per_date.groupBy("symbol").agg(*sums) if own else per_date.agg(*sums)
+    base = catalogue.select("symbol").distinct().join(seen, "symbol", "left") if catalogue is not None else seen
     base = base.join(per, "symbol", "left") if own else base.join(F.broadcast(per))  # one row
-    absent = F.col("n_observed").isNull()
-    base = base.withColumns({c: F.coalesce(c, F.when(absent, F.col("scheduled_sessions" if c.startswith("sess") else "n_expected")), F.lit(0).cast("long")) for c in ("sessions_with_missing", "missing_inside")})
+    zero = F.lit(0).cast("long")
+    base = base.withColumns({c: F.coalesce(c, zero) for c in ("n_expected", "_seen", "_whole")})
+    base = base.withColumns({"sessions_with_missing": F.coalesce("scheduled_sessions", zero) - F.col("_whole"), "missing_inside": F.col("n_expected") - F.col("_seen")})
     return _rated(base, start, end, F.lit(basis))
 
 
