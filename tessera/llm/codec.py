@@ -22,10 +22,12 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Characters of text that a worker encodes at once, and of one text that are split at once.
 GROUP_CHARS = 1_000_000
 #: Distinct pre-tokens that a worker remembers from batch to batch; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pre-tokens of more symbols are merged by neighbourhoods instead of one lowest pair a round.
 LONG = 256
 _NONE = np.int64(1) << 62
+#: Ids that are turned into bytes at once.
+STEP = 100_000
 
 
 def merge_rounds(symbols: np.ndarray, starts: np.ndarray, codec: Codec) -> tuple[np.ndarray, np.ndarray]:
@@ -206,14 +208,17 @@ class Codec:
         flush()
         return [b"".join(x) for x in out]
 
+    def _bytes_of(self, ids: np.ndarray, sizes: np.ndarray) -> bytes:
+        stops = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.offsets[ids] - (stops - sizes), sizes) + np.arange(stops[-1])].tobytes()
+
     def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The text of each run of ids; bytes that aren't UTF-8 become replacement characters, ids of no token nothing."""
         ids = ids.astype(np.int64)
         ids = np.where((ids >= 0) & (ids < len(self.sizes)), ids, -1)
         sizes = np.where(ids < 0, 0, self.sizes[ids])
-        stops = np.cumsum(sizes)
-        flat = self.bytes[np.repeat(self.offsets[ids] - (stops - sizes), sizes) + np.arange(stops[-1] if len(stops) else 0)].tobytes()
-        stops = np.append(0, stops)[np.append(0, ends)].tolist()
+        flat = b"".join(self._bytes_of(ids[a : a + STEP], sizes[a : a + STEP]) for a in range(0, len(ids), STEP))
+        stops = np.append(0, np.cumsum(sizes))[np.append(0, ends)].tolist()
         return [flat[a:b].decode(errors="replace") for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
 

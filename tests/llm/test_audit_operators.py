@@ -216,6 +216,7 @@ def test_codec_is_the_library_s(monkeypatch, library, bpe, group, remembered, lo
     monkeypatch.setattr(codec, "GROUP_CHARS", group)
     monkeypatch.setattr(codec, "REMEMBERED", remembered)
     monkeypatch.setattr(codec, "LONG", long)
+    monkeypatch.setattr(codec, "STEP", group)
     texts = texts_for_bpe()
     want = [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
     for _ in range(2):  # the second time from memory
