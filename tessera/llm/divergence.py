@@ -15,9 +15,9 @@ from .common import stored, table
 #: Documents of a language that must hold a term for it to count, what is added to each count, ranks of the term report.
 MIN_DOCS, SMOOTHING, TOP = 30, 5, 50
 #: Bytes of text cut at once; a longer text is cut in several goes.
-RANGE_BYTES = 4 << 20
+RANGE_BYTES = 2 << 20
 #: Distinct terms, and counts of a term in a group, that a task holds before it hands them on.
-HELD_TERMS, HELD_COUNTS = 1_000_000, 2_000_000
+HELD_TERMS, HELD_COUNTS = 500_000, 1_000_000
 #: Counts in one block of terms when sources are compared; as many as there are pairs of sources if that is more, so that a block's sums are fewer than its counts.
 BLOCK_COUNTS = 50_000
 
