@@ -70,13 +70,37 @@ def running_sums(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], column
     return running(df, key, ts, ties, {n: ("sum", c) for n, c in columns.items()})
 
 
-def run_lengths(df: DataFrame, key: str, ts: str, run: str, into: str) -> DataFrame:
-    """df with the number of rows of each run of a key. A run is counted day by day and met by day, so one that never ends is as many tasks as it has days."""
+def lags_and_runs(df: DataFrame, key: str, ts: str, ties: tuple[str, ...], lags: dict[str, str], runs: dict[str, str]) -> DataFrame:
+    """df with, for each name in ``lags``, the value of that column in the key's row before and, for each name in ``runs``, how many rows in a row have this one's value of that column.
+
+    A null begins and ends a run of its own. One summary a key and day serves all: its first and last values, and the
+    lengths of the runs that it begins and ends with. Over these small rows, runs are carried from day to day both ways;
+    a run that never ends is as many tasks as it has days.
+    """
     df = df.withColumn("_day", F.to_date(ts))
-    days = df.groupBy(F.col(key).alias("_k"), F.col(run).alias("_r"), F.col("_day").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
-    days = days.select("_k", "_r", "_d", F.sum("_n").over(Window.partitionBy("_k", "_r")).alias(into))
-    on = F.col(key).eqNullSafe(F.col("_k")) & F.col(run).eqNullSafe(F.col("_r")) & F.col("_day").eqNullSafe(F.col("_d"))
-    return df.join(days, on, "left").drop("_k", "_r", "_d", "_day")
+    w, day = Window.partitionBy(key, "_day").orderBy(*_order(ts, ties)), Window.partitionBy(key, "_day")
+    values = F.struct(*[F.col(c).alias(c) for c in dict.fromkeys([*lags.values(), *runs.values()])])
+    step = df.withColumns({"_n": F.row_number().over(w), "_inner": F.lag(values).over(w)})
+    step = step.withColumns({f"_id_{r}": F.sum(F.coalesce(F.col(c) != F.col("_inner")[c], F.lit(True)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) for r, c in runs.items()})
+    step = step.withColumns({f"_len_{r}": F.count(F.lit(1)).over(Window.partitionBy(key, "_day", f"_id_{r}")) for r in runs} | {f"_top_{r}": F.max(f"_id_{r}").over(day) for r in runs})
+    of = lambda r: [F.max(F.when(F.col(f"_id_{r}") == 1, F.col(f"_len_{r}"))).alias(f"_lead_{r}"), F.max(F.when(F.col(f"_id_{r}") == F.col(f"_top_{r}"), F.col(f"_len_{r}"))).alias(f"_trail_{r}"), (F.max(f"_id_{r}") == 1).alias(f"_whole_{r}")]
+    rank = _rank(ts, ties)
+    days = step.groupBy(F.col(key).alias("_k"), F.col("_day").alias("_d")).agg(F.min_by(values, rank).alias("_first"), F.max_by(values, rank).alias("_last"), *[x for r in runs for x in of(r)])
+    along = Window.partitionBy("_k").orderBy(F.col("_d").asc_nulls_last())
+    back, on = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    days = days.withColumns({"_earlier": F.lag("_last").over(along), "_later": F.lead("_first").over(along)})
+    for r, c in runs.items():
+        joins = {"in": F.coalesce(F.col("_first")[c] == F.col("_earlier")[c], F.lit(False)), "out": F.coalesce(F.col("_last")[c] == F.col("_later")[c], F.lit(False))}
+        # what all days before, and all after, would add, and what of it lies beyond the last day at which the run stops
+        sums = {"in": F.coalesce(F.sum(f"_trail_{r}").over(back), F.lit(0)), "out": F.coalesce(F.sum(f"_lead_{r}").over(on), F.lit(0))}
+        for side, beyond in (("in", lambda m: F.last(m, ignorenulls=True).over(back)), ("out", lambda m: F.first(m, ignorenulls=True).over(on))):
+            days = days.withColumn(f"_sum_{side}", sums[side]).withColumn("_stop", F.when(~F.col(f"_whole_{r}") | ~joins[side], F.col(f"_sum_{side}")))
+            days = days.withColumn(f"_{side}_{r}", F.when(joins[side], F.col(f"_sum_{side}") - beyond("_stop")).otherwise(F.lit(0)))
+    carried = [f"_{side}_{r}" for r in runs for side in ("in", "out")]
+    out = _joined(step, days.select("_k", "_d", "_earlier", *carried), key)
+    lag = {n: F.when(F.col("_n") == 1, F.col("_earlier")[c]).otherwise(F.col("_inner")[c]) for n, c in lags.items()}
+    length = {r: F.col(f"_len_{r}") + F.when(F.col(f"_id_{r}") == 1, F.col(f"_in_{r}")).otherwise(0) + F.when(F.col(f"_id_{r}") == F.col(f"_top_{r}"), F.col(f"_out_{r}")).otherwise(0) for r in runs}
+    return out.withColumns(lag | length).drop("_day", "_n", "_inner", "_earlier", *carried, *[f"_{x}_{r}" for r in runs for x in ("id", "len", "top")])
 
 
 def over_days(df: DataFrame, keys: tuple[str, ...], ts: str, back: int, on: int, columns) -> DataFrame:

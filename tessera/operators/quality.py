@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timeops as t
-from ..functions.windows import lagged, run_lengths, running_sums
+from ..functions.windows import lagged, lags_and_runs
 from .dedupe import flag_duplicates, keep_last
 
 PRICES = ("open", "high", "low", "close")
@@ -114,27 +114,21 @@ def flagged_bars(bars: DataFrame, settings: Settings = Settings(), only: tuple[s
         **dict.fromkeys(("extreme", "roll_jump", "stale", "zero_run", "duplicate"), false),
     }
     step = bars.withColumn("_zero", F.coalesce(F.col("volume") == 0, false))
-    if need("extreme", "roll_jump", "stale", "zero_run"):
-        step = lagged(step, "symbol", "open_ts", ties, {"_before": "close", "_zero_before": "_zero"})
+    runs = {n: c for n, c, rule in (("_price_length", "close", "stale"), ("_zero_length", "_zero", "zero_run")) if need(rule)}
+    if runs or need("extreme", "roll_jump"):
+        step = lags_and_runs(step, "symbol", "open_ts", ties, {"_before": "close"}, runs)
         before = F.col("_before")
         move = F.when(before != 0, F.abs(F.try_divide("close", before) - 1)).when(F.col("close") != 0, F.lit(float("inf")))
         extreme = F.coalesce(move > settings.extreme_return, false)
         flags |= {"extreme": extreme & ~roll, "roll_jump": extreme & roll}
-    runs = {}
     if need("stale"):
-        runs["_price_run"] = F.coalesce(F.col("close") != F.col("_before"), F.lit(True))
         flags["stale"] = (F.col("_price_length") >= settings.stale_run) & F.col("close").isNotNull()
     if need("zero_run"):
-        runs["_zero_run"] = F.coalesce(F.col("_zero") != F.col("_zero_before"), F.lit(True))
         flags["zero_run"] = F.col("_zero") & (F.col("_zero_length") >= settings.zero_volume_run)
-    if runs:
-        step = running_sums(step.withColumns({f"_new{n}": c.cast("int") for n, c in runs.items()}), "symbol", "open_ts", ties, {n: f"_new{n}" for n in runs})
-        for n in runs:
-            step = run_lengths(step, "symbol", "open_ts", n, n.replace("_run", "_length"))
     if need("duplicate"):
         step = flag_duplicates(step, ["symbol", "open_ts", "contract", "is_continuous"], "duplicate")
         del flags["duplicate"]
-    return step.withColumns(flags).drop("_before", "_zero", "_zero_before", "_new_price_run", "_new_zero_run", "_price_run", "_zero_run", "_price_length", "_zero_length")
+    return step.withColumns(flags).drop("_before", "_zero", "_price_length", "_zero_length")
 
 
 def evaluate(bars: DataFrame, settings: Settings = Settings(), zone: str | Column | None = None, always_open: bool | Column = False, only: tuple[str, ...] | None = None) -> DataFrame:

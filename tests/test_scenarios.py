@@ -230,3 +230,33 @@ def test_lags_and_sums_across_days(spark, points):
     assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, filled.collect()), key=str)
     ours = running_sums(lagged(df, "symbol", "ts", ("n",), {"before": "v"}), "symbol", "ts", ("n",), {"total": "v"}).select("n", "before", "total")
     assert sorted(map(tuple, ours.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_runs_across_days_against_a_plain_loop(spark):
+    """Runs inside a day, over a midnight, over whole days, broken by nulls; each key by itself."""
+    import random
+
+    from tessera.functions.windows import lags_and_runs
+
+    rng, rows, n = random.Random(8), [], 0
+    for key in ("a", "b", None):
+        value, at = 1.0, datetime(2024, 1, 1)
+        for _ in range(250):
+            at += timedelta(hours=rng.choice([0, 1, 5, 30]))
+            value = rng.choice([value] * 12 + [None, 1.0, 2.0])
+            value = 1.0 if value is None and rng.random() < 0.5 else value
+            rows.append((key, at if rng.random() > 0.01 else None, n, value))
+            n += 1
+    want = {}
+    for key in ("a", "b", None):
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: (r[1] is None, r[1] or datetime.min, r[2]))
+        start = 0
+        for k in range(1, len(own) + 1):
+            if k == len(own) or own[k][3] is None or own[k][3] != own[k - 1][3]:
+                want |= {own[j][2]: (own[j - 1][3] if j else None, k - start) for j in range(start, k)}
+                start = k
+    df = spark.createDataFrame(rows, "key string, ts timestamp_ntz, n int, v double").repartition(3)
+    got = lags_and_runs(df, "key", "ts", ("n",), {"before": "v"}, {"length": "v"})
+    assert got.columns == ["key", "ts", "n", "v", "before", "length"]
+    assert {r["n"]: (r["before"], r["length"]) for r in got.collect()} == want
+    assert max(length for _, length in want.values()) > 12
