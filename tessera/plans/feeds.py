@@ -73,10 +73,11 @@ def f13(spark, sf):
 def t5(spark, sf):
     """Bars that arrive in four lots by time; each is a batch of its own, taken by a stream that goes on from the last one's checkpoint."""
     root = f"{live._shared(spark)}/changes-{uuid.uuid4().hex}"
-    bars = bars5(spark, sf).select("symbol", "open_ts", "close", "contract", "ingest_seq")
-    days = F.unix_date(F.to_date("open_ts"))
-    first, last = bars.agg(F.min(days), F.max(days)).first()
+    first, last = read(spark, sf, "events").agg(F.min(F.unix_date(F.to_date("ts"))), F.max(F.unix_date(F.to_date("ts")))).first()
+    lot = F.floor((F.unix_date(F.to_date("open_ts")) - first) * 4 / (last - first + 1)).cast("int")
+    bars5(spark, sf).select("symbol", "open_ts", "close", "contract", "ingest_seq", lot.alias("lot")).write.partitionBy("lot").parquet(f"{root}/bars")
+    bars = spark.read.parquet(f"{root}/bars")
     for k in range(4):
-        bars.filter(F.floor((days - first) * 4 / (last - first + 1)) == k).write.parquet(f"{root}/in/{k}")
+        bars.filter(F.col("lot") == k).drop("lot").write.parquet(f"{root}/in/{k}")
         found = changes.run(spark, f"{root}/in", root)
     return found.read().select("symbol", "open_ts", "return", "is_roll", "outgoing_contract")

@@ -31,15 +31,25 @@ def names(spark: SparkSession, *parts: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
 
 
+#: Tasks that list a table's folders; Spark's own number would be one a folder.
+LISTERS = 32
+_LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None before its first merge."""
     _finish(spark, path)
     if not exists(spark, path, "data"):
         return None
-    # partition columns are text as written: a guessed type would turn 0700 into 700
-    found = spark.read.parquet(f"{path}/data").schema
-    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name.startswith("p_") else f for f in found])
-    return spark.read.schema(schema).parquet(f"{path}/data")
+    old = spark.conf.get(_LISTING, None)
+    spark.conf.set(_LISTING, LISTERS)
+    try:
+        # partition columns are text as written: a guessed type would turn 0700 into 700
+        found = spark.read.parquet(f"{path}/data").schema
+        schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name.startswith("p_") else f for f in found])
+        return spark.read.schema(schema).parquet(f"{path}/data")
+    finally:
+        spark.conf.set(_LISTING, old) if old else spark.conf.unset(_LISTING)
 
 
 def partition(value: Column) -> Column:
@@ -49,7 +59,7 @@ def partition(value: Column) -> Column:
     return F.when(text.isNull(), "~null").when(text == "", "~empty").otherwise(marked)
 
 
-#: Partitions that a merge names one by one to the scan; where it touches more, only the join tells them.
+#: Partitions that a merge names one by one to the scan; where it touches more, their range is named, and the join tells them.
 NAMED = 2000
 
 
@@ -63,6 +73,10 @@ def touched(spark: SparkSession, path: str, rows: DataFrame, by: dict[str, Colum
     if len(named) <= NAMED:
         for p in by:
             base = base.filter(F.col(p).isin(sorted({r[p] for r in named})))
+    else:
+        ends = places.agg(*[f(p).alias(f"{n}_{p}") for p in by for n, f in (("min", F.min), ("max", F.max))]).first()
+        for p in by:
+            base = base.filter(F.col(p).between(ends[f"min_{p}"], ends[f"max_{p}"]))
     return base.join(places, list(by), "left_semi")
 
 

@@ -1,9 +1,11 @@
 """Providers over HTTP, streams with keyed state, series and frames that are discovered, instruments of many calendars, evaluation of signals."""
 
 import json
+import os
 import random
 import threading
 import time
+import uuid
 import zipfile
 from datetime import date, datetime, timedelta
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -146,6 +148,63 @@ def test_a_silent_symbol_is_forgotten(spark, tmp_path):
     assert {(r["symbol"], r["is_roll"]) for r in table.read().filter("contract = 'M'").collect()} == {("A", False), ("B", True)}
 
 
+def test_the_state_meets_a_row_a_part_and_runs_once_a_batch(spark, tmp_path, monkeypatch):
+    """However many bars a symbol has, its state takes one row of each part; bars are compared across days, batches and nulls all the same."""
+    seen = str(tmp_path / "seen")
+    os.makedirs(seen)
+
+    class Counting(changes.LastBar):
+        def handleInputRows(self, key, rows, timerValues):
+            rows = list(rows)
+            open(f"{seen}/{key[0]}-{uuid.uuid4().hex}", "w").write(str(len(rows)))
+            yield from changes.LastBar.handleInputRows(self, key, iter(rows), timerValues)
+
+    monkeypatch.setattr(changes, "LastBar", Counting)
+    rng, lots, want = random.Random(4), [[], []], {}
+    for symbol in ("A", None):
+        before = None
+        for k in range(800):
+            if rng.random() < 0.1:
+                continue
+            row = _row(symbol, 5 * k, rng.choice([None, 0.0, 1.0, 2.0, 4.0]), rng.choice(["H"] * 20 + ["M", "", None]), k)
+            lots[k >= 500].append(row)
+            gain = row[2] / before[2] - 1 if before and row[2] is not None and before[2] and row[1] - before[1] == timedelta(minutes=5) else None
+            roll = bool(before and row[3] and row[3] != (before[3] or ""))
+            want[symbol, row[1]] = (row[2], row[3], gain, roll, before[3] if roll else None)
+            before = row
+    for k, lot in enumerate(lots):
+        rng.shuffle(lot)
+        spark.createDataFrame(lot, BAR).repartition(2).write.parquet(f"{tmp_path}/in/{k}")
+        found = changes.run(spark, f"{tmp_path}/in", f"{tmp_path}/root").read()
+    assert {(r["symbol"], r["open_ts"]): (r["close"], r["contract"], r["return"], r["is_roll"], r["outgoing_contract"]) for r in found.collect()} == want
+    counts = {symbol: [int(open(f"{seen}/{f}").read()) for f in os.listdir(seen) if f.startswith(symbol)] for symbol in ("A", "None")}
+    assert all(len(c) == 2 and max(c) <= 2 for c in counts.values()), counts
+
+
+def test_a_table_of_many_days_is_listed_by_few_tasks(spark, tmp_path):
+    days = [_row("A", 0, 1.0)[:1] + (datetime(2024, 1, 1) + timedelta(days=d), float(d)) for d in range(70)]
+    by = {"p_day": F.to_date("open_ts").cast("string")}
+    tables.merge_into(spark, f"{tmp_path}/t", spark.createDataFrame(days, "symbol string, open_ts timestamp_ntz, close double"), ["symbol", "open_ts"], by)
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        assert tables.read(spark, f"{tmp_path}/t").schema["p_day"].dataType.simpleString() == "string"
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(stage).numTasks for job in tracker.getJobIdsForGroup("listing") for stage in tracker.getJobInfo(job).stageIds]
+    assert tasks and max(tasks) <= 32, tasks
+
+
+def test_a_merge_into_more_days_than_are_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "NAMED", 2)
+    by = {"p_day": F.to_date("open_ts").cast("string")}
+    rows = lambda days, v: spark.createDataFrame([("A", datetime(2024, 1, d), v) for d in days], "symbol string, open_ts timestamp_ntz, close double")
+    tables.merge_into(spark, f"{tmp_path}/t", rows(range(1, 9), 1.0), ["symbol", "open_ts"], by)
+    assert tables.touched(spark, f"{tmp_path}/t", rows((3, 5, 6, 20), 2.0), by).count() == 3
+    tables.merge_into(spark, f"{tmp_path}/t", rows((3, 5, 6, 20), 2.0), ["symbol", "open_ts"], by)
+    assert {r["open_ts"].day: r["close"] for r in tables.read(spark, f"{tmp_path}/t").collect()} == {d: 2.0 if d in (3, 5, 6, 20) else 1.0 for d in (*range(1, 9), 20)}
+
+
 # --- discovered layouts -----------------------------------------------------------------------------------------------
 
 
