@@ -118,5 +118,5 @@ def run(spark: SparkSession, directory: str, root: str, files_per_batch: int = 1
 
 
 def rolls(found: DataFrame) -> DataFrame:
-    """The contract changes in what ``changes`` found, with the columns of the batch operator."""
+    """The contract changes in what ``run`` found, with the columns of the batch operator."""
     return found.filter("is_roll").select("symbol", F.col("open_ts").alias("roll_ts"), F.col("open_ts").alias("decision_ts"), "outgoing_contract", F.col("contract").alias("incoming_contract"), F.lit("unadjusted").alias("adjustment"))
